@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.bpe import encode_and_decode
 from plumbline.llm.chat import format_turns, prefix_examples, read_back
 from plumbline.llm.common import table
 from plumbline.llm.exact_dedup import exact_groups
+from plumbline.llm.packing import pack
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.sharding import uniform_shards
 from plumbline.llm.urls import judge_urls
@@ -30,10 +32,22 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(turns, prefix_examples(turns))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -47,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_chat_formatting, op6_quality_rules, op8_exact_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op2_sharding, op3_chat_formatting, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

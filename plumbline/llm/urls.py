@@ -135,7 +135,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_co
     spark = pages.sparkSession
     ship(spark)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    parts = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = pages.select(F.col(id_col).cast("string").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parts.select("*", rule.alias("rule"), says.alias("says"))
     kinds = ruled.filter(F.col("says").isNotNull()).select("url", F.when(F.col("says") == "block", 1).otherwise(0).alias("kind"), (F.pmod(F.xxhash64("url"), F.lit(CALIBRATION_FOLDS)) == 0).alias("held"))
@@ -157,8 +157,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_co
     threshold = threshold_of(held.groupBy("kind", "bin").agg(F.count("*").alias("n")).toPandas())
     kind = pages.schema[id_col].dataType.simpleString()
     open_rows = ruled.filter(F.col("says").isNull()).select("page_id", "host", "path", "url")
-    scored = open_rows.mapInPandas(with_score, f"page_id {kind}, host string, path string, url string, url_score double")
+    scored = open_rows.mapInPandas(with_score, "page_id string, host string, path string, url string, url_score double")
     decided = ruled.filter(F.col("says").isNotNull()).select("page_id", "host", "path", "rule", F.col("says").alias("verdict"), F.lit(None).cast("double").alias("url_score"))
-    return decided.unionByName(scored.select(
+    both = decided.unionByName(scored.select(
         "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("url_score") >= threshold, "block").otherwise("allow").alias("verdict"), "url_score",
     ))
+    return both.withColumn("page_id", F.col("page_id").cast(kind))
