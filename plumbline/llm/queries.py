@@ -10,6 +10,7 @@ from plumbline.llm.bpe import encode_and_decode
 from plumbline.llm.chat import format_turns, prefix_examples, read_back
 from plumbline.llm.common import table
 from plumbline.llm.exact_dedup import exact_groups
+from plumbline.llm.html_text import extract_text
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.sharding import uniform_shards
@@ -32,6 +33,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(turns, prefix_examples(turns))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_chat_formatting, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op2_sharding, op3_chat_formatting, op4_html_extraction, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
