@@ -11,14 +11,20 @@ from plumbline.llm.chat import format_turns, prefix_examples, read_back
 from plumbline.llm.common import table
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.llm.html_text import extract_text
+from plumbline.llm.near_dedup import near_groups
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.sharding import uniform_shards
+from plumbline.llm.toxicity import toxicity
 from plumbline.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(table(spark, sf_dir, "documents"), 16)
 
@@ -57,6 +63,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "kept")
+
+
 #: Verdict, host and path of the url rules.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -66,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_chat_formatting, op4_html_extraction, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_chat_formatting, op4_html_extraction, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op9_near_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
