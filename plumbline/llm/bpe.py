@@ -20,13 +20,16 @@ import base64
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,34 +56,52 @@ def encoder_of(path: str, pattern: str):
 _ACROSS = regex.compile(r"\s \s|\s $")
 
 
-def cutter(pattern: str) -> Callable[[str], list[str]]:
-    """Cuts a text into pre-tokens, the pattern's matches. A pre-token begins with a space or has none but in runs
-    of white space, so what stands between spaces is cut by itself, each space with what follows it, and remembered."""
-    find = regex.compile(pattern).findall
-    known: dict[str, list[str]] = {}
+class Pieces:
+    """Cuts texts into pre-tokens, the pattern's matches, and numbers a chunk's pre-tokens.
 
-    def cut(text: str) -> list[str]:
-        if _ACROSS.search(text):
-            return find(text)
-        out: list[str] = []
+    A pre-token begins with a space or has none but in runs of white space, so what stands between spaces is cut
+    by itself, each space with what follows it, and remembered.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        self.find = regex.compile(pattern).findall
+        self.cuts: dict[str, list[str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins a new chunk."""
+        self.numbered: dict[str, int] = {}
+        self.by_piece: dict[str, list[int]] = {}
+
+    def words(self) -> list[str]:
+        return list(self.numbered)
+
+    def _numbers(self, words: list[str]) -> list[int]:
+        known = self.numbered
+        return [known.setdefault(w, len(known)) for w in words]
+
+    def _new(self, piece: str) -> list[int]:
+        cut = self.cuts.get(piece)
+        if cut is None:
+            if len(self.cuts) >= REMEMBERED:
+                self.cuts.clear()
+            cut = self.cuts[piece] = self.find(" " + piece)
+        got = self.by_piece[piece] = self._numbers(cut)
+        return got
+
+    def codes(self, text: str) -> array:
+        if "  " in text or not text.isprintable() and _ACROSS.search(text):
+            return array("i", self._numbers(self.find(text)))
         first, *others = text.split(" ")
-        if first:
-            out += find(first)
-        for piece in others:
-            got = known.get(piece)
-            if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                got = known[piece] = find(" " + piece)
-            out += got
+        out = array("i", self._numbers(self.find(first)) if first else [])
+        get, new = self.by_piece.get, self._new
+        out.extend(chain.from_iterable([get(p) or new(p) for p in others]))
         return out
 
-    return cut
-
 
-def bundle(*parts: bytes) -> bytes:
+def bundle(*parts: bytes, level: int = 1) -> bytes:
     """Parts in one compressed body."""
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts))
 
 
 def unbundle(body: bytes, n: int) -> list[bytes]:
@@ -95,43 +116,63 @@ def numbers(values: list[int]) -> bytes:
     return np.array(values, dtype="<u4").tobytes()
 
 
-def cut_at(body: bytes, lengths: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, dtype="<u4")).tolist()
+def cut_at(body: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
     return [body[low:high] for low, high in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
+def squeeze(codes: np.ndarray) -> bytes:
+    """Codes by planes of their bytes; frequent words have small codes, so the upper planes nearly vanish."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return bundle(*[planes[:, k].tobytes() for k in range(4)], level=3)
+
+
+def unsqueeze(body: bytes) -> np.ndarray:
+    return np.stack([np.frombuffer(p, dtype=np.uint8) for p in unbundle(body, 4)], axis=1).copy().view("<u4").ravel()
+
+
 def explode_words(batches: Iterator[pd.DataFrame], part: int, pattern: str, buckets: int) -> Iterator[pd.DataFrame]:
-    """Blocks of a task's chunks. bucket -1: a text's positions in its chunk's list; else: that bucket's words."""
-    cut, number = cutter(pattern), 0
+    """Blocks of a task's chunks. bucket -1: all texts' positions in the chunk's list; else: that bucket's words."""
+    pieces, number = Pieces(pattern), 0
 
-    def flush(texts: list[tuple], codes: dict[str, int]) -> pd.DataFrame:
+    def flush(ids: list, texts: list[array]) -> pd.DataFrame:
         nonlocal number
         chunk = (part << 32) + number
         number += 1
-        by_bucket: dict[int, list[tuple[bytes, int]]] = {}
-        for word, code in codes.items():
-            raw = word.encode("utf-8", "replace")
-            by_bucket.setdefault(zlib.crc32(raw) % buckets, []).append((raw, code))
-        rows = [(chunk, -1, i, doc_id, bundle(positions)) for i, (doc_id, positions) in enumerate(texts)]
-        for bucket, words in by_bucket.items():
-            words.sort()
-            rows.append((chunk, bucket, 0, None, bundle(numbers([c for _, c in words]), numbers([len(w) for w, _ in words]), b"".join(w for w, _ in words))))
-        return pd.DataFrame({"chunk": chunk, "bucket": [r[1] for r in rows], "number": [r[2] for r in rows], "doc_id": pd.Series([r[3] for r in rows], dtype=object), "body": [r[4] for r in rows]})
-
-    texts, codes, size = [], {}, 0
+        flat = np.concatenate([np.frombuffer(t, dtype=np.int32) for t in texts]) if texts else np.zeros(0, np.int32)
+        words = pieces.words()
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
+        names = [b"" if i is None else i.encode() for i in ids]
+        raw = [w.encode("utf-8", "replace") for w in words]
+        home = [zlib.crc32(w) % buckets for w in raw]
+        order = sorted(range(len(raw)), key=lambda i: (home[i], raw[i]))  # bucket by bucket, as the words will come back
+        head = (numbers([len(t) for t in texts]), numbers([len(i) for i in names]), np.array([i is None for i in ids], dtype=np.uint8).tobytes(), b"".join(names))
+        rows = [(chunk, -1, bundle(*head, squeeze(rank[order]), squeeze(rank[flat])))]
+        ends = np.cumsum(np.bincount(home, minlength=buckets)).tolist()
+        for bucket, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if low < high:
+                own = [raw[i] for i in order[low:high]]
+                rows.append((chunk, bucket, bundle(squeeze(np.array([len(w) for w in own])), b"".join(own), level=3)))
+        pieces.forget()
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "body"])
+
+    ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-            words = cut(text)
-            for word in words:
-                if word not in codes:
-                    codes[word] = len(codes)
-            texts.append((doc_id, np.fromiter(map(codes.__getitem__, words), dtype="<u4", count=len(words)).tobytes()))
+            ids.append(doc_id)
+            texts.append(pieces.codes(text))
             size += len(text) + 64
             if size >= CHUNK_CHARS:
-                yield flush(texts, codes)
-                texts, codes, size = [], {}, 0
+                yield flush(ids, texts)
+                ids, texts, size = [], [], 0
     if texts:
-        yield flush(texts, codes)
+        yield flush(ids, texts)
+
+
+def words_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[batch["bucket"] >= 0]
 
 
 def encode_words(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
@@ -145,38 +186,44 @@ def encode_words(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> It
             got = known[word] = numbers(encode(word.decode("utf-8")))
         return got
 
-    def encoded(bucket: int, body: bytes) -> bytes:
-        if bucket < 0:
-            return body
-        codes, lengths, words = unbundle(body, 3)
-        ids = [ids_of(w) for w in cut_at(words, lengths)]
-        return bundle(codes, numbers([len(x) for x in ids]), b"".join(ids))
+    def encoded(body: bytes) -> bytes:
+        lengths, words = unbundle(body, 2)
+        ids = [ids_of(w) for w in cut_at(words, unsqueeze(lengths))]
+        return bundle(squeeze(np.array([len(x) // 4 for x in ids])), squeeze(np.frombuffer(b"".join(ids), dtype="<u4")))
 
     for batch in batches:
-        yield batch.assign(body=[encoded(k, b) for k, b in zip(batch["bucket"].tolist(), batch["body"].tolist(), strict=True)]).drop(columns="word_home")
+        yield pd.DataFrame({"chunk": batch["chunk"], "bucket": batch["bucket"], "body": [encoded(b) for b in batch["body"]]})
 
 
-def reassemble(chunk: pd.DataFrame, path: str) -> pd.DataFrame:
+def reassemble(blocks: pd.DataFrame, encoded: pd.DataFrame, path: str) -> pd.DataFrame:
     """A chunk's texts from its words' ids, by position; then their decoding by the table of tokens' bytes."""
-    tokens = token_bytes(path)
-    names = token_names(path)
-    is_text = chunk["bucket"].to_numpy() < 0
-    pairs: list[tuple[bytes, bytes, int]] = []
-    order: list[np.ndarray] = []
-    for body in chunk.loc[~is_text, "body"]:
-        codes, lengths, ids = unbundle(body, 3)
-        order.append(np.frombuffer(codes, dtype="<u4"))
-        for word in cut_at(ids, lengths):
-            own = np.frombuffer(word, dtype="<u4").tolist()
-            pairs.append((b",".join([names[i] for i in own]), b"".join([tokens[i] for i in own]), len(own)))
-    by_code: list = [None] * len(pairs)
-    for code, pair in zip(np.concatenate(order).tolist() if order else [], pairs, strict=True):
-        by_code[code] = pair
-    texts = chunk[is_text]
+    tokens, names = token_bytes(path), token_names(path)
+    counts, as_text, as_bytes = [np.zeros(0, np.int64)], [], []
+    for body in encoded.sort_values("bucket")["body"]:
+        lengths, ids = unbundle(body, 2)
+        counts.append(unsqueeze(lengths))
+        flat, at = unsqueeze(ids).tolist(), 0
+        for n in counts[-1].tolist():
+            own = flat[at:at + n]
+            at += n
+            as_text.append(b",".join([names[i] for i in own]))
+            as_bytes.append(b"".join([tokens[i] for i in own]))
     rows = []
-    for doc_id, body in zip(texts["doc_id"], texts["body"], strict=True):
-        words = [by_code[c] for c in np.frombuffer(unbundle(body, 1)[0], dtype="<u4").tolist()]
-        rows.append((doc_id, sum([w[2] for w in words]), hashlib.sha256(b",".join([w[0] for w in words])).hexdigest(), hashlib.sha256(b"".join([w[1] for w in words])).hexdigest()))
+    for body in blocks.loc[blocks["bucket"] < 0, "body"]:
+        sizes, id_sizes, nulls, ids, ranks, flat = unbundle(body, 6)
+        order = np.argsort(unsqueeze(ranks))
+        if len(order) != len(as_text):
+            raise ValueError("the chunk's words have not all come back")
+        by_code = order.tolist()
+        names_of, bytes_of = [as_text[i] for i in by_code], [as_bytes[i] for i in by_code]
+        count_of = np.concatenate(counts)[order].astype(np.int64)
+        codes, at = unsqueeze(flat), 0
+        for n, doc_id, null in zip(np.frombuffer(sizes, dtype="<u4").tolist(), cut_at(ids, np.frombuffer(id_sizes, dtype="<u4")), nulls, strict=True):
+            own = codes[at:at + n]
+            at += n
+            listed = own.tolist()
+            joined, decoded = b",".join(map(names_of.__getitem__, listed)), b"".join(map(bytes_of.__getitem__, listed))
+            rows.append((None if null else doc_id.decode(), int(count_of[own].sum()), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
     return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -191,18 +238,18 @@ def token_names(path: str) -> dict[int, bytes]:
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row: doc_id, n_tokens, ids_sha256 (ids joined by commas), decoded_sha256 (the bytes the ids stand for)."""
-    from pyspark import TaskContext
+    """Every row: doc_id, n_tokens, ids_sha256 (ids joined by commas), decoded_sha256 (the bytes the ids stand for).
 
+    Chunks' blocks are shuffled by chunk once; positions stay there, words go out to their buckets and back.
+    """
     spark = docs.sparkSession
     ship(spark)
     buckets = min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
-    block = "chunk long, bucket int, number long, doc_id string, body binary"
+    block = "chunk long, bucket int, body binary"
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = texts.mapInPandas(lambda it: explode_words(it, TaskContext.get().partitionId(), pattern, buckets), block)
-    home = F.when(F.col("bucket") < 0, F.xxhash64("chunk", "number")).otherwise(F.col("bucket").cast("long"))
-    by_word = blocks.withColumn("word_home", home).repartition("word_home")
+    blocks = texts.mapInPandas(lambda it: explode_words(it, TaskContext.get().partitionId(), pattern, buckets), block).repartition("chunk")
+    by_word = blocks.mapInPandas(words_only, block).repartition("bucket")
     encoded = by_word.mapInPandas(lambda it: encode_words(it, path, pattern), block)
-    done = encoded.groupBy("chunk").applyInPandas(lambda chunk: reassemble(chunk, path), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    done = blocks.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(lambda b, e: reassemble(b, e, path), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
