@@ -14,8 +14,10 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,34 +28,69 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import durable, ship
 
 #: Tokens of a sequence; the end mark's id; documents of a group; remembered words of a task; words in one call of the tokenizer.
-SEQUENCE, END_ID, GROUP_ROWS, REMEMBERED, CALL_WORDS = 2048, 0, 16_384, 250_000, 4096
+SEQUENCE, END_ID, GROUP_ROWS, REMEMBERED, CALL_WORDS = 2048, 0, 16_384, 600_000, 4096
 
 
-def word_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
-    """Texts to their ids, little-endian, four bytes each. White space only separates for this tokenizer, so words
-    are encoded by themselves and remembered."""
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Texts to their ids, little-endian, four bytes each.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-    controls, spaces = regex.compile("[\x1c-\x1f]"), regex.compile(r"\s+")
+    White space only separates for this tokenizer and case is dropped, so words are encoded by themselves, in
+    lower case, and remembered: the first REMEMBERED words for the life of the worker, later ones for a call.
+    """
 
-    def encode(texts: Sequence[str]) -> list[bytes]:
-        split = [[w for w in spaces.split(t) if w] if controls.search(t) else t.split() for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        if not text.isascii():
+            lower = text.lower()
+            # Lower case by characters, as the tokenizer has it; where composing or a final sigma could matter, as it is.
+            if "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower):
+                text = lower
+        else:
+            text = text.lower()
+        return [w for w in _SPACES.split(text) if w] if _CONTROLS.search(text) else text.split()
+
+    def _add(self, known: dict[str, bytes], new: list[str]) -> None:
         for low in range(0, len(new), CALL_WORDS):
-            for word, found in zip(new[low:low + CALL_WORDS], tokenizer.encode_batch_fast(new[low:low + CALL_WORDS], add_special_tokens=False), strict=True):
+            part = new[low:low + CALL_WORDS]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[word] = np.array(found.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        split = [self.words(t) for t in texts]
+        known = self.known
+        new = {w for words in split for w in words if w not in known}
+        if new:
+            # A word with one mark behind it is the word, then the mark.
+            marked = {w: (w[:-1], w[-1]) for w in new if w[-1] in ",." and w[:-1].isalpha()}
+            parts = {x for pair in marked.values() for x in pair} | (new - marked.keys())
+            if len(known) >= REMEMBERED:
+                known = {w: known[w] for words in split for w in words if w in known} | {x: known[x] for x in parts if x in known}
+            self._add(known, [x for x in parts if x not in known])
+            for word, (head, tail) in marked.items():
+                known[word] = known[head] + known[tail]
         return [b"".join([known[w] for w in words]) for words in split]
 
-    return encode
+
+_SPACES, _CONTROLS = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder; what it remembers serves all tasks of the worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def cut_pieces(batches: Iterator[pd.DataFrame], path: str, sequence: int) -> Iterator[pd.DataFrame]:
-    encode, end = word_encoder(path), np.array([END_ID], dtype="<u4").tobytes()
+    encode, end = word_encoder(path).encode, np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
         rows = []
         for low in range(0, len(batch), 256):
