@@ -75,5 +75,5 @@ def terminal_outcomes(events: DataFrame, key: list[str], order: list[str]) -> Da
 
 def progress(events: DataFrame, run: str) -> DataFrame:
     """Attempted cases and their pace; seconds from the first event to the last."""
-    seconds = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(1e6)
+    seconds = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(1e6)
     return events.groupBy(run).agg(F.count_if("scored").alias("scored"), F.count_if(~F.col("scored")).alias("errored"), F.count("*").alias("attempted"), F.when(seconds > 0, F.count("*") / seconds).alias("cases_per_second"))

@@ -117,8 +117,10 @@ def redundant_pairs(assets: DataFrame, threshold: float = 0.8, words: int = 5) -
     share one of the first n - ceil(threshold * n) + 1 in any common order, and rarest first keeps groups small.
     """
     tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    grams = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.array_join(F.slice("w", i + 1, words), " "))).when(F.size("w") > 0, F.array(F.array_join("w", " ")))
-    sets = assets.select("id", tokens.alias("w")).select("id", F.array_distinct(grams).alias("grams")).filter("grams is not null")
+    grams = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.array_join(F.slice("w", i + 1, words), " "))).otherwise(F.array(F.array_join("w", " ")))
+    # Kept, since it is read several times, and since filters on shingles would else move below the cutting into words and
+    # cut each text anew for every shingle.
+    sets = assets.select("id", tokens.alias("w")).filter(F.size("w") > 0).select("id", F.array_distinct(grams).alias("grams")).persist()
     marked = sets.withColumn("mark", F.sha2(F.array_join(F.array_sort("grams"), "\n"), 256))
     heads = marked.groupBy("mark").agg(F.min("id").alias("head"))
     copies = marked.join(heads, "mark").filter("id <> head").select(F.col("head").alias("asset_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("similarity"))

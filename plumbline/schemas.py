@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,29 +27,26 @@ COSTS = "struct<context_tokens:bigint,ft_tokens:bigint,acquisition_usd_micros:bi
 INTERVAL = "struct<low:double,high:double,level:double,method:string>"
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-RECORD = _schema("id string, input string, expected string, rubric string, tags array<string>")
-CASES = _schema(f"id string, input string, expected string, rubric string, split string, tags array<string>, provenance {PROVENANCE}, history array<{TURN}>")
-ASSETS = _schema(f"id string, kind string, content binary, tags array<string>, costs {COSTS}, provenance {PROVENANCE}, user_override boolean")
-RESPONSES = _schema("case_id string, output string, prompt_tokens bigint, completion_tokens bigint, cost_usd_micros bigint, latency_ms bigint, stop_reason string, refused boolean, usage_estimated boolean, provider_build_id string, resolved_model string, attempts int")
-OUTCOMES = _schema(
-    "run_id string, case_id string, scored boolean, err_code string, calls bigint, cost_usd_micros bigint, tokens bigint, score_value double, score_passed boolean, "
-    "refused boolean, truncated boolean, usage_estimated boolean, provider_build_id string, resolved_model string"
-)
-TRACES = _schema("run_id string, case_id string, output string, rationale string")
-RUNS = _schema(
-    "id string, version bigint, stage string, status string, input_fingerprint string, eval_content_hash string, goal string, goal_direction string, agent_ref string, created_at string, finished_at string, "
-    "dev_cases bigint, holdout_cases bigint, attempted bigint, scored bigint, errored bigint, aggregate_score double, error_rate_exceeded boolean, incomplete_reason string, "
-    "refused bigint, truncated bigint, usage_estimated bigint, provider_builds array<string>, resolved_models array<string>"
-)
-EVENTS = _schema(
-    "run_id string, sequence bigint, emitted_at string, payload_kind string, case_id string, score double, err_code string, will_retry boolean, cost_usd_micros bigint, attempted bigint, total bigint, status string, aggregate_score double"
-)
-VALUATIONS = _schema(f"run_id string, asset_id string, delta_goal double, delta_goal_interval {INTERVAL}, delta_control double, delta_control_interval {INTERVAL}, injection_mode string, routed_cases bigint, delta_per_cost double, error string")
-REJECTIONS = _schema("run_id string, asset_id string, reason string, redundant_with_asset_ids array<string>")
+#: The tables, by name; schemas.CASES and so on are their StructTypes, made on demand since reading DDL needs a session.
+DDL = {
+    "RECORD": "id string, input string, expected string, rubric string, tags array<string>",
+    "CASES": f"id string, input string, expected string, rubric string, split string, tags array<string>, provenance {PROVENANCE}, history array<{TURN}>",
+    "ASSETS": f"id string, kind string, content binary, tags array<string>, costs {COSTS}, provenance {PROVENANCE}, user_override boolean",
+    "RESPONSES": "case_id string, output string, prompt_tokens bigint, completion_tokens bigint, cost_usd_micros bigint, latency_ms bigint, stop_reason string, refused boolean, usage_estimated boolean, provider_build_id string, resolved_model string, attempts int",
+    "OUTCOMES": ("run_id string, case_id string, scored boolean, err_code string, calls bigint, cost_usd_micros bigint, tokens bigint, score_value double, score_passed boolean, " "refused boolean, truncated boolean, usage_estimated boolean, provider_build_id string, resolved_model string"),
+    "TRACES": "run_id string, case_id string, output string, rationale string",
+    "RUNS": ("id string, version bigint, stage string, status string, input_fingerprint string, eval_content_hash string, goal string, goal_direction string, agent_ref string, created_at string, finished_at string, " "dev_cases bigint, holdout_cases bigint, attempted bigint, scored bigint, errored bigint, aggregate_score double, error_rate_exceeded boolean, incomplete_reason string, " "refused bigint, truncated bigint, usage_estimated bigint, provider_builds array<string>, resolved_models array<string>"),
+    "EVENTS": "run_id string, sequence bigint, emitted_at string, payload_kind string, case_id string, score double, err_code string, will_retry boolean, cost_usd_micros bigint, attempted bigint, total bigint, status string, aggregate_score double",
+    "VALUATIONS": f"run_id string, asset_id string, delta_goal double, delta_goal_interval {INTERVAL}, delta_control double, delta_control_interval {INTERVAL}, injection_mode string, routed_cases bigint, delta_per_cost double, error string",
+    "REJECTIONS": "run_id string, asset_id string, reason string, redundant_with_asset_ids array<string>",
+}
+
+
+@cache
+def __getattr__(name: str) -> T.StructType:
+    if name not in DDL:
+        raise AttributeError(name)
+    return T.StructType.fromDDL(DDL[name])
 
 
 def one_of(column: Column, vocabulary: tuple[str, ...]) -> Column:
