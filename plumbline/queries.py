@@ -175,7 +175,7 @@ def score_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT source, count(*) FILTER (toxic = 1) AS refused, count(*) FILTER (quality = 0) AS truncated, 0::BIGINT AS usage_estimated,
-           array_to_string(list_sort(list(DISTINCT lang)), ',') AS resolved_models FROM documents JOIN labels USING (doc()) GROUP BY source""")
+           array_to_string(list_sort(list(DISTINCT lang)), ',') AS resolved_models FROM documents JOIN labels USING (doc_id) GROUP BY source""")
 def case_execution(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d).select("source", (F.col("toxic") == 1).alias("refused"), (F.col("quality") == 0).alias("truncated"), F.lit(False).alias("usage_estimated"), F.lit(None).cast("string").alias("provider_build_id"), F.col("lang").alias("resolved_model"))
     return outcomes.case_execution(rows, "source").select("source", "refused", "truncated", "usage_estimated", F.array_join("resolved_models", ",").alias("resolved_models"))
@@ -421,7 +421,7 @@ def holdout_gain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH q AS (SELECT lang, count(*) AS n, sum(quality)::DOUBLE AS passed FROM documents JOIN labels USING (doc()) GROUP BY lang), p AS (SELECT *, passed / n AS r, {Z95 * Z95}::DOUBLE AS z2 FROM q)
+    WITH q AS (SELECT lang, count(*) AS n, sum(quality)::DOUBLE AS passed FROM documents JOIN labels USING (doc_id) GROUP BY lang), p AS (SELECT *, passed / n AS r, {Z95 * Z95}::DOUBLE AS z2 FROM q)
     SELECT lang, n, round((r + z2 / (n * 2) - {Z95} * sqrt(r * (1 - r) / n + z2 / (n::DOUBLE * n * 4))) / (1 + z2 / n), 6) AS low, round((r + z2 / (n * 2) + {Z95} * sqrt(r * (1 - r) / n + z2 / (n::DOUBLE * n * 4))) / (1 + z2 / n), 6) AS high FROM p""")
 def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
     stats = labelled(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("passed"))
@@ -464,7 +464,7 @@ def treatment_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS id, [lang, source] AS tags FROM documents JOIN labels USING (doc()) WHERE quality = 0), e AS (SELECT DISTINCT id, unnest(tags) AS cluster FROM f)
+    WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS id, [lang, source] AS tags FROM documents JOIN labels USING (doc_id) WHERE quality = 0), e AS (SELECT DISTINCT id, unnest(tags) AS cluster FROM f)
     SELECT cluster, count(*) AS failures, round(count(*) / (SELECT count(*) FROM f), 6) AS share FROM e GROUP BY cluster""")
 def failure_clusters(spark: SparkSession, d: str) -> DataFrame:
     failed = labelled(spark, d).filter("quality = 0").select(doc().alias("id"), F.array("lang", "source").alias("tags"))
@@ -472,7 +472,7 @@ def failure_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {ARMS}, fails AS (SELECT DISTINCT source AS cluster FROM documents JOIN labels USING (doc()) WHERE quality = 0), better AS (SELECT source AS cluster FROM pairs GROUP BY source HAVING avg(delta) > 0.05),
+    WITH {ARMS}, fails AS (SELECT DISTINCT source AS cluster FROM documents JOIN labels USING (doc_id) WHERE quality = 0), better AS (SELECT source AS cluster FROM pairs GROUP BY source HAVING avg(delta) > 0.05),
     tried AS (SELECT source AS cluster, array_to_string(list_sort(list(DISTINCT lang)), ',') AS attempted FROM pairs GROUP BY source)
     SELECT cluster, attempted FROM fails LEFT JOIN tried USING (cluster) WHERE cluster NOT IN (SELECT cluster FROM better)""")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -576,7 +576,7 @@ def transfer_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT lang, avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END)::DOUBLE AS agreement, avg(quality)::DOUBLE AS pj, avg(1 - toxic)::DOUBLE AS ph FROM documents JOIN labels USING (doc()) GROUP BY lang)
+    WITH s AS (SELECT lang, avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END)::DOUBLE AS agreement, avg(quality)::DOUBLE AS pj, avg(1 - toxic)::DOUBLE AS ph FROM documents JOIN labels USING (doc_id) GROUP BY lang)
     SELECT lang, round(agreement, 6) AS agreement, CASE WHEN pj * ph + (1 - pj) * (1 - ph) < 1 THEN round((agreement - (pj * ph + (1 - pj) * (1 - ph))) / (1 - (pj * ph + (1 - pj) * (1 - ph))), 6) END AS kappa FROM s""")
 def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
     pairs = labelled(spark, d).withColumn("clean", 1 - F.col("toxic"))
