@@ -135,9 +135,13 @@ def improve(bins: list[list[int]], lengths: Sequence[int], capacity: int) -> lis
     done: set[int] = set()
     while alive > least and open_bins - done:
         emptiest = min(open_bins - done, key=lambda b: (fill[b], b))
+        before = fill[emptiest]
         if _empty(emptiest, bins, fill, lengths, capacity, open_bins):
             alive -= 1
             done.clear()
+        elif fill[emptiest] < before:
+            done = {b for b in done if fill[b] > before}  # emptier bins may now find a place
+            done.add(emptiest)
         else:
             done.add(emptiest)
         open_bins = {b for b in open_bins if 0 < fill[b] < capacity}
