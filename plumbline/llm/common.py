@@ -35,6 +35,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unestimated(df: DataFrame) -> DataFrame:
+    """The same durable rows without Spark's estimate of their size. Estimates of joins are products, so in loops their digits
+    multiply from round to round until planning takes minutes."""
+    own = df._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(own.queryExecution().toRdd(), own.schema(), False), df.sparkSession)
+
+
 def spare_name(df: DataFrame, wish: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

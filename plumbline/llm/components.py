@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable
+from plumbline.llm.common import durable, unestimated
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) of longs. Every node that has a link: (node, label), label being its component's smallest node."""
     # Turned round inside each row: a union of links with links would compute them twice.
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = durable(links.filter("a <> b").select(F.inline(ways)).distinct())
+    both = unestimated(durable(links.filter("a <> b").select(F.inline(ways)).distinct()))
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))
         hooked = labels.join(seen, F.col("node") == F.col("at")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         further = hooked.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        jumped = durable(hooked.join(further, F.col("label") == F.col("via")).select("node", "old", F.least("label", "beyond").alias("label")))
+        jumped = unestimated(durable(hooked.join(further, F.col("label") == F.col("via")).select("node", "old", F.least("label", "beyond").alias("label"))))
         done = jumped.filter("label <> old").isEmpty()
         labels = jumped.select("node", "label")
         if done:

@@ -15,10 +15,11 @@ Texts with the same words are one from the start. Candidates form components; in
 - larger ones in rounds: a few pivots of each component are aligned with all its texts that have no link yet,
   by joins that spread a component over tasks; there are more from round to round. Pivots are the texts that agree with most others, since the copies
   of a text may be near it and not each other; half of them are texts that have got links, so that groups grow
-  along chains. What is left of a component when it is no more than LOCAL texts is aligned with all of it.
+  along chains. Then texts whose groups still differ are aligned, all pairs that can be near: those that share one
+  of the labelled shingles that come first when the ones of a single group lead, then the rarest (bridges).
 
-No pair is cut off: a text leaves the rounds only with a link or after it has met its whole component. Groups
-are the components of the links; copies are never expanded into pairs.
+No pair is cut off: two texts of a component are left out only when they are in one group already or have too few
+shingles in common. Groups are the components of the links; copies are never expanded into pairs.
 
 Defined results: a null text is an empty one; texts without words are copies of each other; a text of fewer
 than five words has one shingle of all its words; repeated rows are copies; of a group the row with the
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import durable, ship, spare_name
+from plumbline.llm.common import durable, ship, spare_name, unestimated
 from plumbline.llm.components import components
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
@@ -208,12 +209,31 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(nodes[i], nodes[r]) for i, r in enumerate(root.tolist()) if r != i], columns=["a", "b"]).astype("int64")
 
 
+class Joined:
+    """Which names have been linked, directly or through others."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def first(self, name: int) -> int:
+        while (up := self.root.setdefault(name, name)) != name:
+            self.root[name] = self.root[up]
+            name = up
+        return name
+
+    def link(self, a: int, b: int) -> None:
+        self.root[self.first(a)] = self.first(b)
+
+
 def meet(texts: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-    """Links of each text with each of the others."""
+    """Links between the texts and the others: as many as join all that all of them would join."""
     ready, own = Texts(others["other_body"].tolist()), Texts(texts["body"].tolist())
-    names, out = others["other"].tolist(), []
+    names, out, joined = others["other"].tolist(), [], Joined()
     for i, node in enumerate(texts["node"].tolist()):
-        out += [(node, names[j]) for j in ready.alike(own, i).tolist() if names[j] != node and ready.near(j, own, i)]
+        for j in ready.alike(own, i).tolist():
+            if joined.first(names[j]) != joined.first(node) and ready.near(j, own, i):
+                joined.link(node, names[j])
+                out.append((node, names[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -237,7 +257,7 @@ def settle_large(texts: DataFrame) -> DataFrame:
     links, pivots = texts.sparkSession.createDataFrame([], "a long, b long"), PIVOTS
     while True:
         open_rows = state.filter("not linked and not used")
-        going = open_rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > LOCAL).select("group")
+        going = open_rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > min(LOCAL, PIVOTS)).select("group")
         # A rank limit is taken in each task before rows move, so no task gets a whole component.
         turn = Window.partitionBy("group", "linked").orderBy(F.col("weight").desc(), "node")
         ranked = state.filter("not used").join(going, "group").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= pivots // 2)
@@ -247,13 +267,65 @@ def settle_large(texts: DataFrame) -> DataFrame:
         found = durable(_meetings(texts.join(open_rows.select("node"), "node"), chosen))
         links = links.unionByName(found)
         hit = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct().withColumn("hit", F.lit(True))
-        state = durable(
+        state = unestimated(durable(
             state.join(hit, "node", "left").join(chosen.select("node").withColumn("pivot", F.lit(True)), "node", "left")
             .select("node", "group", "weight", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"), (F.col("used") | F.coalesce("pivot", F.lit(False))).alias("used"))
-        )
+        ))
         pivots *= GROWTH
-    left = state.filter("not linked and not used").select("node")
-    return links.unionByName(_meetings(texts, texts.join(left, "node")))
+    links = unestimated(durable(links))
+    return links.unionByName(bridges(texts, components(links)))
+
+
+def shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each labelled shingle of each text, told apart by component."""
+    for batch in batches:
+        bags = [labelled(np.frombuffer(b, dtype=np.uint32).astype(np.uint64)) for b in batch["body"].tolist()]
+        n = [len(b) for b in bags]
+        flat = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
+        groups = np.repeat(batch["group"].to_numpy(dtype=np.int64), n).view(np.uint64)
+        yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), n), "class": np.repeat(batch["class"].to_numpy(), n), "token": _mix(flat + groups * np.uint64(_BASE)).view(np.int64)})
+
+
+def near_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Those of the pairs that are near, without those of classes that this task has joined already."""
+    joined = Joined()
+    for batch in batches:
+        out = []
+        for a, b, of_a, of_b, x, y in zip(*(batch[c].tolist() for c in ("a", "b", "of_a", "of_b", "x", "y"))):
+            if joined.first(of_a) != joined.first(of_b):
+                one, other = Texts([x]), Texts([y])
+                if len(one.alike(other, 0)) and one.near(0, other, 0):
+                    joined.link(of_a, of_b)
+                    out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def bridges(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between texts of a component whose classes differ, from all pairs that can be near.
+
+    Near texts have four fifths of the labelled shingles of each in common. So in any order of all shingles, they share one
+    among the first n - ceil(4n / 5) + 1 of each. The order is: shingles of one class alone, which join nothing and
+    are left out, then by the number of texts.
+    """
+    classed = texts.join(classes, "node", "left").select("node", "group", "size", "body", F.coalesce("label", "node").alias("class"))
+    mixed = classed.groupBy("group").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("group")
+    classed = durable(classed.join(mixed, "group"))
+    held = classed.select("node", "group", "class", "body").mapInPandas(shingle_rows, "node long, class long, token long")
+    shared = held.groupBy("token").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token", "n")
+    own, turn = Window.partitionBy("node"), Window.partitionBy("node").orderBy("n", "token")
+    placed = held.join(shared, "token").select("node", "token", F.count("*").over(own).alias("n_shared"), F.row_number().over(turn).alias("turn"))
+    sized = classed.select("node", "class", "size")
+    first = durable(placed.join(sized, "node").filter("turn + size - n_shared <= size - ceil(size * 4 / 5) + 1").select("token", "node", "class", "size"))
+    # Classes meet before texts do, so that texts of one class, however many share a shingle, make no rows.
+    kinds = first.select("token", "class").distinct()
+    met = kinds.withColumnRenamed("class", "of_a").join(kinds.withColumnRenamed("class", "of_b"), "token").filter("of_a < of_b")
+    left = first.select("token", F.col("class").alias("of_a"), F.col("node").alias("a"), F.col("size").alias("size_a"))
+    right = first.select("token", F.col("class").alias("of_b"), F.col("node").alias("b"), F.col("size").alias("size_b"))
+    met = durable(met)
+    pairs = durable(met.join(left, ["token", "of_a"]).join(right, ["token", "of_b"]).filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)").select("a", "b", "of_a", "of_b").distinct())
+    bodies = classed.select("node", "body")
+    full = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    return full.select("a", "b", "of_a", "of_b", "x", "y").mapInPandas(near_pairs, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -237,6 +237,31 @@ def test_near_dedup(spark, monkeypatch, local, part):
     assert sorted((plain(r.doc_id), plain(r.group_id), r.group_size) for r in got.itertuples()) == want
 
 
+def drifting(n, *, seed=11, words=60):
+    """Versions of a text, each near its neighbours and no others but a few."""
+    draw = random.Random(seed)
+    text, out = [f"s{draw.randrange(10**9)}" for _ in range(words)], []
+    for i in range(n):
+        out.append((i, " ".join(text)))
+        text = text[1:] + [f"s{draw.randrange(10**9)}"]
+    draw.shuffle(out)
+    return out
+
+
+def test_near_dedup_bridges_groups_of_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LOCAL", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    rows = drifting(40) + [(100 + i, t) for i, t in drifting(12, seed=12)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and near_by_brute_force(rows[i][1], rows[j][1]):
+                root = [root[j] if r == root[i] else r for r in root]
+    assert len(set(root)) == 2
+    got = near_dedup.near_groups(table(spark, rows)).toPandas().set_index("doc_id")["group_id"]
+    assert len({(got[rows[i][0]], root[i]) for i in range(len(rows))}) == len(set(got)) == 2
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_groups(table(spark, [])).count() == 0
     assert near_dedup.keep_one_of_each(table(spark, [(1, "a"), (2, "a"), (3, None)])).count() == 2
