@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with each row's place as column row, written once to the shared folder: a later scan of the input may deal its
+    rows to other partitions, and then gives them other numbers."""
+    folder = f"{shared_dir(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def unestimated(df: DataFrame) -> DataFrame:
     """The same durable rows without Spark's estimate of their size. Estimates of joins are products, so in loops their digits
     multiply from round to round until planning takes minutes."""

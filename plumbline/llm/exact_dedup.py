@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import SPACE_RUN, durable, ship, spare_name
+from plumbline.llm.common import SPACE_RUN, durable, numbered, ship, spare_name
 
 #: A digest with more than this share of the rows is frequent; counters of each Misra-Gries summary.
 SHARE, COUNTERS = 1 / 256, 2048
@@ -51,9 +51,9 @@ def frequent_digests(rows: DataFrame, share: float, counters: int) -> DataFrame:
     return summaries.groupBy("digest").agg(F.sum("low").alias("low")).filter(F.col("low") >= least).select("digest")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, counters: int = COUNTERS) -> DataFrame:
-    """Every row: doc_id, keep_id, group_size, kept, text_sha256, row (its place in the input)."""
-    rows = durable(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")))
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, share: float = SHARE, counters: int = COUNTERS) -> DataFrame:
+    """Every row: doc_id, keep_id, group_size, kept, text_sha256, row (row_col, else its place in the input)."""
+    rows = durable(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("digest"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")))
     frequent = durable(frequent_digests(rows, share, counters))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     winners = durable(rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("group_size")))
@@ -68,7 +68,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     row = spare_name(docs, "row_number_here")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col)
+    docs = numbered(docs, row)
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, row_col=row)
     dropped = groups.filter(~F.col("kept")).select(F.col("row").alias(row))
-    return numbered.join(dropped, row, "left_anti").drop(row)
+    return docs.join(dropped, row, "left_anti").drop(row)

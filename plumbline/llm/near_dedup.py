@@ -24,7 +24,7 @@ shingles in common. Groups are the components of the links; copies are never exp
 Defined results: a null text is an empty one; texts without words are copies of each other; a text of fewer
 than five words has one shingle of all its words; repeated rows are copies; of a group the row with the
 smallest id stays (null ids last, then by place); an empty table gives an empty result; other columns are not
-looked at. docs is read twice and must give its rows alike both times, as tables and files do.
+looked at. docs is read once, numbered and written.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import durable, ship, spare_name, unestimated
+from plumbline.llm.common import durable, numbered, ship, spare_name, unestimated
 from plumbline.llm.components import components
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
@@ -328,12 +328,15 @@ def bridges(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return full.select("a", "b", "of_a", "of_b", "x", "y").mapInPandas(near_pairs, "a long, b long")
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row: doc_id, group_id (id of the row that stays), group_size, kept, row (its place in the input)."""
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Every row: doc_id, group_id (id of the row that stays), group_size, kept, row (row_col, else its place in the input).
+
+    With row_col, docs must give its rows alike each time, as numbered() does."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(numbered.mapInPandas(sketch_rows, "row long, doc_id string, digest binary, size long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)))
+    own = [F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    texts = docs.select(F.col(row_col).alias("row"), *own) if row_col else numbered(docs.select(*own), "row")
+    rows = durable(texts.mapInPandas(sketch_rows, "row long, doc_id string, digest binary, size long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)))
     firsts = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     placed = firsts.select("node", "size", F.posexplode("sketch").alias("nth", "key"))
     buckets = placed.groupBy("nth", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
@@ -342,7 +345,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
     nodes = durable(labels.join(weights, "node"))
     sizes = durable(nodes.groupBy("group").agg(((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")))
-    members = numbered.join(nodes.join(sizes, "group"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
+    members = texts.join(nodes.join(sizes, "group"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
     links = members.filter(~F.col("is_large")).groupBy("group").applyInPandas(settle, "a long, b long")
     if not sizes.filter("is_large").isEmpty():
         links = links.unionByName(settle_large(durable(members.filter("is_large"))))
@@ -357,5 +360,6 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     row = spare_name(docs, "row_number_here")
-    dropped = near_groups(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").drop(row)
+    docs = numbered(docs, row)
+    dropped = near_groups(docs, id_col=id_col, text_col=text_col, row_col=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)

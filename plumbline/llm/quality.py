@@ -162,16 +162,17 @@ def judged(featured: DataFrame, model: DataFrame) -> DataFrame:
     return scored.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).drop("quality_model", "quality_votes")
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row: doc_id, FEATURES, base_failed, quality, kept, row (its place in the input)."""
-    featured = durable(features(docs, text_col, F.col(id_col), F.monotonically_increasing_id()).withColumnsRenamed({"carried_0": "doc_id", "carried_1": "row"}))
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Every row: doc_id, FEATURES, base_failed, quality, kept, row (row_col, else its place in the input)."""
+    featured = durable(features(docs, text_col, F.col(id_col), F.col(row_col) if row_col else F.monotonically_increasing_id()).withColumnsRenamed({"carried_0": "doc_id", "carried_1": "row"}))
     return judged(featured, durable(fit(featured.select(votes().alias("votes")))))
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the base checks and the rules keep, with all their columns."""
-    from plumbline.llm.common import spare_name
+    from plumbline.llm.common import numbered, spare_name
 
     row = spare_name(docs, "row_number_here")
-    dropped = quality_rules(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").drop(row)
+    docs = numbered(docs, row)
+    dropped = quality_rules(docs, id_col=id_col, text_col=text_col, row_col=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)

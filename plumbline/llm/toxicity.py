@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ship, spare_name
+from plumbline.llm.common import numbered, ship, spare_name
 
 WINDOW, STEP = 32, 24
 ENTRIES, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 6, 10, 8, 8
@@ -328,7 +328,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs below the threshold, with all their columns."""
     row = spare_name(docs, "row_number_here")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    found = score(numbered, fit(docs, labels, id_col=id_col, text_col=text_col), key=F.col(row), text_col=text_col)
+    docs = numbered(docs, row)
+    found = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), key=F.col(row), text_col=text_col)
     dropped = found.filter(F.col("score") >= THRESHOLD).select(F.col("key").cast("long").alias(row))
-    return numbered.join(dropped, row, "left_anti").drop(row)
+    return docs.join(dropped, row, "left_anti").drop(row)

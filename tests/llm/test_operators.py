@@ -267,6 +267,17 @@ def test_near_dedup_of_nothing(spark):
     assert near_dedup.keep_one_of_each(table(spark, [(1, "a"), (2, "a"), (3, None)])).count() == 2
 
 
+def test_copies_are_dropped_by_numbers_of_one_scan(spark):
+    def in_another_order(batches):
+        for batch in batches:
+            yield batch.sample(frac=1)
+
+    texts = [f"{name} one two three four five six" for name in "abcdefgh"]
+    docs = spark.createDataFrame([(i, texts[i % 8]) for i in range(24)], "doc_id long, text string").coalesce(1).mapInPandas(in_another_order, "doc_id long, text string")
+    for drop in (exact_dedup.drop_exact_copies, near_dedup.keep_one_of_each):
+        assert sorted(map(tuple, drop(docs).collect())) == list(enumerate(texts))
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = queries.op1_toxicity(spark, "/root/testdata/sf0.1").toPandas()
