@@ -262,6 +262,14 @@ def test_near_dedup_bridges_groups_of_a_large_component(spark, monkeypatch):
     assert len({(got[rows[i][0]], root[i]) for i in range(len(rows))}) == len(set(got)) == 2
 
 
+def test_texts_linked_in_one_round_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LOCAL", 2)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 4)
+    rows = [(k, 0, 100, 9 if k in (0, 3) else 1, bytearray(b"".join(i.to_bytes(4, "little") for i in range(8 * k, 8 * k + 100)))) for k in range(4)]
+    links = near_dedup.settle_large(spark.createDataFrame(rows, "node long, group long, size long, weight long, body binary"))
+    assert {r["label"] for r in near_dedup.components(links).collect()} == {0}
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_groups(table(spark, [])).count() == 0
     assert near_dedup.keep_one_of_each(table(spark, [(1, "a"), (2, "a"), (3, None)])).count() == 2
