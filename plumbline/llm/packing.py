@@ -26,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable, ship
+from plumbline.llm.spans import AT_ONCE, class_table, code_points, gather, number_spans, parts_of, words_between
 
-#: Tokens of a sequence; the end mark's id; documents of a group; remembered words of a task; words in one call of the tokenizer.
-SEQUENCE, END_ID, GROUP_ROWS, REMEMBERED, CALL_WORDS = 2048, 0, 16_384, 600_000, 4096
+#: Tokens of a sequence; the end mark's id; documents of a group; remembered words of a worker.
+SEQUENCE, END_ID, GROUP_ROWS, REMEMBERED = 2048, 0, 16_384, 600_000
 
 
 class WordEncoder:
-    """Texts to their ids, little-endian, four bytes each.
+    """Texts to their ids, little-endian, four bytes each, as the tokenizer itself gives them.
 
-    White space only separates for this tokenizer and case is dropped, so words are encoded by themselves, in
-    lower case, and remembered: the first REMEMBERED words for the life of the worker, later ones for a call.
+    White space only separates for this tokenizer and case is dropped, so the distinct words of many texts are
+    encoded by themselves, in lower case, and remembered: the first REMEMBERED words for the life of the worker,
+    later ones for a call. A word of the scripts in _PLAIN is cut by the tokenizer's own pattern and its parts go
+    to the tokenizer's model; any other word, and a text with a control token, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,42 +46,100 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model_ids = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            lower = text.lower()
-            # Lower case by characters, as the tokenizer has it; where composing or a final sigma could matter, as it is.
-            if "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower):
-                text = lower
-        else:
-            text = text.lower()
-        return [w for w in _SPACES.split(text) if w] if _CONTROLS.search(text) else text.split()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str, known: dict[str, bytes]) -> bytes:
+        got = known.get(part)
+        if got is None:
+            as_bytes = part if part.isascii() else "".join([_BYTE_CHARS[b] for b in part.encode()])
+            got = known[part] = np.array([t.id for t in self.model_ids(as_bytes)], dtype="<u4").tobytes()
+        return got
 
-    def _add(self, known: dict[str, bytes], new: list[str]) -> None:
-        for low in range(0, len(new), CALL_WORDS):
-            part = new[low:low + CALL_WORDS]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
+    def _word(self, word: str, known: dict[str, bytes]) -> bytes:
+        got = known.get(word)
+        if got is None:
+            if not _PLAIN.fullmatch(word) or word != word.lower():
+                got = self._whole(word)
+            elif word.isalpha():
+                return self._part(word, known)
+            else:
+                got = b"".join([self._part(p, known) for p in _PARTS.findall(word)])
+            known[word] = got
+        return got
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        joined = " ".join(parts)
+        codes = code_points(joined)
+        starts, ends = words_between(codes, class_table(r"\s"))
+        numbers, firsts = number_spans(codes, starts, ends)
+        known = self.known if len(self.known) < REMEMBERED else Layered(self.known)
+        words = [joined[s:e] for s, e in zip(starts[firsts].tolist(), ends[firsts].tolist(), strict=True)]
+        ids = [self._word(w, known) if x is None else x for w, x in zip(words, map(known.get, words), strict=True)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        body = gather(np.frombuffer(b"".join(ids), dtype="<u4"), (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]).tobytes()
+        before = np.concatenate([[0], np.cumsum(sizes[numbers])])  # ids before each word
+        part_ends = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+        at = (4 * before[np.searchsorted(starts, part_ends)]).tolist()
+        return [body[low:high] for low, high in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            # A word with one mark behind it is the word, then the mark.
-            marked = {w: (w[:-1], w[-1]) for w in new if w[-1] in ",." and w[:-1].isalpha()}
-            parts = {x for pair in marked.values() for x in pair} | (new - marked.keys())
-            if len(known) >= REMEMBERED:
-                known = {w: known[w] for words in split for w in words if w in known} | {x: known[x] for x in parts if x in known}
-            self._add(known, [x for x in parts if x not in known])
-            for word, (head, tail) in marked.items():
-                known[word] = known[head] + known[tail]
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-_SPACES, _CONTROLS = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts, owners, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal parts, owners, size
+            for i, ids in zip(owners, self._encode_parts(parts), strict=True):
+                out[i].append(ids)
+            parts, owners, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            if "<|" in text and _CONTROL_TOKENS.search(text):
+                out[i].append(self._whole(text))
+                continue
+            for part in parts_of(lower_case(text)):
+                parts.append(part)
+                owners.append(i)
+                size += len(part)
+                if size >= AT_ONCE:
+                    flush()
+        if parts:
+            flush()
+        return [b"".join(ids) for ids in out]
+
+
+class Layered(dict):
+    """What is added stays here; what is not here is looked for below."""
+
+    def __init__(self, below: dict[str, bytes]) -> None:
+        super().__init__()
+        self.below = below
+
+    def get(self, key: str) -> bytes | None:
+        return super().get(key) or self.below.get(key)
+
+
+def lower_case(text: str) -> str:
+    """Lower case by characters, as the tokenizer has it; where composing or a final sigma could matter, as it is."""
+    if text.isascii():
+        return text.lower()
+    lower = text.lower()
+    return lower if "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower) else text
+
+
+#: The tokenizer's control tokens and its pattern, which takes a word apart.
+_CONTROL_TOKENS = regex.compile(r"<\|(?:start|end)oftext\|>", regex.IGNORECASE)
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Lower-case words of Latin and Cyrillic letters and of what ASCII prints: composed, and told apart alike by all libraries.
+_PLAIN = regex.compile("[\x21-\x40\x5b-\x7e\xdf-\u017f\u0430-\u045f]+")
+#: Bytes as characters: printable ones as they are, the others from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -93,8 +154,8 @@ def cut_pieces(batches: Iterator[pd.DataFrame], path: str, sequence: int) -> Ite
     encode, end = word_encoder(path).encode, np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
         rows = []
-        for low in range(0, len(batch), 256):
-            part = batch.iloc[low:low + 256]
+        for low in range(0, len(batch), 1024):
+            part = batch.iloc[low:low + 1024]
             for doc_id, ids in zip(part["doc_id"].tolist(), encode(part["text"].tolist()), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
