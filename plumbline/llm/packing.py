@@ -2,10 +2,11 @@
 
 Every document becomes ids and an end mark; longer ones than a sequence are cut into pieces of full length, the
 last may be shorter. Full pieces are sequences by themselves. The others are dealt at random into groups of
-bounded size; each group is packed by best fit in order of falling length, then improved: the emptiest bin gives
-its pieces away by moving them, or exchanges them one for one or one for two with pieces of other underfull
-bins. Each step increases the sum of the squared fills, until bins empty or no step is left. The groups waste
-less than one sequence each, however many there are.
+bounded size; each group is put into bins by best fit in random order, and local search does the rest: the
+emptiest bin gives its pieces away by moving them, or exchanges them one for one, one for two or two for one with
+pieces of other underfull bins. Each step increases the sum of the squared fills, until bins empty and no fewer
+are possible, or no step is left; then the search also starts from best fit by falling length, and the better
+end counts. The groups waste less than one sequence each, however many there are.
 
 Defined results: a null text is empty; an empty text is its end mark; ties in length are broken by place;
 repeated rows and ids are packed like others; texts of any length are read whole; an empty table gives an empty
@@ -164,12 +165,12 @@ def cut_pieces(batches: Iterator[pd.DataFrame], path: str, sequence: int) -> Ite
         yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
-    """Bins of indexes: each length, from the largest, goes where least room is left that still holds it."""
+def best_fit(lengths: Sequence[int], capacity: int, order: Sequence[int]) -> list[list[int]]:
+    """Bins of indexes: each length, in the given order, goes where least room is left that still holds it."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: a bin with room r
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for i in order:
         need = lengths[i]
         fits = rooms >> need
         if fits:
@@ -187,71 +188,162 @@ def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: Sequence[int], capacity: int) -> list[list[int]]:
-    """Empties bins by moves and swaps between underfull bins; ends at the least possible number or where no step gains."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = sum(1 for f in fill if f)
-    open_bins = {b for b, f in enumerate(fill) if 0 < f < capacity}
-    done: set[int] = set()
-    while alive > least and open_bins - done:
-        emptiest = min(open_bins - done, key=lambda b: (fill[b], b))
-        before = fill[emptiest]
-        if _empty(emptiest, bins, fill, lengths, capacity, open_bins):
-            alive -= 1
-            done.clear()
-        elif fill[emptiest] < before:
-            done = {b for b in done if fill[b] > before}  # emptier bins may now find a place
-            done.add(emptiest)
-        else:
-            done.add(emptiest)
-        open_bins = {b for b in open_bins if 0 < fill[b] < capacity}
-    return [b for b in bins if b]
+class Search:
+    """Local search over bins: steps that take from one bin what increases the sum of the squared fills.
 
+    A step moves a piece, or exchanges one or two pieces of the source for one or two of another bin; two for two
+    is left to two steps. Lengths in sorted order, and the sums of the pairs of each bin, are the index by which
+    a step is found; a bin of more than FEW pieces keeps the sums of its pairs for itself.
+    """
 
-def _empty(source: int, bins: list[list[int]], fill: list[int], lengths: Sequence[int], capacity: int, open_bins: set[int]) -> bool:
-    """Steps that take from source, the largest gain first; True once it is empty."""
-    while bins[source]:
+    FEW = 8
+
+    def __init__(self, bins: list[list[int]], lengths: Sequence[int], capacity: int) -> None:
+        self.bins, self.capacity, self.steps = bins, capacity, 0
+        self.lengths = np.asarray(lengths, dtype=np.int64)
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
+        self.where = np.zeros(len(lengths), dtype=np.int64)
+        for b, own in enumerate(bins):
+            self.where[own] = b
+        self.order = np.argsort(self.lengths, kind="stable")
+        self.sorted = self.lengths[self.order]
+        self.left, self.right = np.triu_indices(self.FEW, 1)
+        self.pair_sums = np.full((len(bins), len(self.left)), 4 * capacity, dtype=np.int32)
+        self.many: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in range(len(bins)):
+            self._index(b)
+
+    def _index(self, b: int) -> None:
+        own = self.lengths[self.bins[b]]
+        self.many.pop(b, None)
+        self.pair_sums[b] = 4 * self.capacity
+        if len(own) <= self.FEW:
+            there = self.right < len(own)
+            self.pair_sums[b, there] = own[self.left[there]] + own[self.right[there]]
+        else:
+            sums, i, j = self._pairs(b)
+            self.many[b] = sums, i, j
+
+    def _pairs(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different sums of two pieces of a bin, and a pair (its places) for each."""
+        own = self.lengths[self.bins[b]]
+        values, at = np.unique(own, return_index=True)
+        i, j = np.triu_indices(len(values), 1)
+        sums, left, right = values[i] + values[j], at[i], at[j]
+        for v, first in zip(values.tolist(), at.tolist(), strict=True):
+            same = np.flatnonzero(own == v)
+            if len(same) > 1:
+                sums, left, right = np.append(sums, 2 * v), np.append(left, first), np.append(right, same[1])
+        sums, once = np.unique(sums, return_index=True)
+        return sums, left[once], right[once]
+
+    def _for_one(self, source: int, give: int, most: int) -> tuple[int, int] | None:
+        """The best piece of another bin to get back for length give: (gain, piece)."""
+        low, high = np.searchsorted(self.sorted, (give - most, give))
+        pieces = self.order[low:high]
+        of = self.where[pieces]
+        d = give - self.sorted[low:high]
+        gain = np.where((d <= self.capacity - self.fill[of]) & (of != source), d * (self.fill[of] - self.fill[source] + d), 0)
+        if not len(gain) or gain[k := int(gain.argmax())] <= 0:
+            return None
+        return int(gain[k]), int(pieces[k])
+
+    def _for_two(self, source: int, give: int) -> tuple[int, int, int, int] | None:
+        """The best pair of another bin to get back for length give: (gain, bin, and the pair's places)."""
+        # Unsigned: a sum that is not less than give lies behind every room.
+        able = np.flatnonzero((np.int32(give - 1) - self.pair_sums).view(np.uint32) < (self.capacity - self.fill).astype(np.uint32)[:, None])
+        bins = able // len(self.left)
+        d = give - self.pair_sums.ravel()[able]
+        gain = np.where(bins != source, d * (self.fill[bins] - self.fill[source] + d), 0)
+        best = None
+        if len(gain) and gain[k := int(gain.argmax())] > 0:
+            place = int(able[k]) % len(self.left)
+            best = int(gain[k]), int(bins[k]), int(self.left[place]), int(self.right[place])
+        for b, (sums, left, right) in self.many.items():
+            if b != source and (room := self.capacity - int(self.fill[b])) > 0:
+                low, high = np.searchsorted(sums, (give - room, give))
+                if low < high:  # the least pair back gives the most, as long as the target is the fuller one
+                    d = give - sums[low:high]
+                    gain = d * (int(self.fill[b] - self.fill[source]) + d)
+                    k = int(gain.argmax())
+                    if gain[k] > 0 and (best is None or gain[k] > best[0]):
+                        best = int(gain[k]), b, int(left[low + k]), int(right[low + k])
+        return best
+
+    def _step(self, source: int) -> bool:
+        """One step that takes from source, if there is any that gains."""
+        own = self.bins[source]
+        room = self.capacity - self.fill
+        room[source] = 0
+        most = int(room.max())
+        if most <= 0:
+            return False
+        singles = {int(self.lengths[p]): p for p in own}
+        for size in sorted(singles, reverse=True):
+            if size <= most:
+                fits = np.where(room >= size, room, self.capacity + 1)
+                b = int(fits.argmin())
+                if self.fill[b] - self.fill[source] + size > 0:
+                    return self._apply(source, b, [singles[size]], [])
         best: tuple | None = None
-        others = [b for b in open_bins if b != source and capacity > fill[b] >= fill[source]]
-        for p in sorted(bins[source], key=lambda i: -lengths[i]):
-            size = lengths[p]
-            for b in others:
-                room, ahead = capacity - fill[b], fill[b] - fill[source]
-                if room >= size:
-                    choice = (size * (ahead + size), b, p, ())
-                    if best is None or choice[0] > best[0]:
-                        best = choice
-                    continue
-                own = bins[b]
-                for k, i in enumerate(own):
-                    d = size - lengths[i]  # one for one
-                    if 0 < d <= room and (best is None or d * (ahead + d) > best[0]):
-                        best = (d * (ahead + d), b, p, (i,))
-                    if d > 0:
-                        for j in own[k + 1:]:  # two for one
-                            e = d - lengths[j]
-                            if 0 < e <= room and (best is None or e * (ahead + e) > best[0]):
-                                best = (e * (ahead + e), b, p, (i, j))
+        for size in singles:
+            if (found := self._for_one(source, size, most)) and (best is None or found[0] > best[0]):
+                best = found[0], int(self.where[found[1]]), [singles[size]], [found[1]]
         if best is None:
-            return False
-        _, b, p, back = best
-        bins[source].remove(p)
-        for i in back:
-            bins[b].remove(i)
-        bins[b].append(p)
-        bins[source].extend(back)
-        moved = lengths[p] - sum(lengths[i] for i in back)
-        fill[b] += moved
-        fill[source] -= moved
-    return True
+            for size in singles:
+                if (found := self._for_two(source, size)) and (best is None or found[0] > best[0]):
+                    best = found[0], found[1], [singles[size]], [self.bins[found[1]][k] for k in found[2:]]
+            sums, left, right = self._pairs(source)
+            for size, i, j in zip(sums.tolist(), left.tolist(), right.tolist(), strict=True):
+                if (found := self._for_one(source, size, most)) and (best is None or found[0] > best[0]):
+                    best = found[0], int(self.where[found[1]]), [own[i], own[j]], [found[1]]
+        return best is not None and self._apply(source, *best[1:])
+
+    def _apply(self, source: int, b: int, given: list[int], back: list[int]) -> bool:
+        self.bins[source] = [p for p in self.bins[source] if p not in given] + back
+        self.bins[b] = [p for p in self.bins[b] if p not in back] + given
+        moved = int(self.lengths[given].sum() - (self.lengths[back].sum() if back else 0))
+        self.fill[b] += moved
+        self.fill[source] -= moved
+        self.where[given], self.where[back] = b, source
+        self._index(source)
+        self._index(b)
+        self.steps += 1
+        return True
+
+    def run(self) -> list[list[int]]:
+        """Empties bins until their number is the least possible or no step gains; the emptiest bin gives first."""
+        least = -(-int(self.fill.sum()) // self.capacity)
+        alive = int((self.fill > 0).sum())
+        stepped = True
+        while stepped and alive > least:
+            stepped = False
+            done = np.zeros(len(self.bins), dtype=bool)
+            while alive > least and (able := ~done & (self.fill > 0) & (self.fill < self.capacity)).any():
+                source = int(np.where(able, self.fill, self.capacity).argmin())
+                done[source] = True
+                while self.bins[source] and self._step(source):
+                    stepped = True
+                alive -= not self.bins[source]
+        return [b for b in self.bins if b]
+
+
+def packed(lengths: Sequence[int], capacity: int) -> tuple[list[list[int]], int]:
+    """Bins, and the number of steps of the search. The search starts from best fit in the given order; where it does not
+    end at the least possible number of bins, also from best fit by falling length, and the better end counts."""
+    search = Search(best_fit(lengths, capacity, range(len(lengths))), lengths, capacity)
+    bins, steps = search.run(), search.steps
+    if len(bins) > -(-sum(lengths) // capacity):
+        other = Search(best_fit(lengths, capacity, sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))), lengths, capacity)
+        bins, steps = min((other.run(), other.steps), (bins, steps), key=lambda x: len(x[0]))
+    return bins, steps
 
 
 def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pieces = pieces.sort_values(["length", "ids_crc32", "place"], ascending=[False, True, True], ignore_index=True)
+    pieces = pieces.sort_values(["ids_crc32", "length", "place"], ignore_index=True)
     lengths = pieces["length"].tolist()
     sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    for number, members in enumerate(improve(best_fit(lengths, capacity), lengths, capacity)):
+    for number, members in enumerate(packed(lengths, capacity)[0]):
         at = 0
         for i in members:
             sequence[i], offset[i] = number, at

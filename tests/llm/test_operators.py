@@ -7,11 +7,13 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, quality, queries, sharding, toxicity, urls
+from plumbline.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, quality, queries, sharding, spans, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -100,7 +102,11 @@ def test_html(spark):
 def test_bpe_equals_the_library(spark, real):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library = bpe.encoder_of(path, public_tokenizers.PATTERN)
-    for rows in (HARD, real):
+    assert public_tokenizers.PATTERN == bpe.BYTE_LEVEL_PATTERN
+    draw = random.Random(8)
+    odd = ["a", "É", "é", "<|endoftext|>", " ", "  ", "\n", "\t", "\x1c", " ", "'s", "'S", "'re", "'l", "'ll", "'", "ß", "12", "漢", "🙂", "²", ",", "!!", "\x00", "word", "\r\n"]
+    fuzz = [(i, "".join(draw.choice(odd) for _ in range(draw.randint(0, 25)))) for i in range(3000)]
+    for rows in (HARD, real, fuzz):
         got = bpe.encode_and_decode(table(spark, rows), path, public_tokenizers.PATTERN).toPandas()
         want = []
         for i, text in rows:
@@ -111,6 +117,37 @@ def test_bpe_equals_the_library(spark, real):
     assert bpe.encode_and_decode(table(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pre_tokens_of_long_texts_and_of_other_patterns(monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 100)
+    text = " ".join(random.Random(1).choices(["foo", "bar", "Baz,", "it's", "é1", "\n"], k=3000))
+    for pattern in (bpe.BYTE_LEVEL_PATTERN, r"\w+|\s|\W"):
+        chunk = bpe.Chunk(pattern)
+        for t in (text, "", "x"):
+            chunk.add(t)
+        chunk.settle()
+        words, flat = list(chunk.numbered), np.concatenate(chunk.codes)
+        want = regex.findall(pattern, text)
+        assert [words[k] for k in flat] == [*want, "x"] and chunk.sizes == [len(want), 0, 1]
+
+
+def test_blocks_of_another_reading_are_refused():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    one, other = (pd.concat(bpe.explode_words(iter([pd.DataFrame({"doc_id": ["1", "2"], "text": texts})]), 0, bpe.BYTE_LEVEL_PATTERN, 2)) for texts in (["a b", "c"], ["a b", "d"]))
+    encoded = pd.concat(bpe.encode_words(iter([other[other["bucket"] >= 0]]), path, bpe.BYTE_LEVEL_PATTERN))
+    assert len(bpe.reassemble(other, encoded, path)) == 2
+    with pytest.raises(ValueError, match="another order"):
+        bpe.reassemble(one, encoded, path)
+
+
+def test_equal_spans_get_equal_numbers_also_where_hashes_deceive(monkeypatch):
+    codes = spans.code_points("ab cd ab é ab cd")
+    starts, ends = spans.words_between(codes, spans.class_table(r"\s"))
+    for weights in (spans._WEIGHTS, np.zeros(1 << 12, np.uint64)):
+        monkeypatch.setattr(spans, "_WEIGHTS", weights)
+        numbers, firsts = spans.number_spans(codes, starts, ends)
+        assert numbers.tolist() == [0, 1, 0, 2, 0, 1] and firsts.tolist() == [0, 1, 3]
+
+
 def counted(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -140,7 +177,8 @@ def test_packing(spark, real):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = Tokenizer.from_file(path).encode
-    for rows in (HARD[:8], real):
+    control = [(20, "a <|endoftext|> b"), (21, "x<|startoftext|>Y<|ENDOFTEXT|>"), (22, "ΑΣ Σ İ é É Å <| |>"), (23, "it's IT'S 12 a\x1cb\x85c")]
+    for rows in (HARD + control, real):
         got = packing.pack(table(spark, rows), path).toPandas()
         want = collections.Counter()
         for i, text in rows:
@@ -156,16 +194,50 @@ def test_packing(spark, real):
     assert packing.pack(table(spark, []), path).count() == 0
 
 
+def gaining_steps(bins, lengths, capacity):
+    """By brute force: is there a step that increases the squared fill?"""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for s, own in enumerate(bins):
+        gives = [lengths[i] for i in own] + [lengths[i] + lengths[j] for k, i in enumerate(own) for j in own[:k]]
+        singles = {lengths[i] for i in own}
+        for b, others in enumerate(bins):
+            if b != s:
+                backs = [(0, 0), *((lengths[i], 1) for i in others), *((lengths[i] + lengths[j], 2) for k, i in enumerate(others) for j in others[:k])]
+                for n, give in enumerate(gives):
+                    for back, many in backs:
+                        if n >= len(own) and many != 1 or many == 2 and give not in singles:
+                            continue  # two pieces go for one alone
+                        d = give - back
+                        if 0 < d <= capacity - fill[b] and fill[b] - fill[s] + d > 0:
+                            return True
+    return False
+
+
 def test_swaps_empty_bins():
     lengths = [6, 6, 4, 4, 4, 3, 3]
-    bins = packing.improve([[0, 5], [1, 6], [2, 3], [4]], lengths, 10)
-    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7)) and all(sum(lengths[i] for i in b) <= 10 for b in bins)
+    search = packing.Search([[0, 5], [1, 6], [2, 3], [4]], lengths, 10)
+    bins = search.run()
+    assert len(bins) == 3 and search.steps and sorted(i for b in bins for i in b) == list(range(7)) and all(sum(lengths[i] for i in b) <= 10 for b in bins)
+    two_for_one = packing.Search([[0, 1], [2, 3]], [30, 30, 50, 40], 100)
+    assert two_for_one._step(0) and two_for_one.bins == [[2], [3, 0, 1]] and not two_for_one._step(0)
     draw = random.Random(1)
-    for _ in range(30):
-        lengths = [draw.randint(1, 60) for _ in range(80)]
-        first = packing.best_fit(lengths, 100)
-        after = packing.improve([list(b) for b in first], lengths, 100)
+    for turn in range(40):
+        many = 14 if turn % 2 else 4
+        lengths = [draw.randint(1, 60) if many == 4 else draw.randint(1, 14) for _ in range(80)]
+        first = packing.best_fit(lengths, 100, range(80))
+        search = packing.Search([list(b) for b in first], lengths, 100)
+        after = search.run()
         assert len(after) <= len(first) and sorted(i for b in after for i in b) == list(range(80)) and all(sum(lengths[i] for i in b) <= 100 for b in after)
+        assert len(after) == -(-sum(lengths) // 100) or not gaining_steps(after, lengths, 100)
+        assert search.fill.tolist() == [sum(lengths[i] for i in b) for b in search.bins]
+
+
+def test_the_search_packs_and_not_its_start():
+    draw = random.Random(5)
+    lengths = [draw.randint(512, 1400) for _ in range(1000)]
+    bins, steps = packing.packed(lengths, 2048)
+    falling = packing.best_fit(lengths, 2048, sorted(range(1000), key=lambda i: -lengths[i]))
+    assert steps and len(bins) < len(falling) and sorted(i for b in bins for i in b) == list(range(1000))
 
 
 def test_exact_dedup(spark, real):
@@ -305,8 +377,6 @@ def test_toxicity_of_hard_rows(spark):
 
 
 def test_gradients_match_differences():
-    import numpy as np
-
     net = toxicity.Network(2)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     words, index, mask = ["bad", "good", "fine"], np.array([[0, 1, 2], [2, 1, 0]]), np.array([[True, True, True], [True, True, False]])
