@@ -30,10 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder; a lost executor loses none of them."""
+def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder; a lost executor loses none of them.
+
+    parts: in so many partitions at most, for tables of a few numbers a row."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
+
+
+def parts_for(spark: SparkSession, rows: int, rows_of_a_part: int = 500_000) -> int:
+    """Partitions for rows of a few numbers each."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_of_a_part))
 
 
 def numbered(docs: DataFrame, row: str) -> DataFrame:

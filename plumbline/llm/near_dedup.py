@@ -12,11 +12,12 @@ sketch are candidates. Two texts at 0.8 agree on a sketch with probability 0.41
 Texts with the same words are one from the start. Candidates form components; inside each, alignments decide:
 
 - components of up to LOCAL texts (and LOCAL_SHINGLES) are settled in one task each, every pair that still matters;
-- larger ones in rounds: a few pivots of each component are aligned with all its texts that have no link yet,
-  by joins that spread a component over tasks; there are more from round to round. Pivots are the texts that agree with most others, since the copies
-  of a text may be near it and not each other; half of them are texts that have got links, so that groups grow
-  along chains. Then texts whose groups still differ are aligned, all pairs that can be near: those that share one
-  of the labelled shingles that come first when the ones of a single group lead, then the rarest (bridges).
+- larger ones first lose most of their texts to a few pivots, which are aligned with all texts that have no link
+  yet, by joins that spread a component over tasks; while more than LOCAL texts have none, there are rounds with
+  more pivots. Pivots are the texts that agree with most others, since the copies of a text may be near it and not
+  each other; half of them are texts that have got links, so that groups grow along chains. Then texts whose
+  groups still differ are aligned, all pairs that can be near: those that share one of the labelled shingles that
+  come first when the ones of a single group lead, then the rarest (bridges).
 
 No pair is cut off: two texts of a component are left out only when they are in one group already or have too few
 shingles in common. Groups are the components of the links; copies are never expanded into pairs.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import durable, numbered, ship, spare_name, unestimated
+from plumbline.llm.common import durable, numbered, parts_for, ship, spare_name, unestimated
 from plumbline.llm.components import components
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
@@ -253,23 +254,24 @@ def _meetings(texts: DataFrame, others: DataFrame) -> DataFrame:
 
 def settle_large(texts: DataFrame) -> DataFrame:
     """Links in components of any size. texts: (node, group, size, weight, body)."""
-    state = durable(texts.select("node", "group", "weight").withColumns({"linked": F.lit(False), "used": F.lit(False)}))
+    parts = parts_for(texts.sparkSession, texts.count())
+    state = durable(texts.select("node", "group", "weight").withColumns({"linked": F.lit(False), "used": F.lit(False)}), parts)
     links, pivots = texts.sparkSession.createDataFrame([], "a long, b long"), PIVOTS
     while True:
         open_rows = state.filter("not linked and not used")
-        going = open_rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > min(LOCAL, PIVOTS)).select("group")
+        going = open_rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > LOCAL).select("group")
         # A rank limit is taken in each task before rows move, so no task gets a whole component.
         turn = Window.partitionBy("group", "linked").orderBy(F.col("weight").desc(), "node")
         ranked = state.filter("not used").join(going, "group").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= pivots // 2)
         chosen = durable(texts.join(ranked.select("node"), "node"))
         if chosen.isEmpty():
             break
-        found = durable(_meetings(texts.join(open_rows.select("node"), "node"), chosen))
+        found = durable(_meetings(texts.join(open_rows.select("node"), "node"), chosen), parts)
         links = links.unionByName(found)
         hit = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct().withColumn("hit", F.lit(True))
         state = unestimated(durable(
             state.join(hit, "node", "left").join(chosen.select("node").withColumn("pivot", F.lit(True)), "node", "left")
-            .select("node", "group", "weight", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"), (F.col("used") | F.coalesce("pivot", F.lit(False))).alias("used"))
+            .select("node", "group", "weight", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"), (F.col("used") | F.coalesce("pivot", F.lit(False))).alias("used")), parts
         ))
         pivots *= GROWTH
     links = unestimated(durable(links))
@@ -286,18 +288,17 @@ def shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), n), "class": np.repeat(batch["class"].to_numpy(), n), "token": _mix(flat + groups * np.uint64(_BASE)).view(np.int64)})
 
 
-def near_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Those of the pairs that are near, without those of classes that this task has joined already."""
-    joined = Joined()
-    for batch in batches:
-        out = []
-        for a, b, of_a, of_b, x, y in zip(*(batch[c].tolist() for c in ("a", "b", "of_a", "of_b", "x", "y"))):
-            if joined.first(of_a) != joined.first(of_b):
-                one, other = Texts([x]), Texts([y])
-                if len(one.alike(other, 0)) and one.near(0, other, 0):
-                    joined.link(of_a, of_b)
-                    out.append((a, b))
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def settle_classes(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the texts of a bundle whose classes differ: as many as join all that all of them would join."""
+    rows = rows.drop_duplicates("node").sort_values("node")
+    nodes, classes, texts = rows["node"].tolist(), rows["class"].tolist(), Texts(rows["body"].tolist())
+    joined, out = Joined(), []
+    for i, node in enumerate(nodes):
+        for j in texts.alike(texts, i).tolist():
+            if j > i and joined.first(classes[i]) != joined.first(classes[j]) and texts.near(j, texts, i):
+                joined.link(classes[i], classes[j])
+                out.append((node, nodes[j]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def bridges(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -305,27 +306,31 @@ def bridges(texts: DataFrame, classes: DataFrame) -> DataFrame:
 
     Near texts have four fifths of the labelled shingles of each in common. So in any order of all shingles, they share one
     among the first n - ceil(4n / 5) + 1 of each. The order is: shingles of one class alone, which join nothing and
-    are left out, then by the number of texts.
+    are left out, then by the number of texts. A text goes with its body to each of its first shingles that texts of several
+    classes have; shingles are dealt into bundles of bounded size, and one that exceeds a bundle meets itself in parts. So
+    rows are a text's first shingles in number, never pairs.
     """
     classed = texts.join(classes, "node", "left").select("node", "group", "size", "body", F.coalesce("label", "node").alias("class"))
     mixed = classed.groupBy("group").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("group")
     classed = durable(classed.join(mixed, "group"))
-    held = classed.select("node", "group", "class", "body").mapInPandas(shingle_rows, "node long, class long, token long")
+    held = durable(classed.select("node", "group", "class", "body").mapInPandas(shingle_rows, "node long, class long, token long"))
     shared = held.groupBy("token").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token", "n")
     own, turn = Window.partitionBy("node"), Window.partitionBy("node").orderBy("n", "token")
     placed = held.join(shared, "token").select("node", "token", F.count("*").over(own).alias("n_shared"), F.row_number().over(turn).alias("turn"))
-    sized = classed.select("node", "class", "size")
-    first = durable(placed.join(sized, "node").filter("turn + size - n_shared <= size - ceil(size * 4 / 5) + 1").select("token", "node", "class", "size"))
-    # Classes meet before texts do, so that texts of one class, however many share a shingle, make no rows.
-    kinds = first.select("token", "class").distinct()
-    met = kinds.withColumnRenamed("class", "of_a").join(kinds.withColumnRenamed("class", "of_b"), "token").filter("of_a < of_b")
-    left = first.select("token", F.col("class").alias("of_a"), F.col("node").alias("a"), F.col("size").alias("size_a"))
-    right = first.select("token", F.col("class").alias("of_b"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-    met = durable(met)
-    pairs = durable(met.join(left, ["token", "of_a"]).join(right, ["token", "of_b"]).filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)").select("a", "b", "of_a", "of_b").distinct())
-    bodies = classed.select("node", "body")
-    full = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return full.select("a", "b", "of_a", "of_b", "x", "y").mapInPandas(near_pairs, "a long, b long")
+    first = durable(placed.join(classed.select("node", "class", "size"), "node").filter("turn + size - n_shared <= size - ceil(size * 4 / 5) + 1").select("token", "node", "class", "size"))
+    meeting = first.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.sum("size").alias("shingles")).filter("low <> high")
+    meeting = durable(meeting.withColumn("is_large", (F.col("n") > LOCAL) | (F.col("shingles") > LOCAL_SHINGLES)).drop("low", "high"))
+    small = meeting.filter("not is_large")
+    total = small.agg(F.sum("n"), F.sum("shingles")).first()
+    bundles = 1 + (total[0] or 0) // LOCAL + (total[1] or 0) // LOCAL_SHINGLES
+    bodies = classed.select("node", "class", "body")
+    bundled = first.join(small.select("token"), "token").select("node", F.pmod(F.xxhash64("token"), F.lit(bundles)).alias("bundle")).distinct()
+    links = bundled.join(bodies, "node").groupBy("bundle").applyInPandas(settle_classes, "a long, b long")
+    large = meeting.filter("is_large").select("token")
+    if not large.isEmpty():
+        met = durable(first.join(large, "token").join(bodies.drop("class"), "node").select("node", F.col("token").alias("group"), "size", "body"))
+        links = links.unionByName(_meetings(met, met))
+    return links
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
