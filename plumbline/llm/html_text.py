@@ -1,11 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. In the first pass every block is decided by what it is: blocks
-inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, as tags, roles and class
-names tell, are out, and so are blocks of links; long blocks with many stop words are in; where a page marks its
-article, long blocks in it are in and blocks outside it are out. Short blocks stay open. In the second pass each
-open block gets the label of the nearest decided blocks before and behind it; parts that markup alone has put
-out are no neighbours, so a short paragraph beside an advert is not lost.
+A page is cut into blocks at block-level tags. What is out by name goes first: blocks inside menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments, as tags, roles and class names tell. The first
+pass then decides each other block by link density (blocks of links are out), length and stop-word density (long
+blocks with many stop words are in); short blocks, and long ones of few stop words, stay open. In the second pass
+each open block gets the label of the nearest decided blocks before and behind it; what is out by name is no
+neighbour, so a short paragraph beside an advert is not lost. Where nothing near is decided, nothing speaks
+against a block, and it is in; on a page where no block was told as text (its language may have other stop
+words), neither are long blocks without links put out by neighbours.
 
 Defined results: a null or empty page, or one without main text, has the empty text; unclosed and misplaced
 tags, comments and character references are read as browsers read them, as far as blocks go; pages of any
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +51,8 @@ STOP_WORDS = frozenset(
     "el los las y del se por con no una su al lo como más pero sus le ya o este para es".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOPS = re.compile("[<>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -60,7 +64,48 @@ class Block:
     text: str
     link_chars: int
     outside: bool
-    article: bool
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Every tag and comment: start, end, is it a closing one, name (empty: a comment), attributes; each character is read once.
+
+    A tag ends at its > outside quotes; if a quote never closes, at the next >; if another tag begins first, there."""
+    at, last = 0, page.rfind(">")
+    unclosed = {'"': len(page), "'": len(page)}  # from here on that quote does not come again
+    while (start := page.find("<", at)) >= 0 and start < last:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, "", ""
+            continue
+        closing = page.startswith("/", start + 1)
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None:
+            if page[start + 1:start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+                yield start, at, False, "", ""
+            else:
+                at = start + 1
+            continue
+        end = name.end()
+        while True:
+            stop = _STOPS.search(page, end)
+            if stop is None:
+                end = len(page)
+                break
+            end, mark = stop.start(), stop.group()
+            if mark in "<>":
+                break
+            close = page.find(mark, end + 1) if end < unclosed[mark] else -1
+            if close < 0:
+                unclosed[mark] = min(unclosed[mark], end)
+                end = min(x if x >= 0 else len(page) for x in (page.find(">", end), page.find("<", end)))
+                break
+            end = close + 1
+        at = end + (page[end:end + 1] == ">")
+        yield start, at, closing, name.group().lower(), page[name.end():end]
+    if 0 <= start and start >= last and page.startswith("<!--", start):
+        yield start, len(page), False, "", ""
 
 
 def _kind_of(tag: str, attributes: str) -> str:
@@ -84,140 +129,108 @@ def _kind_of(tag: str, attributes: str) -> str:
 
 def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (tag, kind)
+    stack: list[tuple[str, bool, bool]] = []  # tag; is what stands here out by name; is it among reader comments
+    count: Counter[str] = Counter()  # open tags by name
     parts: list[str] = []
-    link_chars = 0
-    at, links, n = 0, 0, len(page)
+    link_chars = at = 0
 
     def end_block() -> None:
         nonlocal parts, link_chars
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, link_chars, *place()))
+            blocks.append(Block(text, link_chars, bool(stack) and stack[-1][1]))
         parts, link_chars = [], 0
 
-    def place() -> tuple[bool, bool]:
-        outside = article = False
-        for tag, kind in stack:
-            if tag in ("article", "main") and kind != "comments" and not outside:
-                article = True
-            if kind == "main":
-                outside, article = False, True
-            elif kind:
-                outside = True
-        return outside, article
-
     def add(raw: str) -> None:
         nonlocal link_chars
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if count["a"]:
                 link_chars += len("".join(text.split()))
 
-    while at < n:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            add(page[at:])
-            break
-        add(page[at:token.start()])
-        at = token.end()
-        closing, name = token.group(1), token.group(2)
-        if not name:
+    def close(tag: str) -> None:
+        while stack:
+            gone = stack.pop()[0]
+            count[gone] -= 1
+            if gone == tag:
+                break
+
+    for start, end, closing, tag, attributes in tags_of(page):
+        if start < at:
+            continue  # inside what a raw element holds
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = name.lower()
         if not closing and tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(page, at)
-            if tag == "title" or tag in ("textarea",):
+            found = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(page, at)
+            if tag in ("title", "textarea"):
                 end_block()
-            at = end.end() if end else n
-            continue
-        if tag == "br":
-            parts.append(" ")
+            at = found.end() if found else len(page)
             continue
-        if tag in ("td", "th"):
+        if tag in ("br", "td", "th"):
             parts.append(" ")
+            if tag == "br":
+                continue
         if tag in BLOCKS:
             end_block()
         if closing:
-            tags = [t for t, _ in stack]
-            if tag in tags:
-                while stack:
-                    gone, _ = stack.pop()
-                    links -= gone == "a"
-                    if gone == tag:
-                        break
+            if count[tag]:
+                close(tag)
             continue
-        if tag in VOID or token.group(3).endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        if tag in CLOSES_ITSELF and any(t == tag for t, _ in stack):
-            for t, _ in reversed(stack):
-                if t in BLOCKS and t != tag:
-                    break
-                if t == tag:
-                    while stack:
-                        gone, _ = stack.pop()
-                        links -= gone == "a"
-                        if gone == tag:
-                            break
-                    break
-        kind = _kind_of(tag, token.group(3))
-        if tag in ("article", "main") and kind != "comments" and not any(k == "comments" for _, k in stack):
-            kind = "main"  # an article ends what was left open before it
-        if tag in SILENT:
-            kind = "outside"
-        stack.append((tag, kind))
-        links += tag == "a"
+        if tag in CLOSES_ITSELF and count[tag]:
+            nearest = next(t for t, _, _ in reversed(stack) if t == tag or t in BLOCKS)
+            if nearest == tag:
+                close(tag)
+        kind = _kind_of(tag, attributes)
+        outside, comments = stack[-1][1:] if stack else (False, False)
+        if tag in ("article", "main") and kind != "comments" and not comments:
+            outside = False  # an article ends what was left open before it
+        elif kind or tag in SILENT:
+            outside = True
+        stack.append((tag, outside, comments or kind == "comments"))
+        count[tag] += 1
+    add(page[at:])
     end_block()
     return blocks
 
 
 def first_pass(blocks: list[Block]) -> list[bool | None]:
     """True: text, False: not, None: open."""
-    marked = any(b.article and not b.outside for b in blocks)
-    return [_decide(b, marked) for b in blocks]
+    return [_decide(b) for b in blocks]
 
 
-def _decide(block: Block, marked: bool) -> bool | None:
-    if block.outside or marked and not block.article:
+def _decide(block: Block) -> bool | None:
+    if block.outside:
         return False
-    chars = len(block.text) - block.text.count(" ")
-    if block.link_chars > LINKS * chars:
+    if block.link_chars > LINKS * (len(block.text) - block.text.count(" ")) or block.text[:1] == "©":
         return False
     words = block.text.split(" ")
-    if not block.article and block.text[:1] == "©":
-        return False
     if len(words) < LONG_WORDS:
         return None
-    if block.article:
-        return True
     stops = sum(w.strip(".,;:!?()\"'").lower() in STOP_WORDS for w in words)
     return stops >= TEXT_STOPS * len(words) or None
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Open blocks take the label of the nearest decided one; between two as near, and without any, the article's side wins."""
-    marked = any(b.article and not b.outside for b in blocks)
-    seen = [i for i, b in enumerate(blocks) if not b.outside and (b.article or not marked)]
-    back: dict[int, tuple[int, bool]] = {}
-    ahead: dict[int, tuple[int, bool]] = {}
-    for order, near in ((seen, back), (seen[::-1], ahead)):
+    """Open blocks take the label of the nearest decided one; between two as near, and without any, being text wins."""
+    seen = [i for i, b in enumerate(blocks) if not b.outside]
+    near: dict[int, list[tuple[int, bool]]] = {i: [] for i in seen if labels[i] is None}
+    for order in (seen, seen[::-1]):
         last: tuple[int, bool] | None = None
         for step, i in enumerate(order):
             if labels[i] is not None:
                 last = (step, labels[i])
             elif last is not None:
-                near[i] = (step - last[0], last[1])
-    out = []
+                near[i].append((step - last[0], not last[1]))
+    text_found, out = any(labels), []
     for i, label in enumerate(labels):
         if label is None:
-            sides = sorted(x[i] for x in (back, ahead) if i in x)
-            if not sides:
-                label = blocks[i].article
-            elif len(sides) == 2 and sides[0][0] == sides[1][0]:
-                label = sides[0][1] or sides[1][1]
-            else:
-                label = sides[0][1]
+            alone = not text_found and not blocks[i].link_chars and blocks[i].text.count(" ") >= LONG_WORDS - 1
+            label = not near[i] or alone or not min(near[i])[1]
         out.append(label)
     return out
 

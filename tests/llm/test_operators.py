@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -99,6 +100,28 @@ def test_html(spark):
     assert [r["text"] for r in got if r["page_id"] is None] == [article]
 
 
+def test_html_blocks_are_decided_without_marks():
+    text = "This is a long block of the kind that has many of the words that stand in every text and it is in."
+    keywords = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
+    links = "<div>" + " ".join(f"<a href=/{w}>{w}</a>" for w in ("Home", "News", "Sports", "Weather")) + "</div>"
+    page = f"{links}<div>Our sections</div>{links}<div>A short headline</div><div>{text}</div><div>Short end.</div><div>© us</div><div>{keywords}</div>{links}"
+    assert html_text.main_text(page) == "\n\n".join(["A short headline", text, "Short end."])
+    blocks = html_text.blocks_of(page)
+    labels = html_text.first_pass(blocks)
+    assert None in labels and True in labels and False in labels
+    assert html_text.second_pass(blocks, labels) != [bool(x) for x in labels]  # the second pass decides
+    assert html_text.second_pass(blocks, [None] * len(blocks)) != html_text.second_pass(blocks, labels)  # and the first one
+    assert html_text.main_text(f"<div>{keywords}</div>{links}") == keywords
+    assert html_text.main_text(f"<div class=ad>{text}</div><p>Brief.") == "Brief."
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 350_001, '<a "1>2" ' * 150_000 + "'", "<div>" * 200_000 + "</div>" * 200_000, '<a "<' * 300_000, "<p><b>" * 150_000, "<!--" * 200_000, "<script>" * 100_000])
+def test_html_of_hostile_pages_is_read_once(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_bpe_equals_the_library(spark, real):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library = bpe.encoder_of(path, public_tokenizers.PATTERN)
