@@ -97,31 +97,41 @@ def example_texts(turns: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each conversation of rows sorted by conversation and place; holds one batch at a time."""
+    """One row for each conversation of rows sorted by conversation and place; holds one batch at a time.
+
+    Segments are counted as they come, so that what is said of the examples is what was read, not what was written."""
     fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     key, state = None, None
 
     def done() -> list:
         return [key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
 
+    def read(segment: str, chars: int, low: int, high: int) -> None:
+        """An example's text is the stream up to here: its parts are read where its references point to."""
+        stream = state[5]
+        if chars != stream or not stream - len(segment) < low <= high <= stream - len(END):
+            raise ValueError("an example's references do not point into its conversation's stream")
+        trained = unescape(segment[low - stream + len(segment):high - stream + len(segment)])
+        state[2] += len(trained)
+        state[3].update(trained.encode("utf-8", "surrogatepass"))
+        state[4] += stream
+
     for batch in batches:
         out = []
         conv_ids, missing = batch["conv_id"].tolist(), batch["conv_id"].isna().tolist()
-        spans = zip(batch["segment"], batch["example_chars"].tolist(), batch["loss_start"].tolist(), batch["loss_end"].tolist(), batch["start"].tolist(), strict=True)
-        for conv, null, (segment, chars, low, high, start) in zip(conv_ids, missing, spans, strict=True):
+        spans = zip(batch["segment"], batch["example_chars"].tolist(), batch["loss_start"].tolist(), batch["loss_end"].tolist(), strict=True)
+        for conv, null, (segment, chars, low, high) in zip(conv_ids, missing, spans, strict=True):
             conv = None if null else conv
             if state is None or conv != key:
                 if state is not None:
                     out.append(done())
-                key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
             role, text = read_segment(segment)
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            state[5] += len(segment)
             if chars == chars and chars is not None:
-                trained = unescape(segment[int(low - start):int(high - start)])
-                state[2] += len(trained)
-                state[3].update(trained.encode("utf-8", "surrogatepass"))
-                state[4] += int(chars)
+                read(segment, int(chars), int(low), int(high))
         yield pd.DataFrame(out, columns=fields)
     if state is not None:
         yield pd.DataFrame([done()], columns=fields)
@@ -133,5 +143,5 @@ def read_back(turns: DataFrame, examples: DataFrame) -> DataFrame:
     spans = examples.select(F.col("conv_id").alias("of"), "target_at", "example_chars", "loss_start", "loss_end")
     both = turns.join(spans, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("target_at")), "left")
     kind = turns.schema["conv_id"].dataType.simpleString()
-    ordered = both.select("conv_id", "at", "start", "segment", "example_chars", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "at")
+    ordered = both.select("conv_id", "at", "segment", "example_chars", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "at")
     return ordered.mapInPandas(_digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
