@@ -83,14 +83,15 @@ def features(docs: DataFrame, text_col: str, *carry: Column) -> DataFrame:
     texts = docs.select(*[c.alias(n) for c, n in zip(carry, names, strict=True)], text.alias("whole"), F.btrim(text, F.lit(SPACES)).alias("body"))
     split = texts.select(*names, "whole", F.when(F.length("body") == 0, F.array().cast("array<string>")).otherwise(F.split("body", SPACE_RUN)).alias("words"), F.filter(F.split("whole", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("lines"))
     letters = F.regexp_replace("whole", "[^\\p{L}]+", "")
+    lettered = F.btrim(F.regexp_replace("whole", "[^\\p{L}\\x20\\x09-\\x0D]+", ""), F.lit(SPACES))
     counted = split.select(
-        *names, "whole", "words", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), letters.alias("letters"),
+        *names, "whole", "words", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), letters.alias("letters"), lettered.alias("lettered"),
         F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
     )
     done = counted.select(
         *names, "n_words", F.length(F.regexp_replace("whole", SPACE_RUN, "")).alias("word_chars"), count(F.col("whole"), symbols).alias("n_symbols"), "n_dup_lines",
         F.when(F.col("n_words") < 4, F.lit(0)).otherwise(_repeat_words()).alias("n_repeat_words"), "n_lines", F.size(F.array_distinct("hashes")).alias("n_distinct"),
-        (F.size(F.split(F.regexp_replace(F.regexp_replace("whole", "[^\\p{L}\\x20\\x09-\\x0D]+", ""), SPACE_RUN, " "), " "))).alias("n_letter_words"),
+        F.when(F.length("lettered") == 0, F.lit(0)).otherwise(F.size(F.split("lettered", SPACE_RUN))).alias("n_letter_words"),
         F.length(F.regexp_replace("letters", "[^\\p{Lu}]+", "")).alias("n_upper"), F.length("letters").alias("n_letters"), count(F.col("whole"), marks).alias("n_marks"),
     )
     return done.select(*names, *[F.col(f).cast("long").alias(f) for f in FEATURES])

@@ -195,6 +195,49 @@ def test_quality(spark, real):
     assert quality.keep_good(table(spark, real)).columns == table(spark, real).columns
 
 
+def other_counts(text):
+    """n_lines, n_distinct, n_letter_words, n_upper, n_letters, n_marks by brute force."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    letters = regex.findall(r"\p{L}", text)
+    return (
+        sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n")), len(set(words)), sum(bool(regex.search(r"\p{L}", w)) for w in words),
+        len(regex.findall(r"\p{Lu}", text)), len(letters), text.count("!"),
+    )
+
+
+def em_by_numpy(votes):
+    """Class 0 is good, class k the kind of bad that rule k leads; returns the posterior of class 0 for each row."""
+    v = np.array(votes, dtype=float)
+    n, rules = v.shape
+    bad = (v == -1).sum(axis=1)
+    q = np.zeros((n, rules + 1))
+    q[:, 0] = np.where(bad > 0, 0.1, 1 - 0.01 * rules)
+    for k in range(rules):
+        q[:, k + 1] = np.where(bad == 0, 0.01, np.where(v[:, k] == -1, 0.9 / np.maximum(bad, 1), 0))
+    for _ in range(quality.ROUNDS + 1):
+        shares = (q.sum(axis=0) + np.array([1.0] + [0.05] * rules)) / (n + 1 + 0.05 * rules)
+        hits, either = q.T @ (v == -1), q.T @ (v != 0)
+        prior = np.full((rules + 1, rules), 0.5)
+        prior[0] = 0.05
+        prior[np.arange(rules) + 1, np.arange(rules)] = 4.5
+        rates = (hits + prior) / (either + 5)
+        logs = np.log(shares) + (v == -1) @ np.log(rates).T + (v == 1) @ np.log(1 - rates).T
+        q = np.exp(logs - logs.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+    return q[:, 0]
+
+
+def test_quality_features_and_estimation_by_brute_force(spark, real):
+    rows = [(k, t) for k, (_, t) in enumerate(HARD + [(0, "12 abc 3"), (0, "1 2"), (0, " a b "), (0, "!!! ÉA É")] + real)]
+    featured = quality.features(table(spark, rows), "text", F.col("doc_id")).withColumn("votes", quality.votes()).toPandas().sort_values("carried_0")
+    names = ["n_lines", "n_distinct", "n_letter_words", "n_upper", "n_letters", "n_marks"]
+    assert [tuple(r) for r in featured[names].to_numpy().tolist()] == [other_counts(t) for _, t in rows]
+    got = quality.quality_rules(table(spark, rows)).toPandas().sort_values("doc_id")
+    assert np.abs(got["quality"].to_numpy() - em_by_numpy(featured["votes"].tolist())).max() < 1e-6
+    assert (got["kept"] == (~got["base_failed"] & (got["quality"] >= quality.KEEP_FROM))).all()
+
+
 def test_packing(spark, real):
     from tokenizers import Tokenizer
 
