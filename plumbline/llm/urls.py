@@ -1,15 +1,20 @@
 """URL filter: rules first, then the likelihood ratio of two character models.
 
-Urls that a rule decides are the examples: a variable-order Markov model of their characters is counted for the
-accepted and one for the rejected ones, over all such urls. Orders from 0 to MAX_ORDER are mixed by Witten-Bell
-smoothing: each falls back on the next shorter one as far as its context has been followed by new characters.
-Counts are held in hashed tables of fixed size, so what is broadcast is bounded whatever the input. The score
-of a url is the difference of the log-likelihoods, by character; a fold of the decided urls that the models
-have not seen calibrates its scale and threshold.
-
-Defined results: a null url, or one without ``://``, has an empty host and path and no rule; a score of an empty
-url is 0; where rules decide no urls of one kind, every other url is allowed; repeated rows are judged alike; an
-empty table gives an empty result; other columns are not looked at.
+Urls that a rule decides are the examples: a variable-order Markov model of their characters (bytes, in lower
+case) is counted for the accepted and one for the rejected ones, over all such urls. Orders from 0 to MAX_ORDER
+are mixed by Witten-Bell smoothing: each falls back on the next shorter one as far as its context has been
+followed by new characters. The score of a url is the difference of the log-likelihoods, by character; a fold of
+the decided urls that the models have not seen calibrates its threshold.
+
+Counts are exact and grow with the urls. A gram is a character with the MAX_ORDER before it, packed into a long;
+the shorter orders' counts are sums over grams that end alike. Every gram that is counted or asked for gets its
+value, level by level: a context is followed by 256 characters and a gram extended to the left by 256 at most, so
+no key of these joins is hot. Urls then meet the values of their distinct grams; grams that stand in more than one
+in HOT of all such rows (HOT at most) are broadcast.
+
+Defined results: a null url, or one without ``://``, has an empty host and path and no rule; a null or empty url
+has score 0 and is allowed; where rules decide no urls of one kind, every other url is allowed; repeated rows are
+judged alike; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,12 +25,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plumbline.llm.common import durable, ship
+from plumbline.llm.common import durable, parts_for, ship
 
-#: Longest context; entries of a table (a power of two); the share of decided urls kept for calibration; bins of scores.
-MAX_ORDER, ENTRIES, CALIBRATION_FOLDS, BINS = 4, 1 << 16, 8, 4000
+#: Longest context (a gram must fit into a long); the share of decided urls kept for calibration; bins of scores; see above.
+MAX_ORDER, CALIBRATION_FOLDS, BINS, HOT = 4, 8, 4000, 1024
 SCORE_RANGE = 8.0
+#: Steps of a value of 1; urls of up to ten million characters add up without overflow.
+FINE = 1 << 34
+#: Bytes that stand before and behind each url, and the probability of any character before anything is known.
+BEGIN, END, BLIND = b"\x02", b"\x03", 1 / 257
 
 
 def host_of(url: Column) -> Column:
@@ -51,70 +61,63 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return found, verdict
 
 
-def _positions(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all characters of all urls, end marks included: the url's number; by order, the entries of context and of context with character."""
-    coded = [u.lower().encode("utf-8") for u in urls]
-    lengths = np.array([len(c) + MAX_ORDER + 1 for c in coded])
-    flat = np.frombuffer(b"".join(b"\x02" * MAX_ORDER + c + b"\x03" for c in coded), dtype=np.uint8).astype(np.uint64)
-    of = np.repeat(np.arange(len(coded)), lengths)
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    real = np.flatnonzero(np.arange(len(flat)) - starts >= MAX_ORDER)
-    contexts, pairs = [], []
-    h = np.full(len(real), 1469598103, dtype=np.uint64)
-    mix = lambda x: ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (ENTRIES - 1).bit_length())
-    with np.errstate(over="ignore"):
-        for order in range(MAX_ORDER + 1):
-            if order:
-                h = (h ^ (flat[real - order] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-            contexts.append(mix(h + np.uint64(order)).astype(np.int64))
-            pairs.append(mix((h ^ (flat[real] + np.uint64(257))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(order)).astype(np.int64))
-    return of[real], np.stack(contexts), np.stack(pairs)
-
-
-def count_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """By kind (0: accepted, 1: rejected) and order: how often a context's entry meets an entry of context and character."""
+def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each url's distinct grams (the character in the lowest byte, the one before it above, and so on) and their numbers."""
     for batch in batches:
-        if len(batch):
-            of, contexts, pairs = _positions(batch["url"].tolist())
-            kinds = batch["kind"].to_numpy().astype(np.int64)[of]
-            orders = np.arange(MAX_ORDER + 1)[:, None]
-            link, n = np.unique((((kinds * (MAX_ORDER + 1) + orders) * ENTRIES + contexts) * ENTRIES + pairs).ravel(), return_counts=True)
-            table, entry = np.divmod(link // ENTRIES, ENTRIES)
-            yield pd.DataFrame({"table": table, "context": entry, "pair": link % ENTRIES, "n": n}).astype("int64")
-
-
-class Models:
-    """Both models' tables, by kind and order: counts of context with character, of contexts, of their followers."""
-
-    def __init__(self, pairs: np.ndarray, contexts: np.ndarray, followers: np.ndarray) -> None:
-        self.pairs, self.contexts, self.followers = pairs, contexts, followers
-
-    @staticmethod
-    def gather(links: DataFrame) -> Models:
-        """From counted links; 2 * (MAX_ORDER + 1) * ENTRIES rows at most come to the driver, twice."""
-        links = durable(links.groupBy("table", "context", "pair").agg(F.sum("n").alias("n")))
-        def filled(rows: pd.DataFrame, entry: str, value: str) -> np.ndarray:
-            out = np.zeros((2 * (MAX_ORDER + 1), ENTRIES), dtype=np.float32)
-            out[rows["table"].to_numpy(dtype=np.int64), rows[entry].to_numpy(dtype=np.int64)] = rows[value].to_numpy()
-            return out.reshape(2, MAX_ORDER + 1, ENTRIES)
-
-        pairs = links.groupBy("table", "pair").agg(F.sum("n").alias("n")).toPandas()
-        contexts = links.groupBy("table", "context").agg(F.sum("n").alias("n"), F.count("*").alias("followers")).toPandas()
-        return Models(filled(pairs, "pair", "n"), filled(contexts, "context", "n"), filled(contexts, "context", "followers"))
-
-    def difference(self, urls: Sequence[str]) -> np.ndarray:
-        """Mean over a url's characters of log p(rejected) - log p(accepted)."""
-        if not len(urls):
-            return np.zeros(0)
-        of, contexts, pairs = _positions(urls)
-        logs = []
-        for kind in (0, 1):
-            p = np.full(len(of), 1 / 257)
-            for order in range(MAX_ORDER + 1):
-                n, t = self.contexts[kind, order][contexts[order]], self.followers[kind, order][contexts[order]]
-                p = np.where(n > 0, (self.pairs[kind, order][pairs[order]] + t * p) / np.maximum(n + t, 1), p)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        return np.bincount(of, weights=logs[1] - logs[0], minlength=len(urls)) / np.maximum(1, np.bincount(of, minlength=len(urls)))
+        coded = [BEGIN * MAX_ORDER + u.lower().encode("utf-8", "replace") + END for u in batch["url"]]
+        lengths = np.array([len(c) for c in coded], dtype=np.int64)
+        flat = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.int64)
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        real = np.flatnonzero(np.arange(len(flat)) - starts >= MAX_ORDER)
+        gram, of = np.zeros(len(real), dtype=np.int64), np.repeat(np.arange(len(coded)), lengths)[real]
+        for order in range(MAX_ORDER + 1):
+            gram |= flat[real - order] << (8 * order)
+        order = np.lexsort((gram, of))
+        gram, of = gram[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])) if len(gram) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(gram)))
+        yield pd.DataFrame({"row": batch["row"].to_numpy(dtype=np.int64)[of[first]], "gram": gram[first], "n": n})
+
+
+def gram_values(counted: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every gram of either: gram, value (log p(rejected) - log p(accepted)). counted: gram, n0, n1 (accepted, rejected)."""
+    spark = counted.sparkSession
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
+    zero = F.lit(0).cast("long")
+    both = counted.select("gram", "n0", "n1").unionByName(asked.select("gram", zero.alias("n0"), zero.alias("n1")))
+    levels = [durable(both.groupBy("gram").agg(*sums))]
+    parts = parts_for(spark, levels[0].count())
+    for order in range(MAX_ORDER - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1).cast("long"))
+        levels.append(durable(levels[-1].groupBy(shorter.alias("gram")).agg(*sums), parts))
+    known = None
+    for order, level in enumerate(reversed(levels)):
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        table = level.select(
+            "gram", "n0", "n1", *[F.sum(f"n{k}").over(context).alias(f"all{k}") for k in (0, 1)],
+            *[F.sum((F.col(f"n{k}") > 0).cast("long")).over(context).alias(f"followers{k}") for k in (0, 1)],
+        )
+        if known is None:
+            table = table.withColumns({"below0": F.lit(BLIND), "below1": F.lit(BLIND)})
+        else:
+            below = known.select(F.col("gram").alias("end"), F.col("p0").alias("below0"), F.col("p1").alias("below1"))
+            table = table.join(below, F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1).cast("long")) == F.col("end"))
+        mixed = lambda k: F.when(F.col(f"all{k}") > 0, (F.col(f"n{k}") + F.col(f"followers{k}") * F.col(f"below{k}")) / (F.col(f"all{k}") + F.col(f"followers{k}"))).otherwise(F.col(f"below{k}"))
+        known = durable(table.select("gram", mixed(0).alias("p0"), mixed(1).alias("p1")), None if order == MAX_ORDER else parts)
+    return known.select("gram", (F.log("p1") - F.log("p0")).alias("value"))
+
+
+def url_scores(held: DataFrame, values: DataFrame) -> DataFrame:
+    """row, score: the mean value of a url's characters. held: row, gram, n; values: gram, value."""
+    total = held.count()
+    hot = held.groupBy("gram").agg(F.count("*").alias("rows")).filter(F.col("rows") * HOT > total).select("gram")
+    hot_values = durable(values.join(F.broadcast(hot), "gram").withColumnRenamed("value", "hot_value"), 1)
+    # Hot grams get keys below all grams, which meet nothing.
+    keyed = held.join(F.broadcast(hot_values), "gram", "left").withColumn("key", F.when(F.col("hot_value").isNull(), F.col("gram")).otherwise(-1 - F.col("row")))
+    valued = keyed.join(values.select(F.col("gram").alias("key"), "value"), "key", "left").withColumn("value", F.coalesce("hot_value", "value"))
+    # In whole steps: their sum does not depend on the order in which rows come.
+    steps = F.round(F.col("value") * FINE).cast("long")
+    return valued.groupBy("row").agg((F.sum(F.col("n") * steps) / FINE / F.sum("n")).alias("score"))
 
 
 def threshold_of(histogram: pd.DataFrame) -> float:
@@ -132,34 +135,21 @@ def threshold_of(histogram: pd.DataFrame) -> float:
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Every row: page_id, host, path, rule, verdict, url_score (null where a rule decides)."""
-    spark = pages.sparkSession
-    ship(spark)
+    ship(pages.sparkSession)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    parts = pages.select(F.col(id_col).cast("string").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.monotonically_increasing_id().alias("row"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parts.select("*", rule.alias("rule"), says.alias("says"))
-    kinds = ruled.filter(F.col("says").isNotNull()).select("url", F.when(F.col("says") == "block", 1).otherwise(0).alias("kind"), (F.pmod(F.xxhash64("url"), F.lit(CALIBRATION_FOLDS)) == 0).alias("held"))
-    counted = kinds.filter(~F.col("held")).select("url", "kind").mapInPandas(count_links, "table long, context long, pair long, n long")
-    models = spark.sparkContext.broadcast(Models.gather(counted))
-
-    def with_bin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = models.value.difference(batch["url"].tolist())
-            place = np.clip((score + SCORE_RANGE) / (2 * SCORE_RANGE) * BINS, 0, BINS - 1).astype(np.int64)
-            yield pd.DataFrame({"kind": batch["kind"].to_numpy(), "bin": place})
-
-    def with_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = np.where(batch["url"].to_numpy() == "", 0.0, models.value.difference(batch["url"].tolist())) if len(batch) else np.zeros(0)
-            yield batch.assign(url_score=score)
-
-    held = kinds.filter("held").select("url", "kind").mapInPandas(with_bin, "kind int, bin long")
-    threshold = threshold_of(held.groupBy("kind", "bin").agg(F.count("*").alias("n")).toPandas())
-    kind = pages.schema[id_col].dataType.simpleString()
-    open_rows = ruled.filter(F.col("says").isNull()).select("page_id", "host", "path", "url")
-    scored = open_rows.mapInPandas(with_score, "page_id string, host string, path string, url string, url_score double")
-    decided = ruled.filter(F.col("says").isNotNull()).select("page_id", "host", "path", "rule", F.col("says").alias("verdict"), F.lit(None).cast("double").alias("url_score"))
-    both = decided.unionByName(scored.select(
-        "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("url_score") >= threshold, "block").otherwise("allow").alias("verdict"), "url_score",
-    ))
-    return both.withColumn("page_id", F.col("page_id").cast(kind))
+    held_out = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION_FOLDS)) == 0
+    ruled = durable(parts.select("*", rule.alias("rule"), says.alias("says"), held_out.alias("held")))
+    teaches = F.col("says").isNotNull() & ~F.col("held")
+    counts = ruled.filter(teaches).select("row", "url").mapInPandas(grams, "row long, gram long, n long").join(ruled.select("row", "says"), "row")
+    of_kind = lambda says: F.sum(F.when(F.col("says") == says, F.col("n")).otherwise(0)).alias("n1" if says == "block" else "n0")
+    counted = durable(counts.groupBy("gram").agg(of_kind("allow"), of_kind("block")))
+    asked = durable(ruled.filter(~teaches & (F.col("url") != "")).select("row", "url").mapInPandas(grams, "row long, gram long, n long"))
+    scores = durable(url_scores(asked, gram_values(counted, asked.select("gram").distinct())))
+    calibrating = scores.join(ruled.filter(F.col("says").isNotNull() & F.col("held")).select("row", "says"), "row")
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SCORE_RANGE) / (2 * SCORE_RANGE) * BINS)))
+    threshold = threshold_of(calibrating.groupBy((F.col("says") == "block").cast("int").alias("kind"), place.alias("bin")).agg(F.count("*").alias("n")).toPandas())
+    judged = ruled.join(scores, "row", "left").withColumn("url_score", F.when(F.col("says").isNull(), F.coalesce("score", F.lit(0.0))))
+    verdict = F.coalesce("says", F.when((F.col("url") != "") & (F.col("url_score") >= threshold), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "url_score")

@@ -464,11 +464,45 @@ def test_gradients_match_differences():
         assert abs((sides[0] - sides[1]) / 2e-3 - g[name][at]) < 1e-3 + 0.02 * abs(g[name][at])
 
 
+_MODELS = {}
+
+
+def likelihood_difference(given, asked):
+    """Mean log-likelihood difference of a url under two Witten-Bell models, counted in dictionaries."""
+    if not given[asked]:
+        return 0.0
+    if not _MODELS:
+        for url, says, held in _TAUGHT:
+            if says and not held:
+                own = b"\2" * 4 + url.lower().encode() + b"\3"
+                for i in range(4, len(own)):
+                    for order in range(5):
+                        _MODELS.setdefault((says, own[i - order:i]), collections.Counter())[own[i]] += 1
+
+    def probability(says, before, char):
+        p = 1 / 257
+        for order in range(5):
+            followers = _MODELS.get((says, before[4 - order:]))
+            if followers:
+                p = (followers[char] + len(followers) * p) / (sum(followers.values()) + len(followers))
+        return p
+
+    own = b"\2" * 4 + given[asked].lower().encode() + b"\3"
+    logs = [math.log(probability("block", own[i - 4:i], own[i])) - math.log(probability("allow", own[i - 4:i], own[i])) for i in range(4, len(own))]
+    return sum(logs) / len(logs)
+
+
+_TAUGHT = []
+
+
 def test_urls(spark):
     given = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()]
     given += [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/x?y", "https://a.com/fr/#z", "x://y.com/de/1", "http://notexample.org/es/", "http://com", "http://org?/es/", "a://b://c.org/", "http://é.net/" + "long" * 5000]
     got = urls.judge_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string").withColumns({"host": F.lit("clash"), "rule": F.lit("clash")}), queries.URL_RULES).toPandas().set_index("page_id")
     assert len(got) == len(given) and set(got["verdict"]) <= {"allow", "block"}
+    folds = spark.createDataFrame([(i, u or "") for i, u in enumerate(given)], "i int, u string").select("i", (F.pmod(F.xxhash64("u"), F.lit(urls.CALIBRATION_FOLDS)) == 0).alias("held")).collect()
+    held = {r["i"]: r["held"] for r in folds}
+    _TAUGHT[:] = [(u, got["verdict"][i] if isinstance(got["rule"][i], str) else None, held[i]) for i, u in enumerate(given)]
     for i, url in enumerate(given):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         host = re.match(r"[^/?#]*", rest).group()
@@ -478,5 +512,10 @@ def test_urls(spark):
         best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
         row = got.loc[i]
         assert (row["host"], row["path"]) == (host, path) and (row["rule"] == best[1] + best[2] and row["verdict"] == best[0] if best else pd.isna(row["rule"]))
+    scored = got[got["rule"].isna()]
+    want = [likelihood_difference(given, i) for i in scored.index]
+    assert np.abs(scored["url_score"].to_numpy() - want).max() < 1e-9 and scored["url_score"].nunique() > 10
+    assert [scored["verdict"][i] for i in scored.index if not given[i]] == ["allow"] * 2
+    assert (scored["verdict"] == "block").any() and scored["url_score"][scored["verdict"] == "block"].min() > scored["url_score"][(scored["verdict"] == "allow") & [bool(given[i]) for i in scored.index]].max()
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge_urls(empty, queries.URL_RULES).count() == 0
