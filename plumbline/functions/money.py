@@ -78,11 +78,12 @@ def with_price(calls: DataFrame, price_table: DataFrame, *key: str) -> DataFrame
 
 
 def estimate_call(calls: DataFrame) -> DataFrame:
-    """Adds est_tokens, est_cost_usd_micros and estimate_error to priced calls (prompt_bytes, max_output, model, rates)."""
+    """Adds est_tokens (of the prompt and the most output), est_cost_usd_micros and estimate_error to priced calls (prompt_bytes, max_output, model, rates)."""
     tokens = estimate_tokens(F.col("prompt_bytes"), F.col("model"))
     error = (
         F.when(F.col("max_output") <= 0, "no output ceiling").when(F.col("max_output") > MAX_OUTPUT_TOKENS, "output ceiling too high")
         .when(F.col("price_key").isNull(), "unpriced model").when(F.col("input_per_mtok_usd_micros").isNull() | F.col("output_per_mtok_usd_micros").isNull(), "missing rate")
     )
     cost = cost_per_mtok(F.col("input_per_mtok_usd_micros"), F.col("est_tokens")) + cost_per_mtok(F.col("output_per_mtok_usd_micros"), F.col("max_output"))
-    return calls.withColumn("estimate_error", error).withColumn("est_tokens", tokens).withColumn("est_cost_usd_micros", F.when(F.col("estimate_error").isNull(), cost))
+    priced = calls.withColumn("estimate_error", error).withColumn("est_tokens", tokens).withColumn("est_cost_usd_micros", F.when(F.col("estimate_error").isNull(), cost))
+    return priced.withColumn("est_tokens", F.when(F.col("estimate_error").isNull(), F.col("est_tokens") + F.col("max_output")))

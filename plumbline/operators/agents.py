@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -32,6 +33,13 @@ class Agent(Protocol):
         """Rows of schemas.RESPONSES with error_code, one for each case."""
 
 
+class Estimator(Protocol):
+    """An agent that also prices each case before it is asked."""
+
+    def estimate(self, cases: DataFrame) -> DataFrame:
+        """cases with est_cost_usd_micros and est_calls (of one call), and estimate_error where there is no price."""
+
+
 class Goal(Protocol):
     name: str
     direction: str
@@ -85,10 +93,11 @@ class FunctionAgent:
 
     call: Callable[[str], str]
     attempts: int = 3
+    backoff_s: float = 0.0  # before the second attempt; doubles each time
     capabilities: Capabilities = field(default_factory=Capabilities)
 
     def respond(self, cases: DataFrame) -> DataFrame:
-        call, most = self.call, self.attempts
+        call, most, backoff = self.call, self.attempts, self.backoff_s
 
         def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in rows:
@@ -103,6 +112,8 @@ class FunctionAgent:
                             code = error.code
                             if code != errors.RATE_LIMITED.code:
                                 break
+                            if attempt < most:
+                                time.sleep(backoff * 2 ** (attempt - 1))
                         except Exception as error:  # noqa: BLE001  one case's failure is that case's result
                             code = type(error).__name__
                             break

@@ -45,6 +45,33 @@ def wave_size(limits: Limits, spent: Spend, worst_cost: int, most: int) -> int:
     return most if left is None or worst_cost <= 0 else max(1, min(most, left // 4 // worst_cost))
 
 
+def resolve_estimates(cases: DataFrame, scalar: int, *, capped: bool | Column) -> DataFrame:
+    """What one call of each case may cost, from an estimator's est_cost_usd_micros, est_calls and estimate_error.
+
+    Adds unpriceable: why a case is refused. Under a cost cap an estimator that fails, or says that a call costs
+    nothing, refuses the case; without one the run's scalar stands in. A call is one call; any other number is refused."""
+    capped = F.lit(capped) if isinstance(capped, bool) else capped
+    failed, cost = F.col("estimate_error").isNotNull(), F.coalesce(F.col("est_cost_usd_micros"), F.lit(0))
+    why = (
+        F.when(failed & capped, F.col("estimate_error")).when(failed, F.lit(None).cast("string"))
+        .when((cost <= 0) & capped, "an estimate of zero, which no cap can hold").when(F.coalesce(F.col("est_calls"), F.lit(0)) != 1, "an estimate of other than one call")
+    )
+    return cases.withColumns({"unpriceable": why, "est_cost_usd_micros": F.when(failed, F.lit(scalar)).otherwise(cost).cast("long"), "est_calls": F.lit(1).cast("long")})
+
+
+def settle_attempts(attempts: DataFrame, key: str, most: int, backoff_ms: int) -> DataFrame:
+    """One row for each key: calls (each attempt is one), error_code of the last, and waited_ms between them.
+
+    attempts: key, attempt (from 1), error_code (null: answered). Only RATE_LIMITED is tried again, most times in all;
+    the wait doubles each time."""
+    last = F.struct("attempt", "error_code")
+    tried = attempts.filter(F.col("attempt") <= most)
+    ends = tried.groupBy(key).agg(F.min(F.when(F.col("error_code").isNull() | (F.col("error_code") != "RATE_LIMITED"), last)).alias("final"), F.max(last).alias("limited"))
+    end = F.coalesce("final", "limited")
+    calls = end["attempt"].cast("long")
+    return ends.select(key, calls.alias("calls"), end["error_code"].alias("error_code"), (F.lit(backoff_ms) * (F.pow(F.lit(2.0), calls - 1).cast("long") - 1)).alias("waited_ms"))
+
+
 def admit(cases: DataFrame, limits: Limits, spent: Spend, size: int, order: str = "id") -> DataFrame:
     """The next wave, at most size cases: est_calls and est_cost_usd_micros are each case's worst. The first size
     cases come from a top-k, so the running sums are over one wave."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,10 +67,27 @@ def paired(treated: DataFrame, baseline: DataFrame, key: list[str]) -> DataFrame
     return treated.filter("treated_score is not null").join(baseline.filter("baseline_score is not null"), key).withColumn("delta", F.col("treated_score") - F.col("baseline_score"))
 
 
-def deltas(pairs: DataFrame, *by: str, quantile: float) -> DataFrame:
+#: Degrees of freedom up to which t quantiles come from a table; beyond, the expansion in 1 / df is exact to six digits.
+T_TABLE = 200
+
+
+def with_t_quantile(stats: DataFrame, n: str = "n", level: float = 0.95) -> DataFrame:
+    """Adds quantile: of Student's law with n - 1 degrees of freedom; null for fewer than two."""
+    p, df = 1 - (1 - level) / 2, F.col(n) - 1
+    z = NormalDist().inv_cdf(p)
+    table = F.broadcast(stats.sparkSession.createDataFrame([(d, t_quantile(p, d)) for d in range(1, T_TABLE + 1)], "of_df long, of_table double"))
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    beyond = sum((F.lit(c) / F.pow(df, k) for k, c in enumerate(terms, 1)), F.lit(z))
+    return stats.join(table, df == F.col("of_df"), "left").withColumn("quantile", F.coalesce("of_table", F.when(df > T_TABLE, beyond))).drop("of_df", "of_table")
+
+
+def deltas(pairs: DataFrame, *by: str, quantile: float | None = None) -> DataFrame:
+    """Mean differences with t bounds; by the quantile of each group's own n, unless one is given."""
     stats = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"))
-    low, high = t_bounds(F.col("mean_delta"), F.col("sd_delta"), F.col("n"), F.lit(quantile))
-    return stats.withColumn("low", low).withColumn("high", high)
+    if quantile is None:
+        stats = with_t_quantile(stats)
+    low, high = t_bounds(F.col("mean_delta"), F.col("sd_delta"), F.col("n"), F.col("quantile") if quantile is None else F.lit(quantile))
+    return stats.withColumn("low", low).withColumn("high", high).drop("quantile")
 
 
 def verdict(low: Column, high: Column, direction: str = "MAXIMIZE") -> Column:

@@ -15,7 +15,7 @@ from plumbline import errors
 from plumbline.functions.money import show_usd
 from plumbline.operators import outcomes as facts
 from plumbline.operators.agents import Agent, Goal
-from plumbline.operators.budget import Limits, Spend, admit, denial_reason, wave_size
+from plumbline.operators.budget import Limits, Spend, admit, denial_reason, resolve_estimates, wave_size
 from plumbline.operators.seal import seal
 from plumbline.plans.store import Store
 from plumbline.sources.cases import SplitCounts, count_splits
@@ -119,8 +119,12 @@ def baseline(store: Store, cases: DataFrame, options: Options, *, run_id: str |
     reserves all its attempts, since a task cannot ask again."""
     counts = count_splits(cases)
     counts.check()
-    if options.limits.max_cost_usd_micros and options.worst_cost_usd_micros <= 0:
+    estimates = options.agent.estimate if hasattr(options.agent, "estimate") else None
+    if options.limits.max_cost_usd_micros and options.worst_cost_usd_micros <= 0 and estimates is None:
         raise errors.INVALID_INPUT("a cost cap needs an estimate of a call's cost")
+    # Asked before anything is stored: a refusal leaves no run behind.
+    if options.worst_cost_usd_micros >= CONFIRM_FROM_USD_MICROS and not (options.confirm and options.confirm(options.worst_cost_usd_micros)):
+        raise errors.CONFIRMATION_REQUIRED(f"a call may cost {show_usd(options.worst_cost_usd_micros)}")
     run_id = run_id or new_run_id()
     if resume:
         run = store.run(run_id)
@@ -133,8 +137,6 @@ def baseline(store: Store, cases: DataFrame, options: Options, *, run_id: str |
             "id": run_id, "stage": "BASELINE", "status": "RUNNING", "input_fingerprint": options.fingerprint, "eval_content_hash": options.fingerprint, "goal": options.goal.name, "goal_direction": options.goal.direction,
             "agent_ref": options.agent_ref, "created_at": now(), "dev_cases": counts.dev, "holdout_cases": counts.holdout,
         }, new=True)
-    if options.worst_cost_usd_micros >= CONFIRM_FROM_USD_MICROS and not (options.confirm and options.confirm(options.worst_cost_usd_micros)):
-        raise errors.CONFIRMATION_REQUIRED(f"a call may cost {show_usd(options.worst_cost_usd_micros)}")
     _emit(store, run_id, [("run_resumed" if resume else "run_started", {"total": counts.dev})])
     status, reason = "COMPLETED", None
     worst = options.worst_cost_usd_micros * options.attempts
@@ -142,12 +144,13 @@ def baseline(store: Store, cases: DataFrame, options: Options, *, run_id: str |
         while True:
             spent = settled(store, run_id)
             left = facts.not_yet_done(seal(cases).dev(), store.outcomes(run_id).select(F.col("case_id").alias("id")), ["id"])
+            one = _priced(left, estimates, options)
             size = wave_size(options.limits, spent, worst, options.wave)
-            priced = left.withColumn("est_cost_usd_micros", F.lit(worst).cast("long")).withColumn("est_calls", F.lit(options.attempts).cast("long"))
+            priced = one.withColumns({c: F.col(c) * options.attempts for c in ("est_cost_usd_micros", "est_calls")})
             wave = admit(priced, options.limits, spent, size).select(*cases.columns)
             if wave.isEmpty():
                 # All attempts of a case may not fit where one call does; such a case runs alone with the one.
-                wave = admit(priced.withColumn("est_calls", F.lit(1).cast("long")).withColumn("est_cost_usd_micros", F.lit(options.worst_cost_usd_micros).cast("long")), options.limits, spent, 1).select(*cases.columns)
+                wave = admit(one, options.limits, spent, 1).select(*cases.columns)
                 if wave.isEmpty():
                     if not left.isEmpty():
                         binds = denial_reason(options.limits, spent, 1, options.worst_cost_usd_micros)
@@ -162,10 +165,22 @@ def baseline(store: Store, cases: DataFrame, options: Options, *, run_id: str |
     return _close(store, run_id, counts, options, status, reason)
 
 
+def _priced(cases: DataFrame, estimates: Callable[[DataFrame], DataFrame] | None, options: Options) -> DataFrame:
+    """Cases with what one call of each may cost. A case that cannot be priced under a cost cap ends the run."""
+    worst = F.lit(options.worst_cost_usd_micros).cast("long")
+    if estimates is None:
+        return cases.withColumn("est_cost_usd_micros", worst).withColumn("est_calls", F.lit(1).cast("long"))
+    resolved = resolve_estimates(estimates(cases), options.worst_cost_usd_micros, capped=bool(options.limits.max_cost_usd_micros))
+    refused = resolved.filter(F.col("unpriceable").isNotNull()).orderBy("id").select("id", "unpriceable").first()
+    if refused is not None:
+        raise errors.INVALID_INPUT(f"case {refused['id']} cannot be priced: {refused['unpriceable']}", "run without a cost cap, or with an agent that can price this model")
+    return resolved.drop("unpriceable", "estimate_error")
+
+
 def _run_wave(store: Store, run_id: str, wave: DataFrame, options: Options) -> None:
     """The agent is asked once: its answers are written before anything is made of them."""
     answers = options.agent.respond(wave)
-    raw = f"{store.root}/waves/{run_id}-{secrets.token_hex(6)}"
+    raw = store.wave_path(run_id, secrets.token_hex(6))
     answers.write.parquet(raw)
     told = store.spark.read.parquet(raw).join(wave.select(F.col("id").alias("case_id"), "expected"), "case_id")
     scored = told.withColumn("scored", F.col("error_code").isNull()).withColumn("score_value", F.when(F.col("error_code").isNull(), options.goal.score(F.col("output"), F.col("expected"))))
@@ -178,6 +193,7 @@ def _run_wave(store: Store, run_id: str, wave: DataFrame, options: Options) -> N
     kind = F.when(F.col("scored"), "case_scored").otherwise("case_errored")
     events = facts.number_events(scored.select("case_id", kind.alias("payload_kind"), F.col("score_value").alias("score"), F.col("error_code").alias("err_code"), F.lit(False).alias("will_retry"), (F.col("cost_usd_micros") * attempts).alias("cost_usd_micros"), F.lit(run_id).alias("run_id"), F.lit(now()).alias("emitted_at")), "run_id", ["case_id"], F.lit(store.max_sequence(run_id)))
     store.append_events(events)
+    store.delete(raw)
 
 
 def _emit(store: Store, run_id: str, payloads: list[tuple[str, dict]]) -> None:

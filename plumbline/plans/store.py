@@ -2,6 +2,7 @@
 
 outcomes/run_id=…  facts; its row is a case's done-mark, so it is written last
 traces/run_id=…    content; purge deletes this folder and no number
+waves/run_id=…     raw answers of a wave until they are recorded; purge deletes what a stopped run left
 events/run_id=…    the event spine; also a streaming source
 runs/              versions of runs; the highest version of an id holds
 """
@@ -76,7 +77,9 @@ class Store:
         both = (F.col("scored") & F.col("err_code").isNotNull()) | (~F.col("scored") & F.col("err_code").isNull())
         checked = outcomes.withColumn("scored", F.when(both, F.raise_error(F.lit("an outcome has both a score and an error, or neither"))).otherwise(F.col("scored")))
         fresh = first_writer_wins(checked.withColumn("run_id", F.lit(run_id)), ["run_id", "case_id"], ["case_id"])
-        self._append(traces.withColumn("run_id", F.lit(run_id)), "traces", schemas.TRACES)
+        told = first_writer_wins(traces.withColumn("run_id", F.lit(run_id)), ["run_id", "case_id"], ["case_id"])
+        # A stopped write may have left content without facts; such a case's content is not written twice.
+        self._append(told.join(self._read("traces", schemas.TRACES, run_id).select("case_id"), "case_id", "left_anti"), "traces", schemas.TRACES)
         self._append(fresh.join(self.outcomes(run_id).select("case_id"), "case_id", "left_anti"), "outcomes", schemas.OUTCOMES)
 
     def traces(self, run_id: str) -> DataFrame:
@@ -98,6 +101,15 @@ class Store:
     def purgeable(self, run_id: str) -> int:
         return self._read("traces", schemas.TRACES, run_id).filter("output is not null or rationale is not null").count()
 
+    def wave_path(self, run_id: str, name: str) -> str:
+        """Where a wave's raw answers stand until they are recorded."""
+        return f"{self.root}/waves/run_id={run_id}/{name}"
+
+    def delete(self, path: str) -> None:
+        fs, at = self._fs(path)
+        if fs.exists(at) and not fs.delete(at, True):
+            raise errors.INVALID_INPUT(f"{path} could not be deleted")
+
     def purge(self, run_id: str, *, confirmed: bool, force: bool = False) -> int:
         """Deletes a run's content, bytes and all; its facts stay, so it can still be resumed."""
         run = self.run(run_id)
@@ -108,7 +120,6 @@ class Store:
         n = self.purgeable(run_id)
         if not confirmed:
             raise errors.CONFIRMATION_REQUIRED(f"{n} cases of run {run_id} have content")
-        fs, path = self._fs(f"{self.root}/traces/run_id={run_id}")
-        if fs.exists(path) and not fs.delete(path, True):
-            raise errors.INVALID_INPUT(f"the content of run {run_id} could not be deleted")
+        for name in ("traces", "waves"):
+            self.delete(f"{self.root}/{name}/run_id={run_id}")
         return n

@@ -14,7 +14,7 @@ from plumbline.operators import value
 from plumbline.operators.seal import open_holdout
 
 
-def valuations(pairs: DataFrame, costs: DataFrame, rates: Mapping[str, float], *, mode: str, quantile: float, run_id: str = "") -> DataFrame:
+def valuations(pairs: DataFrame, costs: DataFrame, rates: Mapping[str, float], *, mode: str, quantile: float | None = None, run_id: str = "") -> DataFrame:
     """One row for each asset of costs. pairs: asset_id, slice (ROUTED or CONTROL), delta; an asset without routed
     pairs stays, with an error. costs: asset_id and the columns of rates."""
     if mode not in schemas.INJECTION_MODES:
@@ -41,7 +41,7 @@ def portfolio(candidates: DataFrame, caps: Mapping[str, int]) -> tuple[DataFrame
     return selected, rest.select("asset_id", F.coalesce("reason", F.lit("BUDGET_EXHAUSTED")).alias("reason"), F.lit("REJECTED").alias("destination"))
 
 
-def validate(cases: DataFrame, baseline_scores: DataFrame, portfolio_scores: DataFrame, *, quantile: float) -> DataFrame:
+def validate(cases: DataFrame, baseline_scores: DataFrame, portfolio_scores: DataFrame, *, quantile: float | None = None) -> DataFrame:
     """The gain on the holdout, over the cases that both have scored there."""
     held = open_holdout(cases, "VALIDATE").select(F.col("id").alias("case_id"))
     pairs = value.paired(portfolio_scores, baseline_scores, ["case_id"]).join(held, "case_id", "left_semi")

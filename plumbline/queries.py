@@ -109,9 +109,9 @@ def holdout_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS strict_score, 1.0::DOUBLE AS relaxed_score FROM documents""")
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS strict_score, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS relaxed_score FROM documents""")
 def exact_match_score(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat(F.lit(" \t"), F.upper("source"), F.lit("\n")))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit("x"))).otherwise(F.concat(F.lit(" \t"), F.upper("source"), F.lit("\n")))
     return table(spark, d, "documents").select("doc_id", exact_match(answer, F.col("source")).alias("strict_score"), exact_match(answer, F.col("source"), trim=True, ignore_case=True).alias("relaxed_score"))
 
 
@@ -297,12 +297,12 @@ def price_lookup_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH {PRICE_SQL}, t AS (SELECT doc_id, scheme, model, price_key, input_rate, output_rate,
         CAST(ceil(ceil(ceil(strlen(text) / 2.0::DOUBLE) * CASE WHEN starts_with(model, 'claude-opus-5') OR starts_with(model, 'claude-opus-4-8') THEN 1.36::DOUBLE ELSE 1.0::DOUBLE END) * 1.5::DOUBLE) AS BIGINT) AS est_tokens FROM documents, priced)
-    SELECT doc_id, scheme, model, est_tokens, CASE WHEN price_key IS NULL THEN 'unpriced model' END AS estimate_error,
+    SELECT doc_id, scheme, model, CASE WHEN price_key IS NOT NULL THEN CAST(est_tokens + 1024 AS DOUBLE) END AS est_tokens, CASE WHEN price_key IS NULL THEN 'unpriced model' END AS estimate_error,
         CASE WHEN price_key IS NOT NULL THEN CAST((input_rate::HUGEINT * est_tokens + 999999) // 1000000 + (output_rate::HUGEINT * 1024 + 999999) // 1000000 AS DOUBLE) END AS est_cost_usd_micros FROM t""")
 def call_cost(spark: SparkSession, d: str) -> DataFrame:
     models = F.broadcast(priced_models(spark))
     calls = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("prompt_bytes"), F.lit(1024).cast("long").alias("max_output")).join(models)
-    return money.estimate_call(calls).select("doc_id", "scheme", "model", "est_tokens", "estimate_error", F.col("est_cost_usd_micros").cast("double").alias("est_cost_usd_micros"))
+    return money.estimate_call(calls).select("doc_id", "scheme", "model", F.col("est_tokens").cast("double").alias("est_tokens"), "estimate_error", F.col("est_cost_usd_micros").cast("double").alias("est_cost_usd_micros"))
 
 
 @query("""
@@ -313,6 +313,28 @@ def usd_display(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", micros).select("o_orderkey", "micros", money.display_usd(F.col("micros")).alias("shown"))
 
 
+@query("""
+    SELECT doc_id, capped, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN capped THEN 'unpriced model' END WHEN doc_id % 7 = 0 AND capped THEN 'an estimate of zero, which no cap can hold' WHEN doc_id % 11 = 0 THEN 'an estimate of other than one call' END AS unpriceable,
+        CASE WHEN doc_id % 5 = 0 THEN 500 WHEN doc_id % 7 = 0 THEN 0 ELSE strlen(text) * 3 END::BIGINT AS est_cost_usd_micros
+    FROM documents, (SELECT unnest([true, false]) AS capped)""")
+def estimate_resolution(spark: SparkSession, d: str) -> DataFrame:
+    told = table(spark, d, "documents").select(
+        "doc_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("capped"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.octet_length("text") * 3).cast("long").alias("est_cost_usd_micros"),
+        F.when(F.col("doc_id") % 11 == 0, 2).otherwise(1).alias("est_calls"), F.when(F.col("doc_id") % 5 == 0, "unpriced model").alias("estimate_error"),
+    )
+    return budget.resolve_estimates(told, 500, capped=F.col("capped")).select("doc_id", "capped", "unpriceable", "est_cost_usd_micros")
+
+
+@query("""
+    WITH a AS (SELECT l_orderkey, l_linenumber AS attempt, CASE min(l_returnflag) WHEN 'R' THEN 'RATE_LIMITED' WHEN 'N' THEN 'AGENT_ERROR' END AS code FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+    e AS (SELECT l_orderkey, coalesce(min(attempt) FILTER (code IS DISTINCT FROM 'RATE_LIMITED'), max(attempt)) AS calls FROM a GROUP BY l_orderkey)
+    SELECT l_orderkey, e.calls::BIGINT AS calls, code AS error_code, (100 * (2 ** (e.calls - 1) - 1))::BIGINT AS waited_ms FROM e JOIN a USING (l_orderkey) WHERE attempt = calls""")
+def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
+    code = F.when(F.col("flag") == "R", "RATE_LIMITED").when(F.col("flag") == "N", "AGENT_ERROR")
+    attempts = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("attempt")).agg(F.min("l_returnflag").alias("flag"))
+    return budget.settle_attempts(attempts.select("l_orderkey", "attempt", code.alias("error_code")), "l_orderkey", 3, 100)
+
+
 # Sources
 
 
@@ -341,11 +363,10 @@ def invalid_records(spark: SparkSession, d: str) -> DataFrame:
     return src.parse_records(table(spark, d, "documents").select(F.col("doc_id").alias("line"), whole.alias("value"))).select("line", "problem")
 
 
-@query("SELECT page_id, url FROM pages")
+@query(r"SELECT page_id, regexp_replace(url, '^(https?://)', '\1[redacted]@') AS url FROM pages")
 def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
     with_user = F.regexp_replace("url", "^(https?://)", "$1user:secret@")
-    clean = F.regexp_replace(redact_userinfo(with_user), r"\[redacted\]@", "")
-    return table(spark, d, "pages").select("page_id", clean.alias("url"))
+    return table(spark, d, "pages").select("page_id", redact_userinfo(with_user).alias("url"))
 
 
 @query()
@@ -610,5 +631,4 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-    name = f"spine_{uuid.uuid4().hex}"
-    return spine.run_to_table(stream, name, mode, f"{shared}/{name}")
+    return spine.run_to_table(stream, f"{shared}/spine_{uuid.uuid4().hex}", mode)

@@ -51,11 +51,19 @@ def stream_gaps(events: DataFrame) -> DataFrame:
     return events.select("run_id", "sequence").groupBy("run_id").applyInPandasWithState(_missing, "run_id string, missing_from long, missing_to long", "due long, early array<long>", "update", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there now and gives the sink's table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over all that is there now; each batch is written as Parquet below folder, by its number, so that a
+    batch that is run again replaces itself. In complete mode the last batch is the result, else all of them are."""
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+        written.append(f"{folder}/batches/{number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(*(written[-1:] if mode == "complete" else written)) if written else stream.sparkSession.createDataFrame([], stream.schema)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli, errors, schemas
-from plumbline.operators import budget, outcomes
+from plumbline.operators import budget, outcomes, value
 from plumbline.operators import select as choose
 from plumbline.operators.agents import ExactMatch, FakeAgent, FunctionAgent
 from plumbline.operators.budget import Limits
@@ -50,6 +50,69 @@ def test_budget_stop_and_resume(spark, tmp_path):
         baseline(store, cases.cases(), Options(FakeAgent(), "openai:x", ExactMatch(), "f"), run_id="r", resume=True)
 
 
+class Pricing(FakeAgent):
+    """An agent that prices its cases: the first four as told, each other one at 1000."""
+
+    def estimate(self, cases):
+        odd = F.col("id") < "case-004"
+        return cases.withColumns({"est_cost_usd_micros": F.when(odd, F.lit(ODD.get("cost"))).otherwise(1000).cast("long"), "est_calls": F.when(odd, F.lit(ODD.get("calls", 1))).otherwise(1), "estimate_error": F.when(odd, F.lit(ODD.get("error")).cast("string"))})
+
+
+ODD = {}
+
+
+@pytest.mark.parametrize(("odd", "cap", "why"), [
+    ({"error": "no price"}, 10**9, "cannot be priced: no price"), ({"error": "no price"}, 0, None), ({"cost": 0}, 10**9, "zero"), ({"cost": 0}, 0, None), ({"cost": 7, "calls": 3}, 0, "one call"), ({"cost": 7}, 10**9, None),
+])
+def test_an_estimator_prices_each_case(spark, tmp_path, odd, cap, why):
+    ODD.clear()
+    ODD.update(odd)
+    cases, store = JsonLines(spark, write_cases(tmp_path / "c.jsonl", 20)).cases(), Store(spark, str(tmp_path / "store"))
+    run = lambda: baseline(store, cases, Options(Pricing(cost_usd_micros=1000), "fake:", ExactMatch(), "f", Limits(max_cost_usd_micros=cap), 500, attempts=1), run_id="r")
+    if why:
+        with pytest.raises(errors.Actionable, match=why):
+            run()
+        assert store.run("r")["status"] == "FAILED" and store.outcomes("r").isEmpty()
+    else:
+        assert run().status == "COMPLETED"
+
+
+def test_a_refused_confirmation_leaves_nothing(spark, tmp_path):
+    cases, store = JsonLines(spark, write_cases(tmp_path / "c.jsonl", 20)).cases(), Store(spark, str(tmp_path / "store"))
+    dear = Options(FakeAgent(), "fake:", ExactMatch(), "f", worst_cost_usd_micros=2_000_000, confirm=lambda micros: False)
+    with pytest.raises(errors.Actionable, match="may cost"):
+        baseline(store, cases, dear, run_id="r")
+    assert store.run("r") is None and store.events("r").isEmpty()
+
+
+def test_purge_leaves_no_content_on_disk(spark, tmp_path):
+    cases, store = JsonLines(spark, write_cases(tmp_path / "c.jsonl", 20)).cases(), Store(spark, str(tmp_path / "store"))
+    baseline(store, cases, Options(FakeAgent(), "fake:", ExactMatch(), "f"), run_id="r")
+    assert not list((tmp_path / "store").glob("waves/**/*.parquet"))
+    store.traces("r").write.parquet(store.wave_path("r", "stopped"))  # what a stopped wave leaves
+    assert store.purge("r", confirmed=True) > 0
+    assert not list((tmp_path / "store").glob("waves/**/*.parquet")) and not list((tmp_path / "store").glob("traces/**/*.parquet"))
+
+
+def test_content_left_by_a_stopped_write_is_not_doubled(spark, tmp_path):
+    cases, store = JsonLines(spark, write_cases(tmp_path / "c.jsonl", 20)).cases(), Store(spark, str(tmp_path / "store"))
+    baseline(store, cases, Options(FakeAgent(), "fake:", ExactMatch(), "f", Limits(max_calls=3), attempts=1, wave=3), run_id="r")
+    dev = seal(cases).dev().select(F.col("id").alias("case_id"), F.lit("early").alias("output"))
+    store._append(dev.join(store.outcomes("r").select("case_id"), "case_id", "left_anti").withColumn("run_id", F.lit("r")), "traces", schemas.TRACES)
+    done = baseline(store, cases, Options(FakeAgent(), "fake:", ExactMatch(), "f"), run_id="r", resume=True)
+    assert done.scored == store.traces("r").count() == store.traces("r").select("case_id").distinct().count()
+
+
+def test_t_quantiles_by_each_groups_own_number(spark):
+    got = {r["n"]: r["quantile"] for r in value.with_t_quantile(spark.createDataFrame([(1,), (3,), (31,), (201,), (202,), (1001,)], "n long")).collect()}
+    assert got[1] is None
+    for n, want in ((3, 4.302653), (31, 2.042272), (201, 1.971896), (202, 1.971837), (1001, 1.962339)):
+        assert abs(got[n] - want) < 2e-6
+    pairs = spark.createDataFrame([("a", 0.1), ("a", 0.3), ("a", 0.2)], "key string, delta double")
+    row = value.deltas(pairs, "key").first()
+    assert abs(row["high"] - (0.2 + 4.302653 * 0.1 / 3**0.5)) < 1e-6
+
+
 def test_errors_stay_out_of_the_mean(spark, tmp_path):
     cases, store = JsonLines(spark, write_cases(tmp_path / "c.jsonl", 60)).cases(), Store(spark, str(tmp_path / "store"))
     report = baseline(store, cases, Options(FakeAgent(fail_every=3), "fake:", ExactMatch(), "f"), run_id="r")
@@ -116,7 +179,7 @@ def test_stream_gaps(spark, tmp_path):
     for i, rows in enumerate(([("r", 1), ("r", 2), ("s", 1)], [("r", 4), ("s", 2)], [("r", 3)])):
         spark.createDataFrame(rows, "run_id string, sequence long").coalesce(1).write.mode("append").parquet(str(tmp_path / "e" / str(i)))
     stream = spine.read_events(spark, str(tmp_path / "e" / "*"), spark.createDataFrame([], "run_id string, sequence long").schema)
-    found = spine.run_to_table(spine.stream_gaps(stream), "gaps_of_test", "update", str(tmp_path / "ck")).collect()
+    found = spine.run_to_table(spine.stream_gaps(stream), str(tmp_path / "gaps"), "update").collect()
     assert all((r["run_id"], r["missing_from"], r["missing_to"]) == ("r", 3, 3) for r in found)
 
 
