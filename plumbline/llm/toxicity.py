@@ -13,7 +13,7 @@ fifth of the sample is kept out and turns scores into probabilities, at the samp
 
 Defined results: a null or empty text, and one without words, has score 0; without labels of both kinds every
 score is 0; repeated rows score alike; labels are read for training alone; an empty table gives an empty result;
-null ids are never trained on; other columns are not looked at.
+null ids are never trained on; of several texts with one id the first in order is; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return None
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = once.filter("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(once.filter("toxic = 0").orderBy(*order).limit(MAX_OTHER))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
     return train([words_of(t) for t in rows["text"].tolist()], rows["toxic"].to_numpy(), counts[1] / (counts[0] + counts[1]))
 

@@ -442,6 +442,34 @@ def test_toxicity_of_hard_rows(spark):
     assert toxicity.drop_toxic(rows, none).count() == 8
 
 
+def test_scores_are_those_of_the_worst_window():
+    net, texts = toxicity.Network(3), [toxicity.words_of(t) for _, t in HARD if t is None or len(t) < 60_000] + [[f"w{i % 37}" for i in range(n)] for n in (1, 31, 32, 33, 56, 57, 100)]
+    best, of, logits = net.text_logits(texts)
+    for k, words in enumerate(texts):
+        firsts = [] if not words else [0] if len(words) <= toxicity.WINDOW else sorted({*range(0, len(words) - toxicity.WINDOW + 1, toxicity.STEP), len(words) - toxicity.WINDOW})
+        want = []
+        for first in firsts:
+            own = words[first:first + toxicity.WINDOW]
+            want.append(float(net.logits(net.inputs(toxicity.word_hashes(own))[0], np.arange(len(own))[None, :], None)[0]))
+        assert np.allclose(logits[of == k], want, atol=1e-4) and (best[k] == max(logits[of == k]) if want else np.isneginf(best[k]))
+    scores = net.scores(texts)
+    assert ((scores >= 0) & (scores <= 1)).all() and (scores[[not t for t in texts]] == 0).all()
+
+
+def test_trained_scores_of_hard_rows(spark):
+    taught = [(1000 + i, ("you vile rotten scum " if i % 2 else "a kind and gentle day ") * (3 + i % 5)) for i in range(160)]
+    rows = HARD + taught + [(1000, "another text of that id")]
+    labels = spark.createDataFrame([(1000 + i, i % 2) for i in range(160)] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(table(spark, rows), labels).toPandas()
+    assert len(got) == len(rows) and got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
+    by = got.groupby("doc_id")["score"].agg(["min", "max", "size"])
+    assert by.loc[5, "size"] == 2 and by.loc[5, "min"] == by.loc[5, "max"] and (by.loc[[1, 2, 6], "max"] == 0).all()
+    assert by.loc[1001::2, "min"].mean() > by.loc[1002::2, "max"].mean()
+    again = toxicity.toxicity(table(spark, rows[::-1]), labels).toPandas()
+    assert sorted(zip(got["doc_id"].fillna(-1), got["score"].round(6))) == sorted(zip(again["doc_id"].fillna(-1), again["score"].round(6)))
+    assert toxicity.drop_toxic(table(spark, rows), labels).count() == int((got["predicted"] == 0).sum())
+
+
 def test_gradients_match_differences():
     net = toxicity.Network(2)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
@@ -516,6 +544,6 @@ def test_urls(spark):
     want = [likelihood_difference(given, i) for i in scored.index]
     assert np.abs(scored["url_score"].to_numpy() - want).max() < 1e-9 and scored["url_score"].nunique() > 10
     assert [scored["verdict"][i] for i in scored.index if not given[i]] == ["allow"] * 2
-    assert (scored["verdict"] == "block").any() and scored["url_score"][scored["verdict"] == "block"].min() > scored["url_score"][(scored["verdict"] == "allow") & [bool(given[i]) for i in scored.index]].max()
+    assert (scored["verdict"] == "block").any() and scored["url_score"][scored["verdict"] == "block"].min() > scored["url_score"][(scored["verdict"] == "allow") & np.array([bool(given[i]) for i in scored.index])].max()
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge_urls(empty, queries.URL_RULES).count() == 0
