@@ -6,8 +6,9 @@ numbers of shingles: the Jaccard similarity of shingles where copies differ by e
 
 Order MinHash: shingles are labelled by occurrence; each of SKETCHES hash functions chooses the PICKED labelled
 shingles with the smallest values and keeps them in the order they have in the text. Texts that agree on a
-sketch are candidates. Two texts at 0.8 agree on a sketch with probability 0.41 at least, so on none of 16 with
-2 in 10,000.
+sketch are candidates. Two texts of many shingles at 0.8 agree on a sketch with probability 0.41, so on none of 16
+with 2 in 10,000. It would be more for texts of few shingles, so these have an exact way besides: each also goes by its
+labelled shingles that come first by their values, so many that near texts must share one of them.
 
 Texts with the same words are one from the start. Candidates form components; inside each, alignments decide:
 
@@ -43,6 +44,8 @@ from plumbline.llm.common import durable, numbered, parts_for, ship, spare_name,
 from plumbline.llm.components import components
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
+#: Pairs of texts of so many shingles at most, the smaller one's number, are candidates for certain.
+FEW = 20
 #: Texts that one task settles at most, and their shingles; texts of a part in a meeting; pivots of the first round, and
 #: how their number grows from round to round.
 LOCAL, LOCAL_SHINGLES, PART, PIVOTS, GROWTH = 2048, 1_000_000, 256, 64, 16
@@ -115,13 +118,22 @@ def order_minhash(codes: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
+def first_shingles(codes: np.ndarray) -> np.ndarray:
+    """The labelled codes of a text of few shingles that come first by value, one of which every near text shares: near
+    texts have four fifths of the codes of each in common, and n - ceil(4n / 5) + 1 are one more than may be missing.
+    Near texts of FEW shingles have FEW * 5 / 4 at most; longer texts give none."""
+    n = len(codes)
+    return np.sort(labelled(codes))[:n - -(-4 * n // 5) + 1] if n <= FEW * 5 // 4 else np.zeros(0, np.uint64)
+
+
 def sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests, sketches, sizes = [], [], []
         for text in batch["text"].tolist():
             words = word_codes(text)
+            codes = shingles(words)
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-            sketches.append(order_minhash(shingles(words)).view(np.int64).tolist() if len(words) else [])
+            sketches.append(np.concatenate([order_minhash(codes), first_shingles(codes)]).view(np.int64).tolist() if len(words) else [])
             sizes.append(max(0, min(len(words), len(words) - SHINGLE + 1)) or int(len(words) > 0))
         yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "digest": digests, "size": sizes, "sketch": sketches})
 
@@ -343,7 +355,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(row_col).alias("row"), *own) if row_col else numbered(docs.select(*own), "row")
     rows = durable(texts.mapInPandas(sketch_rows, "row long, doc_id string, digest binary, size long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)))
     firsts = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    placed = firsts.select("node", "size", F.posexplode("sketch").alias("nth", "key"))
+    placed = firsts.select("node", "size", F.posexplode("sketch").alias("at", "key")).select("node", "size", F.least("at", F.lit(SKETCHES)).alias("nth"), "key")
     buckets = placed.groupBy("nth", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
     met = durable(placed.join(buckets, ["nth", "key"]).select("node", "size", "head", "n"))
     labels = components(met.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("label", "group")

@@ -408,6 +408,19 @@ def test_texts_linked_in_one_round_meet(spark, monkeypatch):
     assert {r["label"] for r in near_dedup.components(links).collect()} == {0}
 
 
+def test_near_texts_of_few_shingles_are_never_missed(spark):
+    draw, rows = random.Random(5), []
+    for n in range(5, 25):
+        for _ in range(30):
+            words = [f"k{draw.randrange(10**9)}" for _ in range(n)]
+            cut = draw.randrange(1 + n // 8)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[cut:], "more"]))]
+    near = [(a, b) for (a, s), (b, t) in zip(rows[::2], rows[1::2], strict=True) if near_by_brute_force(s, t)]
+    got = near_dedup.near_groups(table(spark, rows)).toPandas().set_index("doc_id")["group_id"]
+    assert len(near) > 300 and all(got[a] == got[b] for a, b in near)
+    assert got.nunique() == len(rows) - len(near)
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_groups(table(spark, [])).count() == 0
     assert near_dedup.keep_one_of_each(table(spark, [(1, "a"), (2, "a"), (3, None)])).count() == 2
