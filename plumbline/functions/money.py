@@ -68,6 +68,11 @@ def prices(spark: SparkSession) -> DataFrame:
     return rows.select("scheme", "price_key", *[to_micros(F.col(c)).alias(f"{c}_per_mtok_usd_micros") for c in ("input", "cached_read", "cache_write", "output")])
 
 
+def models(price_table: DataFrame, scheme: str) -> DataFrame:
+    """The models priced for a scheme, sorted: what a refusal can name."""
+    return price_table.filter(F.col("scheme") == scheme).select(F.col("price_key").alias("model")).distinct().orderBy("model")
+
+
 def with_price(calls: DataFrame, price_table: DataFrame, *key: str) -> DataFrame:
     """calls (scheme, model and the key columns) with the price of the exact model, else of the longest key that it
     begins with; without one the rates are null. The table has few rows and is broadcast."""

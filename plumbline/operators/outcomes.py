@@ -55,6 +55,17 @@ def not_yet_done(cases: DataFrame, done: DataFrame, key: list[str]) -> DataFrame
     return cases.join(done.select(*key), key, "left_anti")
 
 
+def resume_coordinates(planned: DataFrame, outcomes: DataFrame, run: str, case: str) -> DataFrame:
+    """Where each planned run stands: already_completed of total_cases over all its lives, and remaining, which is what
+    this session counts up to; with the spend to restore, that of cases no longer planned included."""
+    done = outcomes.select(run, case, F.lit(1).alias("done")).distinct()
+    cases = planned.select(run, case).distinct().join(done, [run, case], "left")
+    counts = cases.groupBy(run).agg(F.count("done").alias("already_completed"), F.count_if(F.col("done").isNull()).alias("remaining"), F.count("*").alias("total_cases"))
+    spent = outcomes.groupBy(run).agg(F.sum("cost_usd_micros").alias("cost"), F.sum("calls").alias("made"))
+    restored = {"restored_cost_usd_micros": F.coalesce("cost", F.lit(0)).cast("long"), "restored_calls": F.coalesce("made", F.lit(0)).cast("long")}
+    return counts.join(spent, run, "left").withColumns(restored).drop("cost", "made")
+
+
 def number_events(events: DataFrame, run: str, order: list[str], after: Column | None = None) -> DataFrame:
     """Sequences from 1, or on from what a resumed run has (after)."""
     at = F.row_number().over(Window.partitionBy(run).orderBy(*order))

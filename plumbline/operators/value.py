@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.hashing import fnv1a_mod
 
@@ -113,6 +114,42 @@ def irrelevant(assets: DataFrame, routed: DataFrame) -> DataFrame:
     return assets.select(F.col("id").alias("asset_id")).join(routed.select("asset_id").distinct(), "asset_id", "left_anti")
 
 
+#: Control cases of an asset, and the hash ranges that they are numbered by.
+CONTROLS, RANGES = 40, 10_000
+
+
+def _in_ranges(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """rows (bucket among their columns) numbered from 1 by bucket and order: within each bucket, behind the buckets before."""
+    counts = rows.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turn = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(order))
+    return rows.join(counts.select(*by, "bucket", before.alias("before")), [*by, "bucket"]).withColumn(name, (F.col("before") + turn).cast("long")).drop("before")
+
+
+def controls(cases: DataFrame, routed: DataFrame, n: int = CONTROLS) -> DataFrame:
+    """(asset_id, case_id, slice): for each asset with routed cases n cases it isn't routed to, or all such if fewer.
+
+    All assets take from the front of one order of the cases, by the hash of their ids, and step over what is their
+    own. How far an asset must reach is known from its own cases alone: n, and one more for each of them that has
+    fewer than n others before it. So rows are n and some of its own for each asset, never assets times cases.
+    """
+    bucket = fnv1a_mod(F.col("id").cast("string"), RANGES, "control")
+    ranked = _in_ranges(cases.select(F.col("id").alias("case_id"), bucket.alias("bucket")).distinct(), [], "case_id", "rank")
+    own = routed.select("asset_id", "case_id").distinct().join(ranked, "case_id").select("asset_id", "bucket", "rank")
+    passed = _in_ranges(own, ["asset_id"], "rank", "nth").groupBy("asset_id").agg(F.count_if(F.col("rank") - F.col("nth") < n).alias("stepped_over"))
+    blocks = passed.select("asset_id", (F.col("stepped_over") + n).alias("reach")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("reach") - 1) / 1000))))
+    within = F.sequence(F.col("block") * 1000 + 1, F.least("reach", F.col("block") * 1000 + 1000))
+    free = blocks.select("asset_id", F.explode(within).alias("rank")).join(own.select("asset_id", "rank"), ["asset_id", "rank"], "left_anti")
+    front = F.broadcast(ranked.filter(F.col("rank") <= 2 * n).select("rank", "case_id"))  # 2n rows at most; nearly all assets end here
+    found = free.filter(F.col("rank") <= 2 * n).join(front, "rank").unionByName(free.filter(F.col("rank") > 2 * n).join(ranked.select("rank", "case_id"), "rank"))
+    return found.select("asset_id", "case_id", F.lit("CONTROL").alias("slice"))
+
+
+def preview(valuations: DataFrame, k: int = 3) -> DataFrame:
+    """The k assets that give most for their cost; those without a value never come before others."""
+    return valuations.orderBy(F.col("delta_per_cost").desc_nulls_last(), "asset_id").limit(k)
+
+
 def sampled(rows: DataFrame, column: Column, rate: float) -> DataFrame:
     """A share of the rows that the column itself decides: the same rows each time."""
     return rows.filter(fnv1a_mod(column, 10_000, "sample").cast("double") < F.lit(rate * 10_000))

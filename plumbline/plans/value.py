@@ -41,6 +41,13 @@ def portfolio(candidates: DataFrame, caps: Mapping[str, int]) -> tuple[DataFrame
     return selected, rest.select("asset_id", F.coalesce("reason", F.lit("BUDGET_EXHAUSTED")).alias("reason"), F.lit("REJECTED").alias("destination"))
 
 
+def dev_estimated_gain(pairs: DataFrame, selected: DataFrame, *, quantile: float | None = None) -> DataFrame:
+    """The selected assets' gain over the dev pairs (asset_id, delta) they were chosen by: an estimate that the choice
+    itself inflates, never a result; validate() gives that."""
+    own = pairs.join(selected.select("asset_id").distinct(), "asset_id", "left_semi")
+    return value.deltas(own, quantile=quantile).withColumnRenamed("mean_delta", "dev_estimated_gain").withColumn("is_inflated", F.lit(True))
+
+
 def validate(cases: DataFrame, baseline_scores: DataFrame, portfolio_scores: DataFrame, *, quantile: float | None = None) -> DataFrame:
     """The gain on the holdout, over the cases that both have scored there."""
     held = open_holdout(cases, "VALIDATE").select(F.col("id").alias("case_id"))

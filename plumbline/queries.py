@@ -21,6 +21,7 @@ from plumbline.operators import budget, outcomes, value
 from plumbline.operators import select as choose
 from plumbline.operators.agents import fake_answer
 from plumbline.operators.seal import open_holdout, seal
+from plumbline.plans import value as stages
 from plumbline.plans.value import portfolio
 from plumbline.sources import agent_ref
 from plumbline.sources import cases as src
@@ -484,6 +485,53 @@ def treatment_expand(spark: SparkSession, d: str) -> DataFrame:
     return value.treatments(value.route(*nations_and_customers(spark, d)), 3).groupBy("asset_id", "trial").agg(F.count("*").alias("calls"))
 
 
+CONTROL_SQL = f"""
+    routed AS (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS asset_id, CAST(c_custkey AS BIGINT) AS case_id FROM nation JOIN customer ON n_nationkey = c_nationkey),
+    others AS (SELECT DISTINCT r.asset_id, CAST(c_custkey AS BIGINT) AS case_id, CAST({fnv_sql("CAST(c_custkey AS VARCHAR)", "control")} % 10000 AS INTEGER) AS h FROM (SELECT DISTINCT asset_id FROM routed) r JOIN customer ON r.asset_id <> c_nationkey),
+    control AS (SELECT asset_id, case_id FROM others QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY h, case_id) <= 40)"""
+
+
+@query(f"WITH {CONTROL_SQL} SELECT asset_id, case_id, 'CONTROL' AS slice FROM control")
+def control_cases(spark: SparkSession, d: str) -> DataFrame:
+    assets, cases = nations_and_customers(spark, d)
+    return value.controls(cases, value.route(assets, cases))
+
+
+@query(f"WITH {CONTROL_SQL}, a AS (SELECT *, 'ROUTED' AS slice FROM routed UNION ALL SELECT *, 'CONTROL' FROM control) SELECT asset_id, slice, t.trial::INTEGER AS trial, count(*) AS calls FROM a, (VALUES (1), (2), (3)) t(trial) GROUP BY ALL")
+def treatments_with_controls(spark: SparkSession, d: str) -> DataFrame:
+    assets, cases = nations_and_customers(spark, d)
+    routed = value.route(assets, cases)
+    return value.treatments(routed.unionByName(value.controls(cases, routed)), 3).groupBy("asset_id", "slice", "trial").agg(F.count("*").alias("calls"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS asset_id, s_acctbal AS delta_per_cost FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 3")
+def value_preview(spark: SparkSession, d: str) -> DataFrame:
+    return value.preview(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("asset_id"), F.col("s_acctbal").alias("delta_per_cost")))
+
+
+@query(_delta_sql("", "WHERE split = 'DEV' AND source IN (SELECT source FROM pairs WHERE split = 'DEV' GROUP BY source HAVING avg(delta) > 0)").replace("mean_delta", "dev_estimated_gain").replace("SELECT count(*) AS n", "SELECT true AS is_inflated, count(*) AS n"))
+def dev_estimated_gain(spark: SparkSession, d: str) -> DataFrame:
+    pairs = two_arms(spark, d).filter("split = 'DEV'").withColumnRenamed("source", "asset_id")
+    chosen = value.deltas(pairs, "asset_id", quantile=Z95).filter("mean_delta > 0")
+    return rounded(stages.dev_estimated_gain(pairs, chosen, quantile=Z95), "dev_estimated_gain", "sd_delta", "low", "high")
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), o AS (SELECT * FROM lineitem WHERE l_linestatus = 'F'), d AS (SELECT DISTINCT l_orderkey, l_linenumber, 1 AS done FROM o),
+    c AS (SELECT l_orderkey, count(done) AS already_completed, count(*) - count(done) AS remaining, count(*) AS total_cases FROM p LEFT JOIN d USING (l_orderkey, l_linenumber) GROUP BY l_orderkey),
+    s AS (SELECT l_orderkey, sum(CAST(floor(l_extendedprice::DOUBLE * 1000000 + 0.5) AS BIGINT)) AS cost, count(*) AS made FROM o GROUP BY l_orderkey)
+    SELECT l_orderkey, already_completed, remaining, total_cases, CAST(coalesce(cost, 0) AS BIGINT) AS restored_cost_usd_micros, coalesce(made, 0) AS restored_calls FROM c LEFT JOIN s USING (l_orderkey)""")
+def resume_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    spent = lines.filter("l_linestatus = 'F'").withColumns({"cost_usd_micros": money.to_micros(F.col("l_extendedprice").cast("double")), "calls": F.lit(1)})
+    return outcomes.resume_coordinates(lines, spent, "l_orderkey", "l_linenumber")
+
+
+@query(f"WITH p(ps, price_key, i, cr, cw, o) AS (VALUES {_values(money.PRICES)}) SELECT DISTINCT price_key AS model FROM p WHERE ps = 'openai'")
+def model_listing(spark: SparkSession, d: str) -> DataFrame:
+    return money.models(money.prices(spark), "openai")
+
+
 @query("""
     WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS id, [lang, source] AS tags FROM documents JOIN labels USING (doc_id) WHERE quality = 0), e AS (SELECT DISTINCT id, unnest(tags) AS cluster FROM f)
     SELECT cluster, count(*) AS failures, round(count(*) / (SELECT count(*) FROM f), 6) AS share FROM e GROUP BY cluster""")

@@ -5,7 +5,7 @@ from plumbline import errors
 from plumbline.functions import money
 from plumbline.functions.hashing import fnv1a, fnv1a_mod
 from plumbline.functions.text import exact_match, redact_userinfo
-from plumbline.operators.value import t_quantile
+from plumbline.operators.value import controls, t_quantile
 from plumbline.sources import agent_ref
 from plumbline.sources.cases import SplitCounts, holdout_fraction, split_of
 
@@ -88,3 +88,17 @@ def test_agent_refusals(text, why):
 
 def test_redaction(spark):
     assert spark.range(1).select(redact_userinfo(F.lit("see http://u:p@h/x ok")).alias("t")).first()["t"] == "see http://[redacted]@h/x ok"
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_controls_step_over_an_assets_own_cases(spark, n):
+    cases = spark.range(3000).select(F.col("id").cast("string").alias("id"))
+    wide = cases.filter("id not in ('7', '1234', '2999', '15', '16')").select(F.lit("wide").alias("asset_id"), F.col("id").alias("case_id"))
+    narrow = cases.filter("id % 3 = 0").select(F.lit("narrow").alias("asset_id"), F.col("id").alias("case_id"))
+    rows = [tuple(r) for r in wide.unionByName(narrow).collect()]
+    got = controls(cases, wide.unionByName(narrow), n).collect()
+    order = sorted((str(i) for i in range(3000)), key=lambda i: (fnv1a(i.encode() + b"\0control") % 10_000, i))
+    for asset in ("wide", "narrow"):
+        own = {c for a, c in rows if a == asset}
+        assert sorted(r["case_id"] for r in got if r["asset_id"] == asset) == sorted([i for i in order if i not in own][:n])
+    assert controls(cases, wide.limit(0), n).count() == 0
