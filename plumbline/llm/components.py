@@ -19,6 +19,17 @@ from plumbline.llm.common import durable, parts_for, unestimated
 HOT = 256
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows (durable) with the facts of their keys. facts: one row for each key, n being how many rows have it. Keys that have
+    more than one in HOT of these rows, HOT at most, are broadcast; the rows of all others are shuffled."""
+    facts = durable(facts)
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT > total
+    hot = facts.filter(is_hot)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.filter(~is_hot), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) of longs, 0 at least. Every node that has a link: (node, label), label being its component's smallest node."""
     # Turned round inside each row: a union of links with links would compute them twice.

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import durable, numbered, parts_for, ship, spare_name, unestimated
-from plumbline.llm.components import components
+from plumbline.llm.components import components, with_facts
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
 #: Pairs of texts of so many shingles at most, the smaller one's number, are candidates for certain.
@@ -354,24 +354,24 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = [F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     texts = docs.select(F.col(row_col).alias("row"), *own) if row_col else numbered(docs.select(*own), "row")
     rows = durable(texts.mapInPandas(sketch_rows, "row long, doc_id string, digest binary, size long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)))
-    firsts = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    firsts = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     placed = firsts.select("node", "size", F.posexplode("sketch").alias("at", "key")).select("node", "size", F.least("at", F.lit(SKETCHES)).alias("nth"), "key")
     buckets = placed.groupBy("nth", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    met = durable(placed.join(buckets, ["nth", "key"]).select("node", "size", "head", "n"))
+    met = durable(with_facts(placed, buckets, ["nth", "key"], "n").select("node", "size", "head", "n"))
     labels = components(met.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("label", "group")
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
     nodes = durable(labels.join(weights, "node"))
-    sizes = durable(nodes.groupBy("group").agg(((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")))
-    members = texts.join(nodes.join(sizes, "group"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
+    sizes = durable(nodes.groupBy("group").agg(F.count("*").alias("texts"), ((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")))
+    members = texts.join(with_facts(nodes, sizes, ["group"], "texts"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
     links = members.filter(~F.col("is_large")).groupBy("group").applyInPandas(settle, "a long, b long")
     if not sizes.filter("is_large").isEmpty():
         links = links.unionByName(settle_large(durable(members.filter("is_large"))))
     classes = components(links)
-    known = firsts.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
-    classed = durable(rows.select("row", "doc_id", "digest").join(known, "digest").drop("digest"))
+    known = firsts.select("digest", "node", "copies").join(classes, "node", "left").select("digest", "copies", F.coalesce("label", "node").alias("class"))
+    classed = durable(with_facts(rows.select("row", "doc_id", "digest"), known, ["digest"], "copies").drop("digest", "copies"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     heads = classed.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    return classed.join(heads, "class").select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "row")
+    return with_facts(classed, heads, ["class"], "group_size").select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "row")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

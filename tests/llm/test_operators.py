@@ -14,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, quality, queries, sharding, spans, toxicity, urls
+from plumbline.llm import bpe, chat, components, exact_dedup, html_text, near_dedup, packing, quality, queries, sharding, spans, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -560,3 +560,12 @@ def test_urls(spark):
     assert (scored["verdict"] == "block").any() and scored["url_score"][scored["verdict"] == "block"].min() > scored["url_score"][(scored["verdict"] == "allow") & np.array([bool(given[i]) for i in scored.index])].max()
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge_urls(empty, queries.URL_RULES).count() == 0
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 3)
+    rows = [(0, i) for i in range(50)] + [(1, i) for i in range(49)] + [(k, 0) for k in range(2, 20)] + [(None, 1), (99, 1)]
+    facts = [(k, n, f"f{k}") for k, n in [(0, 50), (1, 49), *((k, 1) for k in range(2, 20))]]
+    got = components.with_facts(spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame(facts, "k long, n long, f string"), ["k"], "n").collect()
+    assert sorted((r["k"], r["i"], r["n"], r["f"]) for r in got) == sorted((k, i, n, f) for k, i in rows for kk, n, f in facts if k == kk)
+    assert components.with_facts(spark.createDataFrame([], "k long"), spark.createDataFrame([], "k long, n long"), ["k"], "n").count() == 0
