@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm.boosting import quality
 from plumbline.llm.bpe import encode_and_decode
 from plumbline.llm.chat import format_turns, prefix_examples, read_back
 from plumbline.llm.common import table
+from plumbline.llm.divergence import audit
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.llm.html_text import extract_text
+from plumbline.llm.merkle import manifest
 from plumbline.llm.near_dedup import near_groups
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import quality_rules
@@ -75,8 +79,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(2)) == 0
+    found = {"text": F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    return manifest(table(spark, sf_dir, "documents"), found=found).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_toxicity, op2_sharding, op3_chat_formatting, op4_html_extraction, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op9_near_dedup, op10_url_filter, op11_quality_classifier, op12_merkle_manifest,
+    op13_source_divergence,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_chat_formatting, op4_html_extraction, op5_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_exact_dedup, op9_near_dedup, op10_url_filter)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
