@@ -194,7 +194,7 @@ def bucket_rows(key: tuple, counts: pd.DataFrame, sources: pd.DataFrame, top: in
         more, value = more[nth < top], value[nth < top]
         out.append(pd.DataFrame({"part": "term", "source": place[row[more]], "item": terms[numbers[more]], "value": value}))
     out = [x for x in out if len(x)]
-    return (pd.concat(out, ignore_index=True) if out else pd.DataFrame({"part": []})).assign(lang=lang).reindex(columns=["lang", "part", "source", "item", "other", "value", "seen", "base"]).astype({"other": "Int64", "seen": "Int64", "base": "Int64"})
+    return (pd.concat(out, ignore_index=True) if out else pd.DataFrame({"part": []})).assign(lang=lang).reindex(columns=["lang", "part", "source", "item", "other", "value", "seen", "base"]).astype({"lang": object, "part": object, "item": object, "other": "Int64", "seen": "Int64", "base": "Int64"})
 
 
 def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP_TERMS, bucket_size: int = BUCKET_ROWS, block_size: int = BLOCK) -> DataFrame:
