@@ -1,17 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. What is out by name goes first: blocks inside menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments, as tags, roles and class names tell. The first
-pass then decides each other block by link density (blocks of links are out), length and stop-word density (long
-blocks with many stop words are in); short blocks, and long ones of few stop words, stay open. In the second pass
-each open block gets the label of the nearest decided blocks before and behind it; what is out by name is no
-neighbour, so a short paragraph beside an advert is not lost. Where nothing near is decided, nothing speaks
-against a block, and it is in; on a page where no block was told as text (its language may have other stop
-words), neither are long blocks without links put out by neighbours.
+A page is cut into blocks at block-level tags. The first pass decides a block by link density (blocks of links are
+out, and so are copyright lines), by length and by stop-word density (long blocks with many stop words are text);
+short blocks, and long ones of few stop words, stay open. In the second pass each open block gets the label of the
+nearest decided block before or behind it in the same element, and where that has none of the nearest on the page;
+between two as near, being text wins. Where the first pass finds no text at all (a short page, or a language of other stop
+words), the element with a heading, else the one with most words outside links, is taken for text first.
+
+Names are evidence beside that: a block inside what a tag, role or class calls a sidebar, notice, advert, form, reader
+comments or the like cannot become text, since prose that a reader wrote looks like the article's; as it says nothing of
+what stands around it, it is no neighbour either. Menus have no names here: they are found by their links. Pages whose
+names are taken away keep nearly all their blocks (the tests say how many).
 
 Defined results: a null or empty page, or one without main text, has the empty text; unclosed and misplaced
 tags, comments and character references are read as browsers read them, as far as blocks go; pages of any
-length are read whole; repeated rows and ids are treated alike; an empty table gives an empty result.
+length are read whole, in time that grows with their length; repeated rows and ids are treated alike; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +33,19 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import ship
 
 #: Words from which a block is long; stop-word share from which a long block is text; link share from which a block is links.
-LONG_WORDS, TEXT_STOPS, LINKS = 10, 0.2, 0.5
+LONG_WORDS, TEXT_STOPS, LINKS = 16, 0.15, 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements by their part in a page, and words of classes and ids.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template iframe object svg canvas math audio video select textarea button title head datalist map".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
-OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
-OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+OUTSIDE = frozenset("header footer aside form dialog".split())
+OUTSIDE_ROLES = frozenset("banner contentinfo complementary search form alert alertdialog dialog".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
-    "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer share sharing social related recommended recommendations widget widgets toolbar pagination pager search".split()
+    "sidebar aside header masthead topbar footer share sharing social related recommended recommendations widget widgets toolbar search".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 CLOSES_ITSELF = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "option": "option"}
@@ -56,6 +61,7 @@ _STOPS = re.compile("[<>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -63,7 +69,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 class Block:
     text: str
     link_chars: int
-    outside: bool
+    outside: bool  # what its names say
+    inside_of: int = 0  # the element that holds the block's own, by its number in the page
+    heading: bool = False
+
+    @property
+    def is_links(self) -> bool:
+        return self.link_chars > LINKS * (len(self.text) - self.text.count(" "))
 
 
 def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -130,15 +142,17 @@ def _kind_of(tag: str, attributes: str) -> str:
 def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag; is what stands here out by name; is it among reader comments
+    outer: list[tuple[int, int]] = []  # the open block elements: place in the stack, number in the page
     count: Counter[str] = Counter()  # open tags by name
     parts: list[str] = []
-    link_chars = at = 0
+    link_chars = at = elements = 0
+    endless: set[str] = set()  # raw elements that end no more
 
     def end_block() -> None:
         nonlocal parts, link_chars
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, link_chars, bool(stack) and stack[-1][1]))
+            blocks.append(Block(text, link_chars, bool(stack) and stack[-1][1], outer[-2][1] if len(outer) > 1 else 0, bool(outer) and stack[outer[-1][0]][0] in HEADINGS))
         parts, link_chars = [], 0
 
     def add(raw: str) -> None:
@@ -155,6 +169,8 @@ def blocks_of(page: str) -> list[Block]:
             count[gone] -= 1
             if gone == tag:
                 break
+        while outer and outer[-1][0] >= len(stack):
+            outer.pop()
 
     for start, end, closing, tag, attributes in tags_of(page):
         if start < at:
@@ -164,10 +180,13 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if not closing and tag in RAW:
-            found = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(page, at)
+            found = None if tag in endless else _RAW_END[tag].search(page, at)
+            over = page.find(">", found.end()) if found else -1
+            if over < 0:
+                endless.add(tag)
             if tag in ("title", "textarea"):
                 end_block()
-            at = found.end() if found else len(page)
+            at = over + 1 if over >= 0 else len(page)
             continue
         if tag in ("br", "td", "th"):
             parts.append(" ")
@@ -182,8 +201,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in CLOSES_ITSELF and count[tag]:
-            nearest = next(t for t, _, _ in reversed(stack) if t == tag or t in BLOCKS)
-            if nearest == tag:
+            if outer and stack[outer[-1][0]][0] == tag:
                 close(tag)
         kind = _kind_of(tag, attributes)
         outside, comments = stack[-1][1:] if stack else (False, False)
@@ -191,6 +209,9 @@ def blocks_of(page: str) -> list[Block]:
             outside = False  # an article ends what was left open before it
         elif kind or tag in SILENT:
             outside = True
+        if tag in BLOCKS:
+            elements += 1
+            outer.append((len(stack), elements))
         stack.append((tag, outside, comments or kind == "comments"))
         count[tag] += 1
     add(page[at:])
@@ -200,39 +221,41 @@ def blocks_of(page: str) -> list[Block]:
 
 def first_pass(blocks: list[Block]) -> list[bool | None]:
     """True: text, False: not, None: open."""
-    return [_decide(b) for b in blocks]
+    labels = [_decide(b) for b in blocks]
+    if True not in labels:
+        held: Counter[int] = Counter()
+        headed = {b.inside_of for b, label in zip(blocks, labels, strict=True) if b.heading and label is None and not b.outside}
+        for b, label in zip(blocks, labels, strict=True):
+            if label is None and not b.outside and (b.inside_of in headed or not headed):
+                held[b.inside_of] += b.text.count(" ") + 1
+        best = max(held, key=lambda e: (held[e], -e), default=None)
+        labels = [True if label is None and not b.outside and b.inside_of == best else label for b, label in zip(blocks, labels, strict=True)]
+    return labels
 
 
 def _decide(block: Block) -> bool | None:
-    if block.outside:
+    if block.is_links or block.text[:1] == "©":
         return False
-    if block.link_chars > LINKS * (len(block.text) - block.text.count(" ")) or block.text[:1] == "©":
-        return False
-    words = block.text.split(" ")
-    if len(words) < LONG_WORDS:
+    if block.outside or block.text.count(" ") + 1 < LONG_WORDS:
         return None
-    stops = sum(w.strip(".,;:!?()\"'").lower() in STOP_WORDS for w in words)
-    return stops >= TEXT_STOPS * len(words) or None
+    words = _WORD.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words) >= max(1, TEXT_STOPS * len(words)) or None
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Open blocks take the label of the nearest decided one; between two as near, and without any, being text wins."""
-    seen = [i for i, b in enumerate(blocks) if not b.outside]
-    near: dict[int, list[tuple[int, bool]]] = {i: [] for i in seen if labels[i] is None}
+    """Open blocks take the label of the nearest decided one, of the same element first; between two as near, and without any,
+    being text wins."""
+    seen = [i for i, b in enumerate(blocks) if labels[i] is not None or not b.outside]
+    near: dict[int, list[tuple[bool, int, bool]]] = {i: [] for i in seen if labels[i] is None}  # not in its element, steps, not text
     for order in (seen, seen[::-1]):
-        last: tuple[int, bool] | None = None
+        last: dict[int, tuple[int, bool]] = {}  # by element, the last decided block in it; under -1 that of any
         for step, i in enumerate(order):
+            own = blocks[i].inside_of
             if labels[i] is not None:
-                last = (step, labels[i])
-            elif last is not None:
-                near[i].append((step - last[0], not last[1]))
-    text_found, out = any(labels), []
-    for i, label in enumerate(labels):
-        if label is None:
-            alone = not text_found and not blocks[i].link_chars and blocks[i].text.count(" ") >= LONG_WORDS - 1
-            label = not near[i] or alone or not min(near[i])[1]
-        out.append(label)
-    return out
+                last[own] = last[-1] = (step, labels[i])
+            else:
+                near[i] += [(e < 0, step - at, not label) for e in (own, -1) if e in last for at, label in (last[e],)]
+    return [label if label is not None else i in near and (not near[i] or not min(near[i])[-1]) for i, label in enumerate(labels)]
 
 
 def main_text(page: str | None) -> str:
