@@ -72,7 +72,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> tuple[int, str]:
         source = JsonLines(spark, args.evals, seed=args.seed, fraction=args.holdout)
         micros = lambda usd: int(usd * 1e6 + 0.5)
         ref = str(agent_ref.parse(args.agent))
-        options = Options(agent_of(args.agent), ref, goal_of(args.goal), source.content_hash(), Limits(micros(args.max_cost_usd), args.max_calls), micros(args.call_cost_usd), max_error_rate=args.max_error_rate, confirm=lambda _: args.yes)
+        options = Options(agent_of(args.agent), ref, goal_of(args.goal), source.content_hash(), Limits(micros(args.max_cost_usd), args.max_calls), micros(args.call_cost_usd), max_error_rate=args.max_error_rate, holdout=args.holdout, confirm=lambda _: args.yes)
         report = baseline(store, source.cases(), options, run_id=args.run_id, resume=args.resume)
         return report.exit_code, report.json(ref, args.goal) if args.json else report.text()
     except errors.Actionable as error:

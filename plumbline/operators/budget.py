@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.ranges import Ranges
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -88,8 +90,7 @@ def admit(cases: DataFrame, limits: Limits, spent: Spend, size: int, order: str
 
 def serial_admission(ledger: DataFrame, key: str, order: list[str], estimate: Column, actual: Column, cap: Column) -> DataFrame:
     """Adds admitted: what a guard that sees one call after another lets through. The first refusal stops a key."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    to_here = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = ledger.withColumn("spent_before", F.coalesce(F.sum(actual).over(before), F.lit(0)).cast("long"))
-    refused = (F.col("spent_before") + estimate > cap).cast("int")
-    return spent.withColumn("admitted", F.max(refused).over(to_here) == 0)
+    asked = ledger.withColumns({"estimate_": estimate, "actual_": actual})
+    spent = Ranges(asked, [key], order).total_before("spent_before", F.col("actual_"), place=True).withColumn("spent_before", F.col("spent_before").cast("long"))
+    refused = spent.filter(F.col("spent_before") + F.col("estimate_") > cap).groupBy(key).agg(F.min("place_").alias("refused_at"))
+    return spent.join(refused, key, "left").withColumn("admitted", F.col("refused_at").isNull() | (F.col("place_") < F.col("refused_at"))).drop("place_", "refused_at", "estimate_", "actual_")

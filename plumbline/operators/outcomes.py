@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.ranges import Ranges
 from plumbline.sources.cases import UNDERPOWERED
 
 MAX_ERROR_RATE = 0.05
@@ -67,15 +68,17 @@ def resume_coordinates(planned: DataFrame, outcomes: DataFrame, run: str, case:
 
 
 def number_events(events: DataFrame, run: str, order: list[str], after: Column | None = None) -> DataFrame:
-    """Sequences from 1, or on from what a resumed run has (after)."""
+    """Sequences from 1, or on from what a resumed run has (after), which numbers one wave of one run."""
+    if after is None:
+        return Ranges(events, [run], order).number("sequence")
     at = F.row_number().over(Window.partitionBy(run).orderBy(*order))
-    return events.withColumn("sequence", (at + (after if after is not None else F.lit(0))).cast("long"))
+    return events.withColumn("sequence", (at + after).cast("long"))
 
 
 def sequence_gaps(events: DataFrame, run: str) -> DataFrame:
     """Where events are missing: the last before and the first behind each gap."""
-    before = F.lag("sequence", 1, 0).over(Window.partitionBy(run).orderBy("sequence"))
-    return events.select(run, "sequence", before.alias("previous")).filter(F.col("sequence") > F.col("previous") + 1)
+    seen = Ranges(events.select(run, "sequence"), [run], ["sequence"]).previous("previous", "sequence", 0)
+    return seen.filter(F.col("sequence") > F.col("previous") + 1)
 
 
 def terminal_outcomes(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plumbline.operators.ranges import durable
 
 
 def per_cost(delta: Column, costs: Mapping[str, float]) -> Column:
@@ -14,26 +19,111 @@ def per_cost(delta: Column, costs: Mapping[str, float]) -> Column:
     return F.when(total > 0, delta / total).otherwise(F.when(delta > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
 
 
-def greedy(ranked: DataFrame, caps: Mapping[str, int], *by: str) -> DataFrame:
-    """Takes assets in order of rank; one that does not fit is skipped and leaves its room to later ones.
-
-    ranked: asset_id, rank (from 1) and a column for each cap. The order matters from one asset to the next, so the
-    fold is over one sorted array for each pool (by); a pool is a portfolio's candidates, not the corpus.
+#: Candidates of a pool that are decided in one task.
+RANGE = 1000
+
+
+def _walk(pool: pd.DataFrame, caps: Mapping[str, int], size: int) -> pd.DataFrame:
+    """Decides the first candidates of a pool, best first. Their worth only falls as others are chosen, so a worth that was
+    right before is a bound: a candidate is weighed anew when it comes to the top and goes back where it now belongs."""
+    pool = pool.sort_values("turn")
+    room = {c: cap - int(pool[f"used_{c}"].iloc[0]) for c, cap in caps.items()}
+    position = int(pool["chosen_before"].iloc[0])
+    rest = pool[pool["turn"] > size]
+    floor = (-float(rest["bound"].iloc[0]), rest["asset_id"].iloc[0]) if len(rest) else None
+    rows = {r.asset_id: r for r in pool[pool["turn"] <= size].itertuples(index=False)}
+    alike = {i: (r.penalty, r.nearest) for i, r in rows.items()}
+    heap = [(-float(r.bound), i) for i, r in rows.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        bound, i = heapq.heappop(heap)
+        row, (penalty, nearest) = rows[i], alike[i]
+        worth = row.delta_per_cost * (1 - penalty) if penalty < 1 else 0.0
+        if penalty > 0 and worth <= 0:
+            out.append((i, "REDUNDANT", worth, None, nearest))
+        elif -worth > bound and floor is not None and (-worth, i) > floor:
+            out.append((i, "LATER", worth, None, nearest))
+        elif -worth > bound:
+            heapq.heappush(heap, (-worth, i))
+        elif any(getattr(row, c) > room[c] for c in caps):
+            out.append((i, "BUDGET_EXHAUSTED", worth, None, None))
+        else:
+            for c in caps:
+                room[c] -= getattr(row, c)
+            out.append((i, "CHOSEN", worth, position, None))
+            position += 1
+            for other in row.neighbours if row.neighbours is not None else ():
+                before = alike.get(other["other_id"], (0.0, None))
+                if (-other["similarity"], i) < (-before[0], before[1] if before[1] is not None else i):
+                    alike[other["other_id"]] = (other["similarity"], i)
+    return pd.DataFrame(out, columns=["asset_id", "decision", "bound", "position", "nearest"])
+
+
+def greedy(candidates: DataFrame, caps: Mapping[str, int], *by: str, links: DataFrame | None = None, size: int = RANGE) -> DataFrame:
+    """A decision for each candidate (asset_id, delta_per_cost and a column for each cap): position (from 0; null if it is
+    not chosen), reason (null if it is), redundant_with and worth, what it was worth at its turn.
+
+    Best worth first, then least id. links (asset_id, other_id, similarity) are near copies: a candidate is worth its
+    delta_per_cost times one less its largest similarity to a chosen one; with nothing left of it, it is REDUNDANT. One that
+    does not fit is skipped and leaves its room to later ones. Pools (by) are walked side by side, each in ranges of
+    size candidates in order of what they may be worth at most. From one range to the next go the room that is left and
+    the chosen ids; a candidate that fell below its range waits for a later one, so the order is that of the whole
+    pool. Candidates that no longer fit are never ranked, so ranges end soon after the room does.
     """
-    names = list(caps)
-    item = F.struct(F.col("rank"), F.col("asset_id"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in names])
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names], F.array().cast("array<string>").alias("chosen"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = F.lit(True)
+    names, key = list(caps), list(by) or ["pool_"]
+    kind = candidates.schema["asset_id"].dataType.simpleString()
+    rows = candidates.select(*([F.col(c) for c in by] or [F.lit(0).alias("pool_")]), "asset_id", F.col("delta_per_cost").cast("double").alias("delta_per_cost"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in names])
+    every = durable(rows)
+    waiting = every.withColumn("bound", F.col("delta_per_cost"))
+    near = None
+    if links is not None:
+        one = links.select("asset_id", "other_id", "similarity")
+        near = durable(one.unionByName(one.select(F.col("other_id").alias("asset_id"), F.col("asset_id").alias("other_id"), "similarity")).groupBy("asset_id", "other_id").agg(F.max("similarity").alias("similarity")))
+    decided: DataFrame | None = None
+    schema = f"{', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in key)}, asset_id {kind}, decision string, bound double, position long, nearest {kind}"
+    while True:
+        if decided is not None:
+            chosen = every.join(decided.filter("decision = 'CHOSEN'").select(*key, "asset_id"), [*key, "asset_id"])
+            used = chosen.groupBy(*key).agg(F.count("*").alias("chosen_before"), *[F.sum(c).alias(f"used_{c}") for c in names])
+            waiting = waiting.join(used, key, "left").na.fill(0, ["chosen_before", *[f"used_{c}" for c in names]])
+        else:
+            waiting = waiting.withColumns({"chosen_before": F.lit(0).cast("long")} | {f"used_{c}": F.lit(0).cast("long") for c in names})
         for c in names:
-            fits = fits & (a[c] + x[c] <= caps[c])
-        taken = F.struct(*[(a[c] + x[c]).alias(c) for c in names], F.array_append(a["chosen"], x["asset_id"].cast("string")).alias("chosen"))
-        return F.when(fits, taken).otherwise(a)
-
-    pool = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    folded = pool.select(*by, F.aggregate("items", zero, step).alias("end"))
-    return folded.select(*by, F.posexplode("end.chosen").alias("position", "asset_id"))
+            waiting = waiting.filter(F.col(c) + F.col(f"used_{c}") <= caps[c])
+        turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("bound"), "asset_id"))
+        batch = durable(waiting.withColumn("turn", turn).filter(F.col("turn") <= size + 1))
+        if batch.isEmpty():
+            break
+        if near is None:
+            batch = batch.withColumns({"penalty": F.lit(0.0), "nearest": F.lit(None).cast(kind), "neighbours": F.lit(None).cast(f"array<struct<other_id: {kind}, similarity: double>>")})
+        else:
+            own = batch.select(*key, "asset_id").join(near, "asset_id")
+            here = own.join(batch.select(*key, F.col("asset_id").alias("other_id")), [*key, "other_id"], "left_semi").groupBy(*key, "asset_id").agg(F.collect_list(F.struct("other_id", "similarity")).alias("neighbours"))
+            batch = batch.join(here, [*key, "asset_id"], "left")
+            if decided is None:
+                batch = batch.withColumns({"penalty": F.lit(0.0), "nearest": F.lit(None).cast(kind)})
+            else:
+                before = own.join(chosen.select(*key, F.col("asset_id").alias("other_id")), [*key, "other_id"]).groupBy(*key, "asset_id").agg(F.max("similarity").alias("penalty"), F.min_by("other_id", F.struct(-F.col("similarity"), F.col("other_id"))).alias("nearest"))
+                batch = batch.join(before, [*key, "asset_id"], "left").na.fill(0.0, ["penalty"])
+
+        def walk(k: tuple, pool: pd.DataFrame) -> pd.DataFrame:
+            found = _walk(pool, caps, size)
+            for n, c in enumerate(key):
+                found.insert(n, c, k[n])
+            return found.astype({"position": "Int64"})
+
+        told = durable(batch.groupBy(*key).applyInPandas(walk, schema))
+        final = told.filter("decision <> 'LATER'")
+        decided = durable(final if decided is None else decided.unionByName(final))
+        waiting = waiting.drop("chosen_before", *[f"used_{c}" for c in names]).join(final.select(*key, "asset_id"), [*key, "asset_id"], "left_anti")
+        later = told.filter("decision = 'LATER'").select(*key, "asset_id", F.col("bound").alias("bound_now"))
+        waiting = durable(waiting.join(later, [*key, "asset_id"], "left").withColumn("bound", F.coalesce("bound_now", "bound")).drop("bound_now"))
+    if decided is None:
+        decided = candidates.sparkSession.createDataFrame([], schema)
+    all_decided = every.join(decided, [*key, "asset_id"], "left")
+    reason = F.when(F.col("decision") == "CHOSEN", None).otherwise(F.coalesce("decision", F.lit("BUDGET_EXHAUSTED")))
+    return all_decided.select(*by, "asset_id", "position", reason.alias("reason"), F.when(F.col("decision") == "REDUNDANT", F.col("nearest")).alias("redundant_with"), F.coalesce("bound", "delta_per_cost").alias("worth"))
 
 
 def rejection_reason(*, routed: Column, measured: Column, low: Column, high: Column, mechanism_ok: Column, redundant: Column, worth: Column, fits: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.hashing import fnv1a_mod
+from plumbline.operators.ranges import Ranges, durable
 
 
 def t_quantile(p: float, df: int) -> float:
@@ -197,6 +198,46 @@ def interaction_penalty(set_gain: Column, parts: Column) -> Column:
     return F.greatest(F.lit(0.0), parts - set_gain)
 
 
+#: Assets of a slice that meet in one task.
+MEETING = 256
+
+
+def shared_slices(routed: DataFrame, least: int = 2, meeting: int = MEETING) -> DataFrame:
+    """(asset_id_a, asset_id_b, shared): pairs a < b of assets with at least least slices in common; routed: asset_id, slice_id.
+
+    An inverted index of slices, rare ones first: of two assets with least slices in common, the rarest common one is
+    among the first n - least + 1 of either, so only those postings meet, and the slices that most assets share are hardly ever
+    among them. A slice's assets stand in blocks of meeting; each two blocks are one bounded meeting, whatever the slice's size.
+    """
+    once = durable(routed.select("asset_id", "slice_id").distinct())
+    sizes = once.groupBy("slice_id").agg(F.count("*").alias("assets")).filter("assets > 1")
+    ranked = Ranges(once.join(sizes, "slice_id"), ["asset_id"], ["assets", "slice_id"]).number("turn")
+    counts = once.groupBy("asset_id").agg(F.count("*").alias("slices"))
+    first = ranked.join(counts, "asset_id").filter(F.col("turn") <= F.col("slices") - (least - 1)).select("slice_id", "asset_id")
+    placed = Ranges(first, ["slice_id"], ["asset_id"]).number("place").withColumn("block", F.expr(f"CAST((place - 1) div {meeting} AS INT)"))
+    blocks = placed.groupBy("slice_id").agg(F.max("block").alias("last"))
+    dealt = placed.join(blocks, "slice_id").select("slice_id", "asset_id", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")).select("slice_id", "asset_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    left = dealt.filter("block = i").select("slice_id", "i", "j", F.col("asset_id").alias("asset_id_a"))
+    right = dealt.filter("block = j").select("slice_id", "i", "j", F.col("asset_id").alias("asset_id_b"))
+    met = left.join(right, ["slice_id", "i", "j"]).filter("asset_id_a < asset_id_b").select("asset_id_a", "asset_id_b").distinct()
+    own = lambda side: once.select(F.col("asset_id").alias(f"asset_id_{side}"), "slice_id")
+    both = met.join(own("a"), "asset_id_a").join(own("b"), ["asset_id_b", "slice_id"])
+    return both.groupBy("asset_id_a", "asset_id_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
+def pair_interaction(pairs: DataFrame, own: DataFrame, joint: DataFrame, *, level: float = 0.95) -> DataFrame:
+    """For each of the pairs (asset_id_a, asset_id_b) what the two give together beyond what each gives alone, over the cases
+    where all three were measured: n, interaction, its t bounds, and whether it is a suspect (all of it below zero).
+
+    own: asset_id, case_id, delta; joint: asset_id_a, asset_id_b, case_id, delta, a < b."""
+    alone = lambda side: own.select(F.col("asset_id").alias(f"asset_id_{side}"), "case_id", F.col("delta").alias(f"delta_{side}"))
+    measured = joint.join(pairs.select("asset_id_a", "asset_id_b"), ["asset_id_a", "asset_id_b"], "left_semi").filter(F.col("delta").isNotNull())
+    cases = measured.join(alone("a"), ["asset_id_a", "case_id"]).join(alone("b"), ["asset_id_b", "case_id"])
+    beyond = cases.select("asset_id_a", "asset_id_b", (F.col("delta") - F.col("delta_a") - F.col("delta_b")).alias("delta")).filter(F.col("delta").isNotNull())
+    found = deltas(beyond, "asset_id_a", "asset_id_b")
+    return found.select("asset_id_a", "asset_id_b", "n", F.col("mean_delta").alias("interaction"), "low", "high", F.coalesce(F.col("high") < 0, F.lit(False)).alias("suspect"))
+
+
 def agreement(pairs: DataFrame, judge: str, human: str, *by: str) -> DataFrame:
     """Share of equal verdicts and Cohen's kappa of two 0/1 columns."""
     j, h = F.col(judge).cast("double"), F.col(human).cast("double")

@@ -16,6 +16,7 @@ from plumbline.functions.money import show_usd
 from plumbline.operators import outcomes as facts
 from plumbline.operators.agents import Agent, Goal
 from plumbline.operators.budget import Limits, Spend, admit, denial_reason, resolve_estimates, wave_size
+from plumbline.operators.ranges import durable
 from plumbline.operators.seal import seal
 from plumbline.plans.store import Store
 from plumbline.sources.cases import SplitCounts, count_splits
@@ -48,6 +49,7 @@ class Options:
     attempts: int = 3
     wave: int = 100_000
     max_error_rate: float = facts.MAX_ERROR_RATE
+    holdout: float = 0.0
     confirm: Callable[[int], bool] | None = None
 
 
@@ -118,7 +120,7 @@ def baseline(store: Store, cases: DataFrame, options: Options, *, run_id: str |
     the score come from recorded rows alone, so a resumed run tells of the whole run. Within a wave every case
     reserves all its attempts, since a task cannot ask again."""
     counts = count_splits(cases)
-    counts.check()
+    counts.check(options.holdout)
     estimates = options.agent.estimate if hasattr(options.agent, "estimate") else None
     if options.limits.max_cost_usd_micros and options.worst_cost_usd_micros <= 0 and estimates is None:
         raise errors.INVALID_INPUT("a cost cap needs an estimate of a call's cost")
@@ -140,23 +142,29 @@ def baseline(store: Store, cases: DataFrame, options: Options, *, run_id: str |
     _emit(store, run_id, [("run_resumed" if resume else "run_started", {"total": counts.dev})])
     status, reason = "COMPLETED", None
     worst = options.worst_cost_usd_micros * options.attempts
+    # Waves take cases in the order of their ids, so what is left is what is not yet recorded and beyond the last wave's end.
+    left = durable(facts.not_yet_done(seal(cases).dev(), store.outcomes(run_id).select(F.col("case_id").alias("id")), ["id"]))
+    spent, end, limited = settled(store, run_id), None, 0
     try:
         while True:
-            spent = settled(store, run_id)
-            left = facts.not_yet_done(seal(cases).dev(), store.outcomes(run_id).select(F.col("case_id").alias("id")), ["id"])
-            one = _priced(left, estimates, options)
+            ahead = left if end is None else left.filter(F.col("id") > end)
+            one = _priced(ahead, estimates, options)
             size = wave_size(options.limits, spent, worst, options.wave)
             priced = one.withColumns({c: F.col(c) * options.attempts for c in ("est_cost_usd_micros", "est_calls")})
-            wave = admit(priced, options.limits, spent, size).select(*cases.columns)
+            wave = durable(admit(priced, options.limits, spent, size))
             if wave.isEmpty():
                 # All attempts of a case may not fit where one call does; such a case runs alone with the one.
-                wave = admit(one, options.limits, spent, 1).select(*cases.columns)
+                wave = durable(admit(one, options.limits, spent, 1))
                 if wave.isEmpty():
-                    if not left.isEmpty():
+                    if not ahead.isEmpty():
                         binds = denial_reason(options.limits, spent, 1, options.worst_cost_usd_micros)
                         status, reason = "BUDGET_STOPPED", f"stopped at the cap on {binds}"
                     break
-            _run_wave(store, run_id, wave, options)
+            cost, not_recorded = _run_wave(store, run_id, wave, options)
+            spent = Spend(spent.calls + cost.calls, spent.cost_usd_micros + cost.cost_usd_micros, spent.tokens + cost.tokens)
+            end, limited = wave.agg(F.max("id").alias("id")).first()["id"], limited + not_recorded
+        if limited and reason is None:
+            reason = f"{limited} cases were rate limited to the end; `plumbline baseline --resume` asks them again"
     except KeyboardInterrupt:
         status, reason = "INTERRUPTED", errors.INTERRUPTED.message
     except Exception:
@@ -177,23 +185,31 @@ def _priced(cases: DataFrame, estimates: Callable[[DataFrame], DataFrame] | None
     return resolved.drop("unpriceable", "estimate_error")
 
 
-def _run_wave(store: Store, run_id: str, wave: DataFrame, options: Options) -> None:
-    """The agent is asked once: its answers are written before anything is made of them."""
-    answers = options.agent.respond(wave)
+def _run_wave(store: Store, run_id: str, wave: DataFrame, options: Options) -> tuple[Spend, int]:
+    """The agent is asked once: its answers are written before anything is made of them. A case without an answer is
+    recorded as an error at the cost that was reserved for it, so no case is asked and paid again in the same run. One that
+    was rate limited to the end is not recorded: a resumed run asks it again. Gives what was spent, and how many those are."""
+    answers = options.agent.respond(wave.drop("est_cost_usd_micros", "est_calls"))
     raw = store.wave_path(run_id, secrets.token_hex(6))
     answers.write.parquet(raw)
-    told = store.spark.read.parquet(raw).join(wave.select(F.col("id").alias("case_id"), "expected"), "case_id")
+    asked = wave.select(F.col("id").alias("case_id"), "expected", "est_cost_usd_micros", "est_calls")
+    told = asked.join(store.spark.read.parquet(raw).withColumn("answered", F.lit(True)), "case_id", "left").withColumn("error_code", F.when(F.col("answered"), F.col("error_code")).otherwise("AGENT_ERROR"))
+    told = durable(told.filter(F.coalesce(F.col("error_code"), F.lit("")) != errors.RATE_LIMITED.code))
     scored = told.withColumn("scored", F.col("error_code").isNull()).withColumn("score_value", F.when(F.col("error_code").isNull(), options.goal.score(F.col("output"), F.col("expected"))))
     attempts = F.coalesce(F.col("attempts"), F.lit(1)).cast("long")
+    calls, cost = F.when(F.col("answered"), attempts).otherwise(F.col("est_calls")).cast("long"), F.when(F.col("answered"), F.col("cost_usd_micros") * attempts).otherwise(F.col("est_cost_usd_micros")).cast("long")
+    scored = scored.withColumns({"calls": calls, "cost_usd_micros": cost})
     outcomes = scored.select(
-        "case_id", "scored", F.col("error_code").alias("err_code"), attempts.alias("calls"), (F.col("cost_usd_micros") * attempts).alias("cost_usd_micros"), (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
+        "case_id", "scored", F.col("error_code").alias("err_code"), "calls", "cost_usd_micros", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
         "score_value", (F.col("score_value") >= 1).alias("score_passed"), "refused", (F.col("stop_reason") == "LENGTH").alias("truncated"), "usage_estimated",
     )
     store.record(run_id, outcomes, scored.select("case_id", "output"))
     kind = F.when(F.col("scored"), "case_scored").otherwise("case_errored")
-    events = facts.number_events(scored.select("case_id", kind.alias("payload_kind"), F.col("score_value").alias("score"), F.col("error_code").alias("err_code"), F.lit(False).alias("will_retry"), (F.col("cost_usd_micros") * attempts).alias("cost_usd_micros"), F.lit(run_id).alias("run_id"), F.lit(now()).alias("emitted_at")), "run_id", ["case_id"], F.lit(store.max_sequence(run_id)))
-    store.append_events(events)
+    events = facts.number_events(scored.select("case_id", kind.alias("payload_kind"), F.col("score_value").alias("score"), F.col("error_code").alias("err_code"), F.lit(False).alias("will_retry"), "cost_usd_micros", F.lit(run_id).alias("run_id"), F.lit(now()).alias("emitted_at")), "run_id", ["case_id"], F.lit(store.max_sequence(run_id)))
+    store.append_events(events, run_id)
     store.delete(raw)
+    row = facts.settled_spend(facts.first_writer_wins(outcomes, ["case_id"], ["case_id"])).first()
+    return Spend(row["calls"], row["cost_usd_micros"], row["tokens"]), wave.select(F.col("id").alias("case_id")).join(told, "case_id", "left_anti").count()
 
 
 def _emit(store: Store, run_id: str, payloads: list[tuple[str, dict]]) -> None:
@@ -201,7 +217,7 @@ def _emit(store: Store, run_id: str, payloads: list[tuple[str, dict]]) -> None:
 
     after = store.max_sequence(run_id)
     rows = [{"run_id": run_id, "sequence": after + i, "emitted_at": now(), "payload_kind": kind} | values for i, (kind, values) in enumerate(payloads, 1)]
-    store.append_events(store.spark.createDataFrame([tuple(r.get(f.name) for f in schemas.EVENTS.fields) for r in rows], schemas.EVENTS))
+    store.append_events(store.spark.createDataFrame([tuple(r.get(f.name) for f in schemas.EVENTS.fields) for r in rows], schemas.EVENTS), run_id)
 
 
 def _close(store: Store, run_id: str, counts: SplitCounts, options: Options, status: str, reason: str | None) -> Report:

@@ -89,11 +89,14 @@ class Store:
     def events(self, run_id: str | None = None) -> DataFrame:
         return self._read("events", schemas.EVENTS, run_id)
 
-    def append_events(self, rows: DataFrame) -> None:
-        """Sequences begin at 1; one already there stays as it is."""
-        checked = rows.withColumn("sequence", F.when(F.col("sequence") > 0, F.col("sequence")).otherwise(F.raise_error(F.lit("an event's sequence is not positive"))))
+    def append_events(self, rows: DataFrame, run_id: str) -> None:
+        """Events of one run; sequences begin at 1, and one already there stays as it is."""
+        if self.run(run_id) is None:
+            raise errors.INVALID_INPUT(f"no run {run_id}")
+        own = rows.withColumn("run_id", F.when(F.col("run_id") == run_id, F.col("run_id")).otherwise(F.raise_error(F.lit("an event of another run"))))
+        checked = own.withColumn("sequence", F.when(F.col("sequence") > 0, F.col("sequence")).otherwise(F.raise_error(F.lit("an event's sequence is not positive"))))
         unique = first_writer_wins(checked, ["run_id", "sequence"], ["case_id"])
-        self._append(unique.join(self.events().select("run_id", "sequence"), ["run_id", "sequence"], "left_anti"), "events", schemas.EVENTS)
+        self._append(unique.join(self.events(run_id).select("run_id", "sequence"), ["run_id", "sequence"], "left_anti"), "events", schemas.EVENTS)
 
     def max_sequence(self, run_id: str) -> int:
         return self.events(run_id).agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("n")).first()["n"]

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline import errors, schemas
 from plumbline.operators import select as choose
@@ -28,17 +27,16 @@ def valuations(pairs: DataFrame, costs: DataFrame, rates: Mapping[str, float], *
     )
 
 
-def portfolio(candidates: DataFrame, caps: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
+def portfolio(candidates: DataFrame, caps: Mapping[str, int], links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected, rejected): every candidate is in one of them. candidates: asset_id, kind, delta_per_cost, reason (or
-    null where nothing speaks against it) and a column for each cap."""
-    free = candidates.filter("reason is null")
-    ranked = free.withColumn("rank", F.row_number().over(Window.orderBy(F.col("delta_per_cost").desc(), "asset_id")))
-    chosen = choose.greedy(ranked, caps)
-    kind = candidates.schema["asset_id"].dataType
-    chosen = chosen.select((F.col("position") + 1).alias("selection_rank"), F.col("asset_id").cast(kind).alias("asset_id"))
+    null where nothing speaks against it) and a column for each cap; links: near copies (asset_id, other_id, similarity)."""
+    told = choose.greedy(candidates.filter("reason is null"), caps, links=links)
+    chosen = told.filter("position is not null").select("asset_id", (F.col("position") + 1).cast("int").alias("selection_rank"))
     selected = candidates.join(chosen, "asset_id").withColumn("destination", choose.destination(F.col("kind"), F.lit(True)))
-    rest = candidates.join(chosen, "asset_id", "left_anti")
-    return selected, rest.select("asset_id", F.coalesce("reason", F.lit("BUDGET_EXHAUSTED")).alias("reason"), F.lit("REJECTED").alias("destination"))
+    refused = told.filter("position is null").select("asset_id", F.col("reason").alias("refused_for"), "redundant_with")
+    rest = candidates.join(chosen, "asset_id", "left_anti").join(refused, "asset_id", "left")
+    like = F.when(F.col("redundant_with").isNotNull(), F.array(F.col("redundant_with").cast("string")))
+    return selected, rest.select("asset_id", F.coalesce("reason", "refused_for").alias("reason"), F.lit("REJECTED").alias("destination"), like.alias("redundant_with_asset_ids"))
 
 
 def dev_estimated_gain(pairs: DataFrame, selected: DataFrame, *, quantile: float | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ a spend ledger (run: l_orderkey), suppliers are a pool's assets, customers are c
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,15 +16,17 @@ from pyspark.sql import functions as F
 from plumbline.functions import money
 from plumbline.functions.hashing import fnv1a_mod
 from plumbline.functions.text import exact_match, redact_userinfo, weighted_goal
-from plumbline.operators import budget, outcomes, value
+from plumbline.operators import budget, clusters, outcomes, value
 from plumbline.operators import select as choose
 from plumbline.operators.agents import fake_answer
+from plumbline.operators.ranges import shared_dir
 from plumbline.operators.seal import open_holdout, seal
 from plumbline.plans import value as stages
 from plumbline.plans.value import portfolio
 from plumbline.sources import agent_ref
 from plumbline.sources import cases as src
 from plumbline.streaming import events as spine
+from plumbline.streaming import ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,8 +404,12 @@ def two_arms(spark: SparkSession, d: str) -> DataFrame:
     return value.paired(treated, base, ["doc_id"])
 
 
+def rounded_to(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return rounded_to(df, 6, *columns)
 
 
 def _delta_sql(by: str, where: str = "") -> str:
@@ -540,6 +545,12 @@ def failure_clusters(spark: SparkSession, d: str) -> DataFrame:
     return rounded(value.failure_clusters(failed), "share")
 
 
+@query()
+def failure_text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    failed = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id").select(doc().alias("id"), "text")
+    return rounded(clusters.failure_text_clusters(failed), "share")
+
+
 @query(f"""
     WITH {ARMS}, fails AS (SELECT DISTINCT source AS cluster FROM documents JOIN labels USING (doc_id) WHERE quality = 0), better AS (SELECT source AS cluster FROM pairs GROUP BY source HAVING avg(delta) > 0.05),
     tried AS (SELECT source AS cluster, array_to_string(list_sort(list(DISTINCT lang)), ',') AS attempted FROM pairs GROUP BY source)
@@ -582,11 +593,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_by_pool(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("pool").orderBy(F.col("delta_per_cost").desc(), "asset_id")
-    ranked = candidates(spark, d).filter("reason is null").withColumn("rank", F.row_number().over(order))
-    return choose.greedy(ranked, {"context_tokens": 1200}, "pool").withColumn("asset_id", F.col("asset_id").cast("long"))
+    told = choose.greedy(candidates(spark, d).filter("reason is null"), {"context_tokens": 1200}, "pool")
+    return told.filter("position is not null").withColumn("position", F.col("position").cast("int"))
 
 
 @query(f"WITH RECURSIVE {CANDIDATES} SELECT pool, asset_id, CAST(row_number() OVER (PARTITION BY pool ORDER BY rank) - 1 AS INTEGER) AS position FROM walk WHERE taken")
@@ -615,11 +623,54 @@ def destination_assign(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).join(taken, "asset_id", "left").select("asset_id", choose.destination(F.col("kind"), F.coalesce("taken", F.lit(False))).alias("destination"))
 
 
-@query("SELECT count(*) AS assets, count(*) AS decided FROM supplier")
+@query("""
+    WITH RECURSIVE cand AS (SELECT s_suppkey::BIGINT AS asset_id, CASE WHEN s_suppkey % 2 = 0 THEN 'KNOWLEDGE_BASE' ELSE 'TUNING_SET' END AS destination, (100 + s_suppkey * 37 % 900)::BIGINT AS cost, s_acctbal AS gain,
+        CASE WHEN s_acctbal < 0 THEN 'REGRESSION' WHEN s_acctbal < 500 THEN 'NO_EFFECT' END AS reason FROM supplier),
+    r AS (SELECT *, row_number() OVER (ORDER BY gain / cost DESC, asset_id) AS rank FROM cand WHERE reason IS NULL),
+    walk AS (SELECT 0::BIGINT AS rank, NULL::BIGINT AS asset_id, 0::BIGINT AS used, false AS taken UNION ALL
+        SELECT r.rank, r.asset_id, CASE WHEN used + cost <= 20000 THEN used + cost ELSE used END, used + cost <= 20000 FROM walk JOIN r ON r.rank = walk.rank + 1),
+    t AS (SELECT asset_id, CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS selection_rank FROM walk WHERE taken)
+    SELECT asset_id, selection_rank, CASE WHEN selection_rank IS NULL THEN 'REJECTED' ELSE destination END AS destination, CASE WHEN selection_rank IS NULL THEN coalesce(reason, 'BUDGET_EXHAUSTED') END AS reason FROM cand LEFT JOIN t USING (asset_id)""")
 def portfolio_completeness(spark: SparkSession, d: str) -> DataFrame:
     chosen, rejected = portfolio(candidates(spark, d), {"context_tokens": 20_000})
-    ids = chosen.select("asset_id").unionByName(rejected.select("asset_id"))
-    return table(spark, d, "supplier").agg(F.count("*").alias("assets")).join(ids.agg(F.count_distinct("asset_id").alias("decided")))
+    taken = chosen.select("asset_id", "selection_rank", "destination", F.lit(None).cast("string").alias("reason"))
+    return taken.unionByName(rejected.select("asset_id", F.lit(None).cast("int").alias("selection_rank"), "destination", "reason"))
+
+
+def documents_as_assets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as assets whose worth for each of their characters a hash decides, and their near copies."""
+    docs = table(spark, d, "documents").filter("doc_id is not null")
+    assets = docs.select(F.col("doc_id").alias("asset_id"), F.col("lang").alias("pool"), F.length("text").cast("long").alias("context_tokens"), (fnv1a_mod(doc(), 1000, "worth") + 1).cast("double").alias("delta_per_cost")).na.fill(0)
+    links = value.redundant_pairs(docs.select(F.col("doc_id").alias("id"), "text")).select("asset_id", "other_id", "similarity")
+    return assets, links
+
+
+@query()
+def select_without_copies(spark: SparkSession, d: str) -> DataFrame:
+    assets, links = documents_as_assets(spark, d)
+    return choose.greedy(assets, {"context_tokens": 100_000}, "pool", links=links)
+
+
+@query("""
+    WITH lines AS (SELECT CAST(l_suppkey AS BIGINT) AS asset_id, l_orderkey AS case_id, CAST(sum(l_extendedprice * (1 - l_discount)) AS DOUBLE) AS delta, CAST(sum(l_extendedprice * (1 - l_discount) * (1 - l_tax)) AS DOUBLE) AS within FROM lineitem GROUP BY ALL),
+    p AS (SELECT a.asset_id AS asset_id_a, b.asset_id AS asset_id_b, a.within + b.within - a.delta - b.delta AS x FROM lines a JOIN lines b USING (case_id) WHERE a.asset_id < b.asset_id)
+    SELECT asset_id_a, asset_id_b, count(*) AS n, round(avg(x), 4) AS interaction FROM p GROUP BY ALL HAVING count(*) >= 2""")
+def pair_interaction(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("asset_id"), F.col("l_orderkey").alias("case_id")).agg(
+        F.sum(F.expr("CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE))")).alias("delta"), F.sum(F.expr("CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE)) * (1 - CAST(l_tax AS DOUBLE))")).alias("within"),
+    )
+    # An order is a case; two suppliers' runs together are what both gave it after tax. Orders have few lines, so few pairs.
+    sides = [lines.select("case_id", F.col("asset_id").alias(f"asset_id_{x}"), F.col("within").alias(f"within_{x}")) for x in "ab"]
+    joint = sides[0].join(sides[1], "case_id").filter("asset_id_a < asset_id_b").select("asset_id_a", "asset_id_b", "case_id", (F.col("within_a") + F.col("within_b")).alias("delta"))
+    pairs = value.shared_slices(lines.select("asset_id", F.col("case_id").alias("slice_id")))
+    return rounded_to(value.pair_interaction(pairs, lines.select("asset_id", "case_id", "delta"), joint).select("asset_id_a", "asset_id_b", "n", "interaction"), 4, "interaction")
+
+
+@query("""
+    WITH r AS (SELECT DISTINCT user_id AS asset_id, props AS slice_id FROM events)
+    SELECT a.asset_id AS asset_id_a, b.asset_id AS asset_id_b, count(*) AS shared FROM r a JOIN r b USING (slice_id) WHERE a.asset_id < b.asset_id GROUP BY ALL HAVING count(*) >= 3""")
+def shared_slices(spark: SparkSession, d: str) -> DataFrame:
+    return value.shared_slices(table(spark, d, "events").select(F.col("user_id").alias("asset_id"), F.col("props").alias("slice_id")), 3)
 
 
 @query("SELECT left_out, count(*) AS entries FROM documents, (SELECT NULL::VARCHAR AS left_out UNION ALL SELECT unnest(['de', 'en', 'es', 'fr'])) WHERE left_out IS NULL OR left_out <> lang GROUP BY left_out")
@@ -672,11 +723,39 @@ def event_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(f"""
+    WITH kept AS (SELECT * FROM ({SEQUENCED}) WHERE event_id % 5 <> 0), l AS (SELECT user_id, sequence, lag(sequence, 1, 0) OVER (PARTITION BY user_id ORDER BY sequence) AS previous FROM kept)
+    SELECT CAST(user_id AS VARCHAR) AS run_id, previous + 1 AS missing_from, sequence - 1 AS missing_to, 'MISSING' AS status FROM l WHERE sequence > previous + 1""")
+def stream_gap_state(spark: SparkSession, d: str) -> DataFrame:
+    lost = numbered_events(spark, d).filter("event_id % 5 <> 0").select(F.col("user_id").alias("run_id"), "sequence", "event_id")
+    with ordered.rocksdb(spark):
+        return ordered.standing(stream_result(spark, ordered.stream_gaps(arriving(spark, lost)), "update"))
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS case_id, event_id, event_type AS kind
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS turn FROM events WHERE event_id % 3 <> 0) WHERE turn = 1""")
+def stream_terminal(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("case_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"), (F.col("event_id") % 3 == 0).alias("will_retry"))
+    with ordered.rocksdb(spark):
+        return ordered.standing(stream_result(spark, ordered.stream_terminals(arriving(spark, rows)), "update"))
+
+
+#: Batches in which derived events arrive, and files of each.
+ARRIVALS, FILES = 4, 4
+
+
+def arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows as a stream in another order than that of their ids: written in files by a hash, read a few files at a time."""
+    folder = f"{shared_dir(spark)}/arriving_{uuid.uuid4().hex}"
+    rows.repartition(ARRIVALS * FILES, F.xxhash64("event_id")).write.parquet(folder)
+    return spine.read_events(spark, folder, rows.schema, FILES)
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     return spine.read_events(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("scored", F.col("event_type") != "error")
 
 
 def stream_result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-    return spine.run_to_table(stream, f"{shared}/spine_{uuid.uuid4().hex}", mode)
+    return spine.run_to_table(stream, f"{shared_dir(spark)}/spine_{uuid.uuid4().hex}", mode)

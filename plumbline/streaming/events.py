@@ -1,11 +1,7 @@
-"""The event spine as a stream: progress, gaps and terminal outcomes, with bounded state by run or case."""
+"""The event spine as a stream: progress, windows, and results as tables; ordered state is in ordered.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,38 +28,24 @@ def unique_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "sequence"])
 
 
-def _missing(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """State: the next sequence that is due and those that came early."""
-    due, early = state.get if state.exists else (1, [])
-    waiting = set(early)
-    for batch in batches:
-        waiting.update(int(s) for s in batch["sequence"] if s >= due)
-    while due in waiting:
-        waiting.remove(due)
-        due += 1
-    state.update((due, sorted(waiting)))
-    if waiting:
-        yield pd.DataFrame({"run_id": [key[0]], "missing_from": [due], "missing_to": [min(waiting) - 1]})
-
-
-def stream_gaps(events: DataFrame) -> DataFrame:
-    """After each batch, for each run of it, the first sequences that are missing."""
-    return events.select("run_id", "sequence").groupBy("run_id").applyInPandasWithState(_missing, "run_id string, missing_from long, missing_to long", "due long, early array<long>", "update", "NoTimeout")
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """Runs a stream over all that is there now; each batch is written as Parquet below folder, by its number, so that a
-    batch that is run again replaces itself. In complete mode the last batch is the result, else all of them are."""
+    batch that is run again replaces itself. In complete mode the last batch is the result, else all of them are, those
+    of earlier runs from the same folder included."""
     written: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batches/{number}")
-        written.append(f"{folder}/batches/{number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/number={number}")
+        written.append(f"{folder}/batches/number={number}")
 
+    if mode != "complete":
+        stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/batches/number=-1")  # so that there is something to read
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
     read = stream.sparkSession.read.schema(stream.schema)
-    return read.parquet(*(written[-1:] if mode == "complete" else written)) if written else stream.sparkSession.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return read.parquet(written[-1]) if written else stream.sparkSession.createDataFrame([], stream.schema)
+    return read.option("basePath", f"{folder}/batches").parquet(f"{folder}/batches").select(*stream.columns)
