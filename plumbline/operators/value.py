@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -14,20 +15,26 @@ from plumbline.functions.hashing import fnv1a_mod
 from plumbline.operators.ranges import Ranges, durable
 
 
+@cache
 def t_quantile(p: float, df: int) -> float:
-    """By bisection of the distribution's integral (Simpson's rule on the density, in the angle atan(x / sqrt(df)))."""
+    """Closed for one and two degrees of freedom, else by Newton's steps on the distribution's integral (Simpson's rule on the
+    density, in the angle atan(x / sqrt(df))), from the expansion in 1 / df."""
+    if df == 1:
+        return math.tan(math.pi * (p - 0.5))
+    if df == 2:
+        a = 2 * p - 1
+        return a * math.sqrt(2 / (1 - a * a))
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+
     def below(x: float) -> float:
-        top, n = math.atan(x / math.sqrt(df)), 400
-        f = lambda a: math.cos(a) ** (df - 1)
-        h = top / n
-        area = h / 3 * (f(0) + f(top) + sum((4 if i % 2 else 2) * f(i * h) for i in range(1, n)))
-        return 0.5 + area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+        h = math.atan(x / math.sqrt(df)) / 400
+        return 0.5 + scale * h / 3 * sum((1 if i in (0, 400) else 4 if i % 2 else 2) * math.cos(i * h) ** (df - 1) for i in range(401))
 
-    low, high = 0.0, 1e3
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if below(mid) < p else (low, mid)
-    return (low + high) / 2
+    z = NormalDist().inv_cdf(p)
+    x = z + (z**3 + z) / (4 * df)
+    for _ in range(8):
+        x -= (below(x) - p) / (scale / math.sqrt(df) * (1 + x * x / df) ** (-(df + 1) / 2))
+    return x
 
 
 def interval(low: Column, high: Column, level: float, method: str) -> Column:
@@ -73,12 +80,17 @@ def paired(treated: DataFrame, baseline: DataFrame, key: list[str]) -> DataFrame
 T_TABLE = 200
 
 
+def t_expansion(z: float) -> tuple[float, float, float]:
+    """Factors of 1 / df, 1 / df ** 2, 1 / df ** 3 that, added to z, give the quantile for many degrees of freedom."""
+    return (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
+
+
 def with_t_quantile(stats: DataFrame, n: str = "n", level: float = 0.95) -> DataFrame:
     """Adds quantile: of Student's law with n - 1 degrees of freedom; null for fewer than two."""
     p, df = 1 - (1 - level) / 2, F.col(n) - 1
     z = NormalDist().inv_cdf(p)
     table = F.broadcast(stats.sparkSession.createDataFrame([(d, t_quantile(p, d)) for d in range(1, T_TABLE + 1)], "of_df long, of_table double"))
-    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    terms = t_expansion(z)
     beyond = sum((F.lit(c) / F.pow(df, k) for k, c in enumerate(terms, 1)), F.lit(z))
     return stats.join(table, df == F.col("of_df"), "left").withColumn("quantile", F.coalesce("of_table", F.when(df > T_TABLE, beyond))).drop("of_df", "of_table")
 

@@ -23,7 +23,7 @@ from plumbline.operators.ranges import shared_dir
 from plumbline.operators.seal import open_holdout, seal
 from plumbline.plans import value as stages
 from plumbline.plans.value import portfolio
-from plumbline.sources import agent_ref
+from plumbline.sources import agent_ref, tree_hash
 from plumbline.sources import cases as src
 from plumbline.streaming import events as spine
 from plumbline.streaming import ordered
@@ -365,6 +365,14 @@ def invalid_records(spark: SparkSession, d: str) -> DataFrame:
     return src.parse_records(table(spark, d, "documents").select(F.col("doc_id").alias("line"), whole.alias("value"))).select("line", "problem")
 
 
+@query("""
+    WITH RECURSIVE n AS (SELECT 0 AS level, row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) - 1 AS node, sha256(coalesce(text, '')) AS digest, 1::BIGINT AS items, count(*) OVER () AS total FROM documents
+        UNION ALL SELECT level + 1, node // 16, sha256(string_agg(digest, '' ORDER BY node)), CAST(sum(items) AS BIGINT), (any_value(total) + 15) // 16 FROM n WHERE total > 1 GROUP BY level, node // 16)
+    SELECT level, node, digest, items FROM n""")
+def source_tree_hash(spark: SparkSession, d: str) -> DataFrame:
+    return tree_hash.tree(table(spark, d, "documents"), ["doc_id"], F.coalesce("text", F.lit("")), 16)
+
+
 @query(r"SELECT page_id, regexp_replace(url, '^(https?://)', '\1[redacted]@') AS url FROM pages")
 def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
     with_user = F.regexp_replace("url", "^(https?://)", "$1user:secret@")
@@ -412,39 +420,39 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return rounded_to(df, 6, *columns)
 
 
+def t_sql(n: str) -> str:
+    """The 97.5 per cent quantile of Student's law with n - 1 degrees of freedom."""
+    beyond = " + ".join(f"{c!r}::DOUBLE / ({n} - 1) ** {k}" for k, c in enumerate(value.t_expansion(Z95), 1))
+    return f"CASE WHEN {n} - 1 <= {value.T_TABLE} THEN {[value.t_quantile(0.975, d) for d in range(1, value.T_TABLE + 1)]}::DOUBLE[][{n} - 1] ELSE {Z95}::DOUBLE + {beyond} END"
+
+
 def _delta_sql(by: str, where: str = "") -> str:
     group = f"GROUP BY {by}" if by else ""
-    half = f"{Z95} * stddev_samp(delta) / sqrt(count(*))"
+    half = f"({t_sql('count(*)')}) * stddev_samp(delta) / sqrt(count(*))"
     return f"WITH {ARMS} SELECT {by + ', ' if by else ''}count(*) AS n, round(avg(delta), 6) AS mean_delta, round(stddev_samp(delta), 6) AS sd_delta, round(avg(delta) - {half}, 6) AS low, round(avg(delta) + {half}, 6) AS high FROM pairs {where} {group}"
 
 
 @query(_delta_sql(""))
 def paired_delta(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(value.deltas(two_arms(spark, d), quantile=Z95), "mean_delta", "sd_delta", "low", "high")
+    return rounded(value.deltas(two_arms(spark, d)), "mean_delta", "sd_delta", "low", "high")
 
 
 @query(_delta_sql("lang"))
 def delta_by_slice(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(value.deltas(two_arms(spark, d), "lang", quantile=Z95), "mean_delta", "sd_delta", "low", "high")
-
-
-@query(f"WITH {ARMS} SELECT source, CASE WHEN lang = 'en' THEN 'ROUTED' ELSE 'CONTROL' END AS slice, count(*) AS n, round(avg(delta), 6) AS mean_delta FROM pairs GROUP BY ALL")
-def control_delta(spark: SparkSession, d: str) -> DataFrame:
-    pairs = two_arms(spark, d).withColumn("slice", F.when(F.col("lang") == "en", "ROUTED").otherwise("CONTROL"))
-    return rounded(value.deltas(pairs, "source", "slice", quantile=Z95).select("source", "slice", "n", "mean_delta"), "mean_delta")
+    return rounded(value.deltas(two_arms(spark, d), "lang"), "mean_delta", "sd_delta", "low", "high")
 
 
 @query(f"""
-    WITH {ARMS}, x AS (SELECT source, avg(delta) AS m, {Z95} * stddev_samp(delta) / sqrt(count(*)) AS h FROM pairs GROUP BY source)
+    WITH {ARMS}, x AS (SELECT source, avg(delta) AS m, ({t_sql('count(*)')}) * stddev_samp(delta) / sqrt(count(*)) AS h FROM pairs GROUP BY source)
     SELECT source, CASE WHEN h IS NULL THEN 'MEASUREMENT_FAILED' WHEN m - h <= 0 AND m + h >= 0 THEN 'NO_EFFECT' WHEN m + h < 0 THEN 'REGRESSION' ELSE 'IMPROVES' END AS verdict FROM x""")
 def interval_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return value.deltas(two_arms(spark, d), "source", quantile=Z95).select("source", value.verdict(F.col("low"), F.col("high")).alias("verdict"))
+    return value.deltas(two_arms(spark, d), "source").select("source", value.verdict(F.col("low"), F.col("high")).alias("verdict"))
 
 
 @query(_delta_sql("", "WHERE split = 'HOLDOUT'").replace("mean_delta", "holdout_gain"))
 def holdout_gain(spark: SparkSession, d: str) -> DataFrame:
     held = two_arms(spark, d).filter("split = 'HOLDOUT'")
-    return rounded(value.deltas(held, quantile=Z95), "mean_delta", "sd_delta", "low", "high").withColumnRenamed("mean_delta", "holdout_gain")
+    return rounded(value.deltas(held), "mean_delta", "sd_delta", "low", "high").withColumnRenamed("mean_delta", "holdout_gain")
 
 
 @query(f"""
@@ -456,10 +464,11 @@ def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("lang", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query(f"SELECT source, count(*) AS n, round(avg(n_chars) - {Z95} * stddev_samp(n_chars) / sqrt(count(*)), 3) AS low, round(avg(n_chars) + {Z95} * stddev_samp(n_chars) / sqrt(count(*)), 3) AS high FROM documents GROUP BY source")
+@query(f"SELECT source, count(*) AS n, round(avg(n_chars) - ({t_sql('count(*)')}) * stddev_samp(n_chars) / sqrt(count(*)), 3) AS low, round(avg(n_chars) + ({t_sql('count(*)')}) * stddev_samp(n_chars) / sqrt(count(*)), 3) AS high FROM documents GROUP BY source")
 def t_interval(spark: SparkSession, d: str) -> DataFrame:
     stats = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"), F.stddev_samp("n_chars").alias("sd"))
-    low, high = value.t_bounds(F.col("mean"), F.col("sd"), F.col("n"), F.lit(Z95))
+    stats = value.with_t_quantile(stats)
+    low, high = value.t_bounds(F.col("mean"), F.col("sd"), F.col("n"), F.col("quantile"))
     return stats.select("source", "n", F.round(low, 3).alias("low"), F.round(high, 3).alias("high"))
 
 
@@ -509,6 +518,20 @@ def treatments_with_controls(spark: SparkSession, d: str) -> DataFrame:
     return value.treatments(routed.unionByName(value.controls(cases, routed)), 3).groupBy("asset_id", "slice", "trial").agg(F.count("*").alias("calls"))
 
 
+@query(f"""
+    WITH {CONTROL_SQL}, a AS (SELECT *, 'ROUTED' AS slice FROM routed UNION ALL SELECT *, 'CONTROL' FROM control),
+    s AS (SELECT CAST(o_custkey AS BIGINT) AS case_id, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS base, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS treated FROM orders GROUP BY o_custkey)
+    SELECT asset_id, slice, count(*) AS n, round(avg(treated - base), 4) AS mean_delta FROM a JOIN s USING (case_id) WHERE treated IS NOT NULL AND base IS NOT NULL GROUP BY ALL""")
+def control_delta(spark: SparkSession, d: str) -> DataFrame:
+    assets, cases = nations_and_customers(spark, d)
+    routed = value.route(assets, cases)
+    orders = table(spark, d, "orders").withColumn("case_id", F.col("o_custkey").cast("long"))
+    arm_of = lambda status, name: orders.filter(F.col("o_orderstatus") == status).groupBy("case_id").agg(F.avg("o_totalprice").alias(name))
+    pairs = value.paired(arm_of("O", "treated_score"), arm_of("F", "baseline_score"), ["case_id"])
+    found = value.deltas(routed.unionByName(value.controls(cases, routed)).join(pairs, "case_id"), "asset_id", "slice")
+    return rounded_to(found.select("asset_id", "slice", "n", "mean_delta"), 4, "mean_delta")
+
+
 @query("SELECT CAST(s_suppkey AS BIGINT) AS asset_id, s_acctbal AS delta_per_cost FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 3")
 def value_preview(spark: SparkSession, d: str) -> DataFrame:
     return value.preview(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("asset_id"), F.col("s_acctbal").alias("delta_per_cost")))
@@ -517,8 +540,8 @@ def value_preview(spark: SparkSession, d: str) -> DataFrame:
 @query(_delta_sql("", "WHERE split = 'DEV' AND source IN (SELECT source FROM pairs WHERE split = 'DEV' GROUP BY source HAVING avg(delta) > 0)").replace("mean_delta", "dev_estimated_gain").replace("SELECT count(*) AS n", "SELECT true AS is_inflated, count(*) AS n"))
 def dev_estimated_gain(spark: SparkSession, d: str) -> DataFrame:
     pairs = two_arms(spark, d).filter("split = 'DEV'").withColumnRenamed("source", "asset_id")
-    chosen = value.deltas(pairs, "asset_id", quantile=Z95).filter("mean_delta > 0")
-    return rounded(stages.dev_estimated_gain(pairs, chosen, quantile=Z95), "dev_estimated_gain", "sd_delta", "low", "high")
+    chosen = value.deltas(pairs, "asset_id").filter("mean_delta > 0")
+    return rounded(stages.dev_estimated_gain(pairs, chosen), "dev_estimated_gain", "sd_delta", "low", "high")
 
 
 @query("""

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from plumbline import errors, schemas
 from plumbline.functions.hashing import fnv1a_mod
+from plumbline.operators.ranges import durable
+from plumbline.sources import tree_hash
 
 DEFAULT_HOLDOUT, BUCKETS, UNDERPOWERED = 0.2, 10_000, 20
 MAX_RECORD_BYTES = 4 << 20
@@ -101,6 +103,106 @@ class JsonLines:
 
     def __init__(self, spark: SparkSession, path: str, *, seed: str = "", fraction: float = 0.0) -> None:
         self.spark, self.path, self.seed, self.fraction = spark, path, seed, holdout_fraction(fraction)
+        self._kept: DataFrame | None = None
+
+    def _read(self) -> DataFrame:
+        """Each line with its file, the start of its stretch of the file, and its place in the scan; written once, since
+        another scan may put the stretches in another order."""
+        if self._kept is None:
+            stretch = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_block_start")]
+            self._kept = durable(self.spark.read.option("lineSep", "\n").text(self.path).select("value", *stretch).withColumn("at", F.monotonically_increasing_id()))
+        return self._kept
+
+    def lines(self) -> DataFrame:
+        """Numbered from 1, by file and then by line; a stretch of a file is read by one task, so a number for each is enough."""
+        own, raw = ["file_path", "file_block_start"], self._read()
+        sizes = raw.groupBy(*own).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each stretch
+        return raw.join(sizes.select(*own, "first", before.alias("before")), own).select((F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+    def cases(self) -> DataFrame: ...
+
+
+class Pool(Protocol):
+    def assets(self) -> DataFrame: ...
+
+
+def holdout_fraction(fraction: float) -> float:
+    """0 stands for the default; anything outside [0, 1) is refused."""
+    if not 0 <= fraction < 1:
+        raise errors.INVALID_INPUT(f"the holdout fraction {fraction} is not in [0, 1)")
+    return fraction or DEFAULT_HOLDOUT
+
+
+def split_of(case_id: Column, *, seed: str = "", fraction: float = 0.0) -> Column:
+    """HOLDOUT for a share of ids that the id itself decides, else DEV; growth of a source moves no case."""
+    share = holdout_fraction(fraction)
+    return F.when(fnv1a_mod(case_id, BUCKETS, seed).cast("double") < F.lit(share * BUCKETS), "HOLDOUT").otherwise("DEV")
+
+
+@dataclass(frozen=True)
+class SplitCounts:
+    dev: int
+    holdout: int
+
+    @property
+    def underpowered(self) -> bool:
+        return 0 < self.holdout < UNDERPOWERED
+
+    def check(self, fraction: float = 0.0) -> None:
+        """Both sides must have cases before anything is spent."""
+        if not self.dev + self.holdout:
+            raise errors.INVALID_INPUT("the source has no cases")
+        if not self.holdout:
+            raise errors.INVALID_INPUT("no case fell into the holdout", f"add cases, {int(1 / holdout_fraction(fraction)) + 1} or more")
+        if not self.dev:
+            raise errors.INVALID_INPUT("every case fell into the holdout", "lower the holdout fraction")
+
+
+def count_splits(cases: DataFrame) -> SplitCounts:
+    row = cases.agg(F.count_if(F.col("split") == "HOLDOUT").alias("h"), F.count("*").alias("n")).first()
+    return SplitCounts(row["n"] - row["h"], row["h"])
+
+
+def record_problem(value: Column, record: Column) -> Column:
+    """Why a line is no record, or null; strict where from_json is lenient. value: the line, record: from_json of it."""
+    keys = F.json_object_keys(value)
+    allowed = F.array(*[F.lit(n) for n in schemas.RECORD.names])
+    unknown = F.array_except(keys, allowed)
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    return (
+        F.when(F.octet_length(value) > MAX_RECORD_BYTES, F.lit(f"a record is larger than {MAX_RECORD_BYTES} bytes"))
+        .when(keys.isNull(), F.lit("not a JSON object"))
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), F.array_join(unknown, ", ")))
+        .when(record.isNull(), F.lit("not a record"))
+        .when(empty(record["id"]), F.lit("has no id"))
+        .when(empty(record["input"]), F.lit("has no input"))
+    )
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """lines (line, value) to line, record fields and problem; blank lines are no records but count as lines."""
+    text = F.regexp_replace("value", "\r$", "")
+    parsed = lines.select("line", text.alias("value")).filter(F.length(F.btrim("value", F.lit(" \t\r\n\x0b\x0c"))) > 0)
+    parsed = parsed.withColumn("record", F.from_json("value", schemas.RECORD.simpleString()))
+    return parsed.select("line", record_problem(F.col("value"), F.col("record")).alias("problem"), "record.*")
+
+
+def first_problem(records: DataFrame) -> tuple[int, str] | None:
+    """The lowest line with a problem; a repeated id is one, at its second place."""
+    again = Window.partitionBy("id").orderBy("line")
+    own = records.filter(F.col("problem").isNotNull()).select("line", "problem")
+    repeated = records.filter(F.col("problem").isNull()).withColumn("nth", F.row_number().over(again)).filter("nth > 1").select("line", F.concat(F.lit("duplicate case id "), "id").alias("problem"))
+    row = own.unionByName(repeated).orderBy("line").first()
+    return (row["line"], row["problem"]) if row else None
+
+
+class JsonLines:
+    """One JSON object on each line of a file: id, input and, if wanted, expected, rubric, tags."""
+
+    def __init__(self, spark: SparkSession, path: str, *, seed: str = "", fraction: float = 0.0) -> None:
+        self.spark, self.path, self.seed, self.fraction = spark, path, seed, holdout_fraction(fraction)
+        self._kept: DataFrame | None = None
 
     def lines(self) -> DataFrame:
         """Numbered from 1. Splits of a file follow each other, so lines count on from split to split."""
@@ -118,12 +220,11 @@ class JsonLines:
         return schemas.conform(records.withColumn("split", split_of(F.col("id"), seed=self.seed, fraction=self.fraction)).withColumn("provenance", provenance(source)), schemas.CASES)
 
     def content_hash(self) -> str:
-        """Of the file's bytes, the seed, the exact fraction and the path: what a resumed run must share."""
-        parts = self.spark.read.format("binaryFile").load(self.path).select("path", F.sha2("content", 256).alias("digest")).orderBy("path").collect()
-        whole = hashlib.sha256()
-        for part in parts:
-            whole.update(part["digest"].encode())
-        whole.update(self.seed.encode() + struct.pack("<d", self.fraction) + b"\0" + self.path.encode())
+        """Of the lines and the files' sizes, the seed, the exact fraction and the path: what a resumed run must share."""
+        raw = self._read()
+        sizes = [(r["file_path"], r["file_size"]) for r in raw.select("file_path", "file_size").distinct().orderBy("file_path").collect()]
+        whole = hashlib.sha256(tree_hash.root(tree_hash.tree(raw, ["file_path", "file_block_start", "at"], F.col("value"))).encode())
+        whole.update(repr(sizes).encode() + self.seed.encode() + struct.pack("<d", self.fraction) + b"\0" + self.path.encode())
         return whole.hexdigest()
 
 

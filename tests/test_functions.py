@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,8 +7,9 @@ from plumbline import errors
 from plumbline.functions import money
 from plumbline.functions.hashing import fnv1a, fnv1a_mod
 from plumbline.functions.text import exact_match, redact_userinfo
+from plumbline.operators import value
 from plumbline.operators.value import controls, t_quantile
-from plumbline.sources import agent_ref
+from plumbline.sources import agent_ref, cases, tree_hash
 from plumbline.sources.cases import SplitCounts, holdout_fraction, split_of
 
 
@@ -102,3 +105,38 @@ def test_controls_step_over_an_assets_own_cases(spark, n):
         own = {c for a, c in rows if a == asset}
         assert sorted(r["case_id"] for r in got if r["asset_id"] == asset) == sorted([i for i in order if i not in own][:n])
     assert controls(cases, wide.limit(0), n).count() == 0
+
+
+def test_t_quantiles_are_those_of_the_tables():
+    for df, want in ((1, 12.706205), (2, 4.302653), (3, 3.182446), (5, 2.570582), (10, 2.228139), (30, 2.042272), (200, 1.971896)):
+        assert abs(value.t_quantile(0.975, df) - want) < 1e-6
+    z = 1.959963984540054
+    assert abs(z + sum(c / 200**k for k, c in enumerate(value.t_expansion(z), 1)) - value.t_quantile(0.975, 200)) < 1e-8
+
+
+def test_tree_hash_is_the_same_however_rows_are_dealt_and_finds_what_changed(spark):
+    rows = [(i, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    trees = [tree_hash.tree(x, ["i"], F.col("t"), 4) for x in (df, df.repartition(7), df.coalesce(1))]
+    assert len({tree_hash.root(t) for t in trees}) == 1
+    level, n = [hashlib.sha256(t.encode()).hexdigest() for _, t in rows], 0
+    while len(level) > 1:
+        level, n = [hashlib.sha256("".join(level[i:i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)], n + 1
+    assert tree_hash.root(trees[0]) == level[0] and trees[0].agg(F.max("level")).first()[0] == n
+    other = tree_hash.tree(df.withColumn("t", F.when(F.col("i").isin(5, 77), "new").otherwise(F.col("t"))), ["i"], F.col("t"), 4)
+    assert [r["node"] for r in tree_hash.changed(trees[0], other, 4).orderBy("node").collect()] == [5, 77]
+    longer = tree_hash.tree(spark.createDataFrame([*rows, *[(100 + i, "x") for i in range(200)]], "i long, t string"), ["i"], F.col("t"), 4)
+    assert {r["node"] for r in tree_hash.changed(trees[0], longer, 4).collect()} == set(range(100, 300))
+    assert tree_hash.changed(trees[0], trees[1], 4).isEmpty() and tree_hash.root(tree_hash.tree(df.limit(0), ["i"], F.col("t"))) == ""
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.jsonl").write_text("x\ny\n")
+    (tmp_path / "f" / "b.jsonl").write_text("long " * 1000 + "\n" + "z")
+    source = cases.JsonLines(spark, str(tmp_path / "f"))
+    assert [(r["line"], r["value"][:1]) for r in source.lines().orderBy("line").collect()] == [(1, "x"), (2, "y"), (3, "l"), (4, "z")]
+    first = source.content_hash()
+    assert cases.JsonLines(spark, str(tmp_path / "f")).content_hash() == first
+    (tmp_path / "f" / "b.jsonl").write_text("long " * 1000 + "\n" + "w")
+    assert cases.JsonLines(spark, str(tmp_path / "f")).content_hash() != first
