@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import errors, schemas
 from plumbline.operators import select as choose
 from plumbline.operators import value
+from plumbline.operators.ranges import durable
 from plumbline.operators.seal import open_holdout
 
 
@@ -18,7 +19,7 @@ def valuations(pairs: DataFrame, costs: DataFrame, rates: Mapping[str, float], *
     pairs stays, with an error. costs: asset_id and the columns of rates."""
     if mode not in schemas.INJECTION_MODES:
         raise errors.INVALID_INPUT(f"unknown injection mode {mode}")
-    by_slice = value.deltas(pairs, "asset_id", "slice", quantile=quantile)
+    by_slice = durable(value.deltas(pairs, "asset_id", "slice", quantile=quantile))  # two rows for each asset, read twice
     side = lambda name, prefix: by_slice.filter(F.col("slice") == name).select("asset_id", F.col("n").alias(f"{prefix}_n"), F.col("mean_delta").alias(prefix), value.interval(F.col("low"), F.col("high"), 0.95, "t").alias(f"{prefix}_interval"))
     joined = costs.join(side("ROUTED", "delta_goal"), "asset_id", "left").join(side("CONTROL", "delta_control"), "asset_id", "left")
     return joined.select(

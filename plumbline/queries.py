@@ -291,9 +291,26 @@ def priced_models(spark: SparkSession) -> DataFrame:
     return money.with_price(spark.createDataFrame(MODELS, "scheme string, model string"), money.prices(spark), "scheme", "model")
 
 
-@query(f"WITH {PRICE_SQL} SELECT scheme, model, price_key, input_rate::DOUBLE AS input_rate, cache_write_rate::DOUBLE AS cache_write_rate, output_rate::DOUBLE AS output_rate FROM priced")
+#: Each order calls one of the models, some of them by a dated name.
+CALLED = f"SELECT o_orderkey, {[m[0] for m in MODELS]}[o_orderkey % {len(MODELS)} + 1] AS scheme, {[m[1] for m in MODELS]}[o_orderkey % {len(MODELS)} + 1] || CASE WHEN o_orderkey % 2 = 1 THEN '-2026' || o_orderstatus ELSE '' END AS model FROM orders"
+LOOKUP = f"""
+    c AS ({CALLED}), p(ps, price_key, i, cr, cw, o) AS (VALUES {_values(money.PRICES)}),
+    priced AS (SELECT o_orderkey, scheme, model, price_key, i, cw, o FROM c LEFT JOIN p ON scheme = ps AND starts_with(model, price_key) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY length(price_key) DESC NULLS LAST) = 1)"""
+
+
+def called_models(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.col("o_orderkey") % len(MODELS)).cast("int")
+    one = lambda i: F.get(F.array(*[F.lit(m[i]) for m in MODELS]), at)
+    dated = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("-2026"), "o_orderstatus")).otherwise("")
+    return table(spark, d, "orders").select("o_orderkey", one(0).alias("scheme"), F.concat(one(1), dated).alias("model"))
+
+
+@query(f"WITH {LOOKUP} SELECT o_orderkey, scheme, model, price_key, floor(i * 1000000 + 0.5)::DOUBLE AS input_rate, floor(cw * 1000000 + 0.5)::DOUBLE AS cache_write_rate, floor(o * 1000000 + 0.5)::DOUBLE AS output_rate FROM priced")
 def price_lookup_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return priced_models(spark).select("scheme", "model", "price_key", *[F.col(f"{c}_per_mtok_usd_micros").cast("double").alias(f"{c}_rate") for c in ("input", "cache_write", "output")])
+    # Few different models are called, so prices are looked up once for each and joined to the calls.
+    calls = called_models(spark, d)
+    priced = money.with_price(calls.select("scheme", "model").distinct(), money.prices(spark), "scheme", "model")
+    return calls.join(priced, ["scheme", "model"]).select("o_orderkey", "scheme", "model", "price_key", *[F.col(f"{c}_per_mtok_usd_micros").cast("double").alias(f"{c}_rate") for c in ("input", "cache_write", "output")])
 
 
 @query(f"""
@@ -379,17 +396,14 @@ def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", redact_userinfo(with_user).alias("url"))
 
 
-@query()
+@query(r"""
+    WITH r AS (SELECT page_id, page_id % 5 AS kind, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS front, url LIKE '%?%' OR url LIKE '%#%' OR NOT regexp_matches(url, '^https?://[^/?#@:]+(/|$)') AS bad FROM pages)
+    SELECT page_id, CASE WHEN kind = 0 AND NOT bad THEN 'openai' WHEN kind = 1 THEN 'anthropic' WHEN kind = 4 THEN 'fake' END AS scheme, CASE WHEN kind = 0 AND NOT bad THEN 'model-x' WHEN kind = 1 THEN 'model-' || page_id WHEN kind = 4 THEN '' END AS target,
+        CASE WHEN kind = 0 AND NOT bad THEN lower(front) || rtrim(substr(url, length(front) + 1), '/') WHEN kind IN (1, 4) THEN '' END AS base_url, kind IN (2, 3) OR kind = 0 AND bad AS refused FROM r""")
 def agent_ref_parse(spark: SparkSession, d: str) -> DataFrame:
-    given = ("openai:gpt-4.1", "fake:", "openai:llama3:8b@http://LOCALHOST:80/v1/", "OpenAI:my-model@v2", "gpt-4.1", "https://api.example.com/v1")
-    rows = []
-    for text in given:
-        try:
-            ref = agent_ref.parse(text)
-            rows.append((text, ref.scheme, ref.target, ref.base_url, None))
-        except Exception as error:  # noqa: BLE001  the refusal is the row
-            rows.append((text, None, None, None, str(error).splitlines()[0]))
-    return spark.createDataFrame(rows, "given string, scheme string, target string, base_url string, refused string")
+    kind, page = F.col("page_id") % 5, F.col("page_id").cast("string")
+    ref = F.when(kind == 0, F.concat(F.lit(" OpenAI:model-x@"), "url")).when(kind == 1, F.concat(F.lit("anthropic: model-"), page)).when(kind == 2, F.col("url")).when(kind == 3, F.concat(F.lit("model-"), page)).otherwise("fake:")
+    return agent_ref.parse_all(table(spark, d, "pages"), "page_id", ref)
 
 
 # Valuation
@@ -423,7 +437,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 def t_sql(n: str) -> str:
     """The 97.5 per cent quantile of Student's law with n - 1 degrees of freedom."""
     beyond = " + ".join(f"{c!r}::DOUBLE / ({n} - 1) ** {k}" for k, c in enumerate(value.t_expansion(Z95), 1))
-    return f"CASE WHEN {n} - 1 <= {value.T_TABLE} THEN {[value.t_quantile(0.975, d) for d in range(1, value.T_TABLE + 1)]}::DOUBLE[][{n} - 1] ELSE {Z95}::DOUBLE + {beyond} END"
+    return f"CASE WHEN {n} - 1 <= {value.T_TABLE} THEN list_extract(CAST({[value.t_quantile(0.975, d) for d in range(1, value.T_TABLE + 1)]} AS DOUBLE[]), {n} - 1) ELSE {Z95}::DOUBLE + {beyond} END"
 
 
 def _delta_sql(by: str, where: str = "") -> str:
@@ -525,11 +539,65 @@ def treatments_with_controls(spark: SparkSession, d: str) -> DataFrame:
 def control_delta(spark: SparkSession, d: str) -> DataFrame:
     assets, cases = nations_and_customers(spark, d)
     routed = value.route(assets, cases)
+    found = value.deltas(routed.unionByName(value.controls(cases, routed)).join(order_pairs(spark, d), "case_id"), "asset_id", "slice")
+    return rounded_to(found.select("asset_id", "slice", "n", "mean_delta"), 4, "mean_delta")
+
+
+ORDER_SCORES = """
+    s AS (SELECT CAST(o_custkey AS BIGINT) AS case_id, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS base, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS treated FROM orders GROUP BY o_custkey),
+    pairs AS (SELECT case_id, treated - base AS delta FROM s WHERE treated IS NOT NULL AND base IS NOT NULL)"""
+
+
+def order_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's open orders against the finished ones: cases that two runs have scored."""
     orders = table(spark, d, "orders").withColumn("case_id", F.col("o_custkey").cast("long"))
     arm_of = lambda status, name: orders.filter(F.col("o_orderstatus") == status).groupBy("case_id").agg(F.avg("o_totalprice").alias(name))
-    pairs = value.paired(arm_of("O", "treated_score"), arm_of("F", "baseline_score"), ["case_id"])
-    found = value.deltas(routed.unionByName(value.controls(cases, routed)).join(pairs, "case_id"), "asset_id", "slice")
-    return rounded_to(found.select("asset_id", "slice", "n", "mean_delta"), 4, "mean_delta")
+    return value.paired(arm_of("O", "treated_score"), arm_of("F", "baseline_score"), ["case_id"])
+
+
+@query(f"""
+    WITH {CONTROL_SQL}, {ORDER_SCORES}, a AS (SELECT *, 'ROUTED' AS slice FROM routed UNION ALL SELECT *, 'CONTROL' FROM control),
+    g AS (SELECT asset_id, slice, count(*) AS n, avg(delta) AS m, ({t_sql('count(*)')}) * stddev_samp(delta) / sqrt(count(*)) AS h FROM a JOIN pairs USING (case_id) GROUP BY ALL),
+    c AS (SELECT CAST(n_nationkey AS BIGINT) AS asset_id, (100 + n_nationkey * 37)::BIGINT AS context_tokens FROM nation)
+    SELECT c.asset_id, round(r.m, 4) AS delta_goal, round(r.m - r.h, 3) AS low, round(r.m + r.h, 3) AS high, round(k.m, 4) AS delta_control, coalesce(r.n, 0) AS routed_cases, round(r.m / (context_tokens * 0.001), 3) AS delta_per_cost,
+        CASE WHEN r.h IS NULL THEN 'not enough measured cases' END AS error, CASE WHEN r.h IS NULL THEN 'MEASUREMENT_FAILED' WHEN r.m - r.h <= 0 AND r.m + r.h >= 0 THEN 'NO_EFFECT' WHEN r.m + r.h < 0 THEN 'REGRESSION' ELSE 'IMPROVES' END AS verdict
+    FROM c LEFT JOIN g r ON r.asset_id = c.asset_id AND r.slice = 'ROUTED' LEFT JOIN g k ON k.asset_id = c.asset_id AND k.slice = 'CONTROL'""")
+def valuation_rows(spark: SparkSession, d: str) -> DataFrame:
+    assets, cases = nations_and_customers(spark, d)
+    routed = value.route(assets, cases)
+    measured = routed.unionByName(value.controls(cases, routed)).join(order_pairs(spark, d), "case_id")
+    costs = assets.select(F.col("id").alias("asset_id"), (100 + F.col("id") * 37).alias("context_tokens"))
+    rows = stages.valuations(measured, costs, {"context_tokens": 0.001}, mode="CONTEXT")
+    low, high = F.col("delta_goal_interval.low"), F.col("delta_goal_interval.high")
+    return rows.select(
+        "asset_id", F.round("delta_goal", 4).alias("delta_goal"), F.round(low, 3).alias("low"), F.round(high, 3).alias("high"), F.round("delta_control", 4).alias("delta_control"), "routed_cases", F.round("delta_per_cost", 3).alias("delta_per_cost"), "error",
+        value.verdict(low, high).alias("verdict"),
+    )
+
+
+@query("""
+    WITH c AS (SELECT CAST(s_suppkey AS BIGINT) AS asset_id, CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE s_acctbal - 2000 END AS low, CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE s_acctbal + 1000 END AS high, CASE WHEN s_suppkey % 11 = 3 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'KNOWLEDGE' ELSE 'BEHAVIOR' END AS kind FROM supplier)
+    SELECT asset_id, CASE WHEN asset_id % 17 = 4 THEN 'IRRELEVANT' WHEN low IS NULL THEN 'MEASUREMENT_FAILED' WHEN high < 0 THEN 'REGRESSION' WHEN low <= 0 AND high >= 0 THEN 'NO_EFFECT' WHEN kind IS NULL THEN 'WRONG_MECHANISM'
+        WHEN asset_id % 7 = 1 THEN 'REDUNDANT' WHEN (low + high) / 2 / (100 + asset_id * 37 % 900) < 5 THEN 'COST_DOMINATED' WHEN 100 + asset_id * 37 % 900 > 800 THEN 'BUDGET_EXHAUSTED' END AS reason FROM c""")
+def rejection_reasons(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("long")
+    kind = F.when(key % 11 == 3, None).when(key % 2 == 0, "KNOWLEDGE").otherwise("BEHAVIOR")
+    measured, cost = key % 13 != 5, 100 + key * 37 % 900
+    low, high = F.when(measured, F.col("s_acctbal") - 2000), F.when(measured, F.col("s_acctbal") + 1000)
+    reason = choose.rejection_reason(
+        routed=key % 17 != 4, measured=measured, low=low, high=high, mechanism_ok=value.mechanism(kind, F.lit(None).cast("string")).isNotNull(), redundant=key % 7 == 1, worth=(low + high) / 2 / cost >= 5, fits=cost <= 800,
+    )
+    return table(spark, d, "supplier").select(key.alias("asset_id"), reason.alias("reason"))
+
+
+@query("""
+    SELECT doc_id AS asset_id, CAST(to_json({'messages': [{'role': 'user', 'content': lang || ': ' || source}, {'role': 'assistant', 'content': text}], 'provenance': {'asset_id': CAST(doc_id AS VARCHAR)}}) AS VARCHAR) AS value
+    FROM documents WHERE doc_id % 3 = 1""")
+def training_records(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 1, "BEHAVIOR").otherwise("KNOWLEDGE")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.concat_ws(": ", "lang", "source").alias("input"), F.col("text").alias("expected"), choose.destination(kind, F.lit(True)).alias("destination"))
+    records = stages.training_records(docs)
+    return records.select(F.get_json_object("value", "$.provenance.asset_id").cast("long").alias("asset_id"), "value")
 
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS asset_id, s_acctbal AS delta_per_cost FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 3")
@@ -555,9 +623,11 @@ def resume_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.resume_coordinates(lines, spent, "l_orderkey", "l_linenumber")
 
 
-@query(f"WITH p(ps, price_key, i, cr, cw, o) AS (VALUES {_values(money.PRICES)}) SELECT DISTINCT price_key AS model FROM p WHERE ps = 'openai'")
+@query(f"WITH {LOOKUP}, u AS (SELECT price_key AS model, count(*) AS calls FROM priced WHERE scheme = 'openai' GROUP BY price_key) SELECT m.model, coalesce(calls, 0) AS calls FROM (SELECT DISTINCT price_key AS model FROM p WHERE ps = 'openai') m LEFT JOIN u ON u.model = m.model")
 def model_listing(spark: SparkSession, d: str) -> DataFrame:
-    return money.models(money.prices(spark), "openai")
+    known = money.models(money.prices(spark), "openai")
+    calls = price_lookup_prefix(spark, d).filter("scheme = 'openai'").groupBy(F.col("price_key").alias("model")).agg(F.count("*").alias("calls"))
+    return known.join(calls, "model", "left").select("model", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
 @query("""

@@ -1,11 +1,16 @@
-"""References to agents: scheme:target[@base-url]. One reference belongs to a run, so this is plain Python."""
+"""References to agents: scheme:target[@base-url]. One reference belongs to a run, so reading one is plain Python; a table of
+them is read in Arrow batches."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+
 from plumbline import errors
 
 #: The closed set of schemes, the ports that go without saying, and what a scheme's target is.
@@ -74,3 +79,21 @@ def canonical_url(url: str, whole: str = "") -> str:
     host = f"[{parts.hostname}]" if ":" in parts.hostname else parts.hostname
     shown = f":{port}" if port is not None and port != PORTS[parts.scheme.lower()] else ""
     return f"{parts.scheme.lower()}://{host.lower()}{shown}{parts.path.rstrip('/')}"
+
+
+def parse_all(rows: DataFrame, key: str, ref: Column) -> DataFrame:
+    """key, scheme, target, base_url and refused for each row; a null reference is an empty one. What is refused has no parts."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["ref"]:
+                try:
+                    x = parse(text or "")
+                    found.append((x.scheme, x.target, x.base_url, False))
+                except errors.Actionable:
+                    found.append((None, None, None, True))
+            yield pd.DataFrame(found, columns=["scheme", "target", "base_url", "refused"]).assign(**{key: batch[key]})[[key, "scheme", "target", "base_url", "refused"]]
+
+    given = rows.select(key, ref.alias("ref"))
+    return given.mapInPandas(read, f"`{key}` {given.schema[key].dataType.simpleString()}, scheme string, target string, base_url string, refused boolean")

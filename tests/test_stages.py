@@ -14,6 +14,7 @@ from plumbline.operators.agents import ExactMatch, FakeAgent, FunctionAgent
 from plumbline.operators.budget import Limits
 from plumbline.operators.ranges import Ranges
 from plumbline.operators.seal import open_holdout, seal
+from plumbline.plans import value as stages
 from plumbline.plans.baseline import Options, baseline
 from plumbline.plans.store import Store
 from plumbline.sources.cases import JsonLines
@@ -250,6 +251,30 @@ def test_texts_are_in_the_nearest_cluster(spark):
     assert clusters.failure_text_clusters(failures.limit(0)).count() == 0
 
 
+def test_from_valuation_to_export(spark, tmp_path):
+    """Pairs to valuations, candidates, portfolio, holdout gain and exported files."""
+    pairs = spark.createDataFrame([(a, c, s, d + c % 3 / 10) for a, d in (("good", 1.0), ("copy", 0.9), ("bad", -1.0), ("none", -0.1)) for s in ("ROUTED", "CONTROL") for c in range(12)], "asset_id string, case_id long, slice string, delta double")
+    costs = spark.createDataFrame([("good", 10), ("copy", 10), ("bad", 10), ("none", 10), ("never", 10)], "asset_id string, context_tokens long")
+    rows = stages.valuations(pairs, costs, {"context_tokens": 0.5}, mode="CONTEXT", run_id="r")
+    by = {r["asset_id"]: r for r in rows.collect()}
+    assert by["never"]["error"] is not None and by["never"]["routed_cases"] == 0 and by["good"]["routed_cases"] == 12 and abs(by["good"]["delta_goal"] - 1.1) < 1e-9 and abs(by["good"]["delta_per_cost"] - 0.22) < 1e-9
+    low, high = F.col("delta_goal_interval.low"), F.col("delta_goal_interval.high")
+    reason = choose.rejection_reason(routed=F.col("routed_cases") > 0, measured=F.col("error").isNull(), low=low, high=high, mechanism_ok=F.lit(True), redundant=F.lit(False), worth=F.col("delta_per_cost") > 0.01, fits=F.lit(True))
+    given = rows.join(costs, "asset_id").select("asset_id", F.lit("BEHAVIOR").alias("kind"), "delta_per_cost", "context_tokens", reason.alias("reason"))
+    chosen, rejected = stages.portfolio(given, {"context_tokens": 15}, spark.createDataFrame([("good", "copy", 1.0)], "asset_id string, other_id string, similarity double"))
+    assert [(r["asset_id"], r["selection_rank"], r["destination"]) for r in chosen.collect()] == [("good", 1, "TUNING_SET")]
+    told = {r["asset_id"]: (r["reason"], r["redundant_with_asset_ids"]) for r in rejected.collect()}
+    assert told == {"copy": ("REDUNDANT", ["good"]), "bad": ("REGRESSION", None), "none": ("NO_EFFECT", None), "never": ("IRRELEVANT", None)}
+    every = JsonLines(spark, write_cases(tmp_path / "c.jsonl", 200)).cases()
+    scores = lambda name, bonus: every.select(F.col("id").alias("case_id"), (F.length("id") * 0 + bonus).alias(name))
+    gain = stages.validate(every, scores("baseline_score", 0.25), scores("treated_score", 1.0)).first()
+    assert gain["n"] == every.filter("split = 'HOLDOUT'").count() and abs(gain["holdout_gain"] - 0.75) < 1e-9
+    stages.export(chosen.withColumns({"input": F.lit("q"), "expected": F.lit("a")}), str(tmp_path / "out"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "training_set")).collect()]
+    assert lines == [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "provenance": {"asset_id": "good"}}]
+    assert spark.read.parquet(str(tmp_path / "out" / "assets")).count() == 1
+
+
 def test_limits():
     assert budget.denial_reason(Limits(100, 1), budget.Spend(1, 90), 1, 20) == "cost and calls"
     assert budget.denial_reason(Limits(), budget.Spend(10**9, 10**9), 1, 20) is None
