@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from plumbline import errors, schemas
 from plumbline.functions.hashing import fnv1a_mod
-from plumbline.operators.ranges import durable
 from plumbline.sources import tree_hash
 
 DEFAULT_HOLDOUT, BUCKETS, UNDERPOWERED = 0.2, 10_000, 20
@@ -220,11 +219,9 @@ class JsonLines:
         return schemas.conform(records.withColumn("split", split_of(F.col("id"), seed=self.seed, fraction=self.fraction)).withColumn("provenance", provenance(source)), schemas.CASES)
 
     def content_hash(self) -> str:
-        """Of the lines and the files' sizes, the seed, the exact fraction and the path: what a resumed run must share."""
-        raw = self._read()
-        sizes = [(r["file_path"], r["file_size"]) for r in raw.select("file_path", "file_size").distinct().orderBy("file_path").collect()]
-        whole = hashlib.sha256(tree_hash.root(tree_hash.tree(raw, ["file_path", "file_block_start", "at"], F.col("value"))).encode())
-        whole.update(repr(sizes).encode() + self.seed.encode() + struct.pack("<d", self.fraction) + b"\0" + self.path.encode())
+        """Of the lines in order, the seed, the exact fraction and the path: what a resumed run must share."""
+        whole = hashlib.sha256(tree_hash.root(tree_hash.tree(self.lines(), ["line"], F.col("value"))).encode())
+        whole.update(self.seed.encode() + struct.pack("<d", self.fraction) + b"\0" + self.path.encode())
         return whole.hexdigest()
 
 

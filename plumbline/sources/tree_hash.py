@@ -47,5 +47,5 @@ def changed(before: DataFrame, after: DataFrame, fanout: int = FANOUT) -> DataFr
         if found is not None:
             inside = found.select(F.col("node").alias("run"))
             a, b = (x.withColumn("run", F.expr(f"node div {fanout}")).join(inside, "run", "left_semi").drop("run") for x in (a, b))
-        found = a.join(b, "node", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+        found = durable(a.join(b, "node", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("node"))
     return found
