@@ -68,6 +68,12 @@ class Ranges:
         own = F.coalesce(F.sum(value).over(self.inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return self._with(name, own, F.sum(value), before, F.col("own_") + F.col("carried_"), place)
 
+    def largest_before(self, name: str, value: Column, place: bool = False) -> DataFrame:
+        """The largest value of the rows before, null for the first; a null value is passed over."""
+        before = F.max("whole_").over(self.earlier)
+        own = F.max(value).over(self.inside.rowsBetween(Window.unboundedPreceding, -1))
+        return self._with(name, own, F.max(value), before, F.greatest("own_", "carried_"), place)
+
     def previous(self, name: str, column: str, default: object = None) -> DataFrame:
         """The column of the row before; default for the first."""
         last = F.last("whole_").over(self.earlier)

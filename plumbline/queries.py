@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from plumbline.functions import money
 from plumbline.functions.hashing import fnv1a_mod
 from plumbline.functions.text import exact_match, redact_userinfo, weighted_goal
-from plumbline.operators import budget, clusters, outcomes, value
+from plumbline.operators import budget, clusters, destinations, outcomes, value
+from plumbline.operators import holds as gates
 from plumbline.operators import select as choose
 from plumbline.operators.agents import fake_answer
 from plumbline.operators.ranges import shared_dir
 from plumbline.operators.seal import open_holdout, seal
 from plumbline.plans import value as stages
+from plumbline.plans.overlay import Overlay
 from plumbline.plans.value import portfolio
 from plumbline.sources import agent_ref, tree_hash
 from plumbline.sources import cases as src
@@ -801,6 +803,105 @@ def sample_rate(spark: SparkSession, d: str) -> DataFrame:
     return value.sampled(table(spark, d, "documents"), doc(), 0.1).select("doc_id")
 
 
+# Destinations and holds
+
+#: Pages' URLs in another spelling by page_id: an address in a block or outside, dotted, decimal, hexadecimal, octal, mapped; a userinfo.
+MIXED = "(page_id * 2654435761 % 4294967296)"
+PLANTED = f"""CASE page_id / 8 % 7 WHEN 0 THEN 2130706432 + {MIXED} % 16777216 WHEN 1 THEN 167772160 + {MIXED} % 16777216 WHEN 2 THEN 2886729728 + {MIXED} % 1048576
+    WHEN 3 THEN 3232235520 + {MIXED} % 65536 WHEN 4 THEN 2851995648 + {MIXED} % 65536 WHEN 5 THEN 3758096384 + {MIXED} % 256 ELSE {MIXED} END"""
+
+
+def spelled_urls(spark: SparkSession, d: str) -> DataFrame:
+    n = F.expr(PLANTED.replace("page_id / 8", "(page_id div 8)"))
+    byte = [F.shiftright(n, 8 * i).bitwiseAND(255) for i in (3, 2, 1, 0)]
+    dotted, hexed = F.concat_ws(".", *byte), F.lower(F.lpad(F.hex(n), 8, "0"))
+    octal = F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(b.cast("string"), 10, 8)) for b in byte])
+    spelled = [dotted, n.cast("string"), F.concat(F.lit("0x"), hexed), octal, F.concat(F.lit("[::ffff:"), dotted, F.lit("]:8443")), F.concat(F.lit("[0:0::FFFF:"), F.left(hexed, F.lit(4)), F.lit(":"), F.right(hexed, F.lit(4)), F.lit("]"))]
+    way, url = F.col("page_id") % 8, F.col("url")
+    for i, host in enumerate(spelled, 1):
+        url = F.when(way == i, F.concat(F.lit("https://"), host, F.lit("/v1"))).otherwise(url)
+    url = F.when(way == 7, F.regexp_replace("url", "^(https?)://", "$1://user:key@")).otherwise(url)
+    return table(spark, d, "pages").select("page_id", url.alias("url"))
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, page_id % 8 AS way, {PLANTED.replace("/", "//")} AS n, url FROM pages),
+    k AS (SELECT *, CASE WHEN way BETWEEN 1 AND 6 THEN CASE WHEN n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 3758096384 AND 3758096639 THEN 'link_local'
+        WHEN n = 0 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 THEN 'private' END END AS kind FROM p)
+    SELECT page_id, CASE WHEN way BETWEEN 1 AND 6 THEN printf('00000000000000000000ffff%08x', n) END AS address, kind,
+        CASE WHEN way = 7 THEN 'userinfo' WHEN way = 0 THEN CASE WHEN url LIKE 'http:%' THEN 'plain_http' END WHEN way IN (2, 3, 4) THEN 'spelling' ELSE kind END AS refusal FROM k""")
+def destination_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return destinations.verdicts(spelled_urls(spark, d)).select("page_id", "address", "kind", "refusal")
+
+
+def refused_events(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as refusals, their host by user, their time folded into a day so that they meet; their header by event_id."""
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    at = F.timestamp_micros(1704067200000000 + F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000)
+    date = F.date_format(at + F.expr("make_interval(0, 0, 0, 0, 0, 0, event_id % 90)"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    way = F.col("event_id") % 4
+    header = F.when(way == 0, (F.col("event_id") % 200).cast("string")).when(way == 1, date).when(way == 2, F.lit("soon"))
+    return e.select(F.concat(F.lit("Host-"), (F.col("user_id") % 5).cast("string"), F.lit(".example.org.")).alias("host"), at.alias("at"), header.alias("retry_after"))
+
+
+_HELD = """
+    e AS (SELECT 'host-' || (user_id % 5) || '.example.org' AS host, 1704067200000000 + epoch_us(ts) % 86400000000 AS low, event_id FROM events WHERE event_type = 'error'),
+    h AS (SELECT host, low, low + CASE event_id % 4 WHEN 0 THEN least(event_id % 200, 60) * 1000000
+        WHEN 1 THEN greatest(least((low + event_id % 90 * 1000000) // 1000000 * 1000000 - low, 60000000), 0) ELSE 5000000 END AS high FROM e),
+    m AS (SELECT *, max(high) OVER (PARTITION BY host ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM h WHERE high > low),
+    g AS (SELECT *, sum(CASE WHEN reached IS NULL OR low > reached THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS hold FROM m),
+    held AS (SELECT host, min(low) AS low, max(high) AS high, count(*) AS refusals FROM g GROUP BY host, hold)"""
+
+
+@query(f"WITH {_HELD} SELECT host, make_timestamp(low) AS held_from, make_timestamp(high) AS held_until, refusals FROM held")
+def rate_limit_holds(spark: SparkSession, d: str) -> DataFrame:
+    return gates.holds(refused_events(spark, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("held_from", "held_until")})
+
+
+@query(f"""
+    WITH {_HELD}, r AS (SELECT event_id, 'host-' || (user_id % 5) || '.example.org' AS host, 1704067200000000 + epoch_us(ts) % 86400000000 AS asked FROM events)
+    SELECT event_id, coalesce((SELECT max(high) FROM held WHERE held.host = r.host AND held.low <= r.asked AND held.high > r.asked) - r.asked, 0) AS waited_us FROM r""")
+def rate_limit_waits(spark: SparkSession, d: str) -> DataFrame:
+    at = F.timestamp_micros(1704067200000000 + F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000)
+    requests = table(spark, d, "events").select("event_id", F.concat(F.lit("host-"), (F.col("user_id") % 5).cast("string"), F.lit(".example.org")).alias("host"), at.alias("at"))
+    return gates.waits(requests, gates.holds(refused_events(spark, d))).select("event_id", "waited_us")
+
+
+# Knowledge overlays
+
+
+def knowledge(spark: SparkSession, d: str) -> Overlay:
+    """documents as the base; for each language a run that has no documents of low quality and longer ones of its own language, one
+    rolled back, and one that takes all of a source away and gives some back."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    low = docs.join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id")
+    over = Overlay(docs, f"{shared_dir(spark)}/overlay_{uuid.uuid4().hex}", "doc_id")
+    over.remove_many(low, F.concat(F.lit("without-"), "lang"))
+    over.put_many(docs.filter("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1000), F.concat(F.lit("without-"), "lang"))
+    over.put_many(docs.withColumn("doc_id", -1 - F.col("doc_id")), F.concat(F.lit("more-"), "source"))
+    over.rollback("without-en")
+    return over
+
+
+@query("""
+    WITH b AS (SELECT doc_id, lang, source, n_chars FROM documents), put AS (SELECT 'without-' || lang AS run_id, doc_id, n_chars + 1000 AS n_chars FROM b WHERE doc_id % 3 = 0 AND lang <> 'en'),
+    gone AS (SELECT 'without-' || lang AS run_id, doc_id FROM b JOIN labels USING (doc_id) WHERE quality = 0 AND lang <> 'en'),
+    runs AS (SELECT DISTINCT run_id FROM (SELECT run_id FROM put UNION ALL SELECT run_id FROM gone)),
+    v AS (SELECT run_id, n_chars FROM runs, b WHERE (run_id, doc_id) NOT IN (SELECT (run_id, doc_id) FROM put) AND (run_id, doc_id) NOT IN (SELECT (run_id, doc_id) FROM gone)
+        UNION ALL SELECT run_id, n_chars FROM put)
+    SELECT run_id, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total FROM v GROUP BY run_id
+    UNION ALL SELECT 'more-' || source, (SELECT count(*) FROM b) + count(*), CAST((SELECT sum(n_chars) FROM b) + sum(n_chars) AS BIGINT) FROM b GROUP BY source""")
+def knowledge_overlay(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge(spark, d).totals(F.col("n_chars"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN lang = 'en' THEN n_chars WHEN doc_id % 3 = 0 THEN n_chars + 1000 WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN NULL ELSE n_chars END AS n_chars FROM documents""")
+def knowledge_lookup(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "documents").select(F.concat(F.lit("without-"), "lang").alias("run_id"), F.col("doc_id").alias("key"))
+    return knowledge(spark, d).lookup(asked).select(F.col("key").alias("doc_id"), F.col("row.n_chars").alias("n_chars"))
+
+
 # The event spine as a stream
 
 
