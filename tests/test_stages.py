@@ -239,6 +239,11 @@ def test_pair_interaction_names_suspects(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "asset_id_a long, asset_id_b long")
     got = {(r["asset_id_a"], r["asset_id_b"]): (r["n"], round(r["interaction"], 6), r["suspect"]) for r in value.pair_interaction(pairs, own, joint).collect()}
     assert got == {(1, 2): (8, -1.45, True), (1, 3): (8, 0.0, False)}
+    beside = joint.withColumns({"delta_a": F.lit(1.0), "delta_b": F.lit(1.0)})
+    every = value.pair_interaction(None, None, beside).select("asset_id_a", "asset_id_b", "n").collect()
+    assert {tuple(r) for r in every} == {(1, 2, 8), (1, 3, 8), (2, 3, 1)}
+    told = value.pair_interaction(None, None, beside, least=2).collect()
+    assert {(r["asset_id_a"], r["asset_id_b"]): (r["n"], round(r["interaction"], 6), r["suspect"]) for r in told} == got
 
 
 @pytest.mark.parametrize("parts", [1, 5])
