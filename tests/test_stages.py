@@ -396,6 +396,19 @@ def test_a_gap_that_time_leaves_behind_is_lost(spark, tmp_path):
     assert held == {(2, 2, "LOST"), (5, 8, "LOST"), (11, 11, "LOST")}
 
 
+def test_runs_share_few_keys_of_state(spark, tmp_path, monkeypatch):
+    """40 runs in 2 buckets are told apart, over several batches."""
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    rows = [(f"r{r}", s) for r in range(40) for s in range(1, 9) if (r + s) % 3]
+    ddl = "run_id string, sequence long"
+    write_batches(spark, str(tmp_path / "e"), [rows[1::2], rows[::2]], ddl)
+    with ordered.rocksdb(spark):
+        keyed = ordered.stream_gaps(spine.read_events(spark, str(tmp_path / "e" / "*"), spark.createDataFrame([], ddl).schema))
+        held = ordered.standing(spine.run_to_table(keyed, str(tmp_path / "gaps"), "update")).collect()
+    want = {(f"r{r}", *gap) for r in range(40) for gap in gaps_by_hand({s for run, s in rows if run == f"r{r}"})}
+    assert {(r["run_id"], r["missing_from"], r["missing_to"]) for r in held} == want
+
+
 def test_terminal_state_keeps_the_last(spark, tmp_path):
     rng = random.Random(9)
     rows = [("r", f"c{rng.randint(0, 5)}", datetime(2024, 1, 1, 0, rng.randint(0, 9), tzinfo=UTC), i, rng.choice(["scored", "errored"]), rng.random() < 0.3) for i in range(80)]
