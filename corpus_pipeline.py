@@ -3,16 +3,18 @@
 Each stage is a function of (spark, docs, sf_dir); it is written as Parquet and read again as the next stage's
 docs. All but the last return the columns of documents. Quality rules and toxicity drop the documents they
 reject; of exact copies the smallest doc_id stays; of near copies one document of each group stays; packing
-gives a row for each piece. Null, empty and repeated rows are what each operator's docstring says.
+gives a row for each piece. Rows are told by file and place, so to drop some no stage writes docs again or moves their
+texts; near copies move the texts of candidates only. Null, empty and repeated rows are what each operator's docstring says.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import shared_dir, table
+from plumbline.llm.common import placed, shared_dir, spare_name, table
 from plumbline.llm.exact_dedup import drop_exact_copies
 from plumbline.llm.near_dedup import keep_one_of_each
 from plumbline.llm.packing import pack
@@ -20,8 +22,13 @@ from plumbline.llm.quality import keep_good
 from plumbline.llm.toxicity import drop_toxic
 
 
+def by_rows(drop: Callable[..., DataFrame], docs: DataFrame) -> DataFrame:
+    row = spare_name(docs, "row_number_here")
+    return drop(placed(docs, row), row_col=row).drop(row)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    return by_rows(keep_good, docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +36,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs)
+    return by_rows(drop_exact_copies, docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    return by_rows(keep_one_of_each, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import SPACE_RUN, durable, numbered, ship, spare_name
+from plumbline.llm.common import SPACE_RUN, durable, numbered, ship, spare_name, without_rows
 
 #: A digest with more than this share of the rows is frequent; counters of each Misra-Gries summary.
 SHARE, COUNTERS = 1 / 256, 2048
@@ -65,10 +65,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    row = spare_name(docs, "row_number_here")
-    docs = numbered(docs, row)
+def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns. Without row_col, which numbers rows as placed() does, docs is written."""
+    row = row_col or spare_name(docs, "row_number_here")
+    docs = docs if row_col else numbered(docs, row)
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, row_col=row)
-    dropped = groups.filter(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.join(dropped, row, "left_anti").drop(row)
+    stay = without_rows(docs, row, groups.filter(~F.col("kept")).select("row"))
+    return stay if row_col else stay.drop(row)

@@ -26,7 +26,7 @@ shingles in common. Groups are the components of the links; copies are never exp
 Defined results: a null text is an empty one; texts without words are copies of each other; a text of fewer
 than five words has one shingle of all its words; repeated rows are copies; of a group the row with the
 smallest id stays (null ids last, then by place); an empty table gives an empty result; other columns are not
-looked at. docs is read once, numbered and written.
+looked at. Without row_col, docs is read once, numbered and written.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import durable, numbered, parts_for, ship, spare_name, unestimated
+from plumbline.llm.common import durable, numbered, only_rows, parts_for, ship, spare_name, unestimated, without_rows
 from plumbline.llm.components import components, with_facts
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
@@ -348,7 +348,7 @@ def bridges(texts: DataFrame, classes: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Every row: doc_id, group_id (id of the row that stays), group_size, kept, row (row_col, else its place in the input).
 
-    With row_col, docs must give its rows alike each time, as numbered() does."""
+    With row_col, docs must give its rows alike each time, as placed() does."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     own = [F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
@@ -362,7 +362,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
     nodes = durable(labels.join(weights, "node"))
     sizes = durable(nodes.groupBy("group").agg(F.count("*").alias("texts"), ((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")))
-    members = texts.join(with_facts(nodes, sizes, ["group"], "texts"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
+    asked = only_rows(texts, "row", nodes.select("node"))  # texts without candidates are not moved
+    members = asked.join(with_facts(nodes, sizes, ["group"], "texts"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
     links = members.filter(~F.col("is_large")).groupBy("group").applyInPandas(settle, "a long, b long")
     if not sizes.filter("is_large").isEmpty():
         links = links.unionByName(settle_large(durable(members.filter("is_large"))))
@@ -374,9 +375,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return with_facts(classed, heads, ["class"], "group_size").select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "row")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    row = spare_name(docs, "row_number_here")
-    docs = numbered(docs, row)
-    dropped = near_groups(docs, id_col=id_col, text_col=text_col, row_col=row).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.join(dropped, row, "left_anti").drop(row)
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns. Without row_col, which numbers rows as placed() does, docs is written."""
+    row = row_col or spare_name(docs, "row_number_here")
+    docs = docs if row_col else numbered(docs, row)
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, row_col=row)
+    stay = without_rows(docs, row, groups.filter(~F.col("kept")).select("row"))
+    return stay if row_col else stay.drop(row)

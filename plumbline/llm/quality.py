@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, SPACES, durable
+from plumbline.llm.common import SPACE_RUN, SPACES, durable, numbered, spare_name, without_rows
 
 #: Where the base checks end: fewest words, largest share of words in repeated windows (percent).
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -169,11 +169,11 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return judged(featured, durable(fit(featured.select(votes().alias("votes")))))
 
 
-def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the base checks and the rules keep, with all their columns."""
-    from plumbline.llm.common import numbered, spare_name
-
-    row = spare_name(docs, "row_number_here")
-    docs = numbered(docs, row)
-    dropped = quality_rules(docs, id_col=id_col, text_col=text_col, row_col=row).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.join(dropped, row, "left_anti").drop(row)
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The rows of docs that the base checks and the rules keep, with all their columns. Without row_col, which numbers rows as
+    placed() does, docs is written."""
+    row = row_col or spare_name(docs, "row_number_here")
+    docs = docs if row_col else numbered(docs, row)
+    judged_rows = quality_rules(docs, id_col=id_col, text_col=text_col, row_col=row)
+    stay = without_rows(docs, row, judged_rows.filter(~F.col("kept")).select("row"))
+    return stay if row_col else stay.drop(row)

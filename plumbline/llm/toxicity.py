@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import numbered, ship, spare_name
+from plumbline.llm.common import ship
 
 WINDOW, STEP = 32, 24
 ENTRIES, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 6, 10, 8, 8
@@ -296,6 +296,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([words_of(t) for t in rows["text"].tolist()], rows["toxic"].to_numpy(), counts[1] / (counts[0] + counts[1]))
 
 
+def scores_of(texts: list[str | None], net: Network | None) -> np.ndarray:
+    """A score for each text, some millions of characters at once; 0 without a network."""
+    out = np.zeros(len(texts))
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= 2_000_000 or i == len(texts) - 1:
+            if net is not None:
+                out[low:i + 1] = net.scores([words_of(t) for t in texts[low:i + 1]])
+            low, size = i + 1, 0
+    return out
+
+
 def score(docs: DataFrame, net: Network | None, *, key: Column, text_col: str = "text") -> DataFrame:
     """Rows (key, score) with key as a string, for every row of docs; net goes to each executor once."""
     spark = docs.sparkSession
@@ -304,15 +317,7 @@ def score(docs: DataFrame, net: Network | None, *, key: Column, text_col: str =
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, texts = np.zeros(len(batch)), batch["text"].tolist()
-            low, size = 0, 0
-            for i, text in enumerate(texts):
-                size += len(text or "")
-                if size >= 2_000_000 or i == len(texts) - 1:
-                    if model.value is not None:
-                        out[low:i + 1] = model.value.scores([words_of(t) for t in texts[low:i + 1]])
-                    low, size = i + 1, 0
-            yield pd.DataFrame({"key": batch["key"], "score": out})
+            yield pd.DataFrame({"key": batch["key"], "score": scores_of(batch["text"].tolist(), model.value)})
 
     return docs.select(key.cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(scored, "key string, score double")
 
@@ -326,9 +331,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs below the threshold, with all their columns."""
-    row = spare_name(docs, "row_number_here")
-    docs = numbered(docs, row)
-    found = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), key=F.col(row), text_col=text_col)
-    dropped = found.filter(F.col("score") >= THRESHOLD).select(F.col("key").cast("long").alias(row))
-    return docs.join(dropped, row, "left_anti").drop(row)
+    """The rows of docs below the threshold, with all their columns; each is decided where it stands."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
+
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(scores_of(texts.tolist(), model.value))
+
+    score_of = F.pandas_udf(scored, "double")
+    return docs.filter(score_of(F.col(text_col).cast("string")) < THRESHOLD)

@@ -1,14 +1,18 @@
 """The pipeline's stages, each held against its operator on its own input, and its SQL-expressible parts against DuckDB."""
 
+import random
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pipeline = pytest.importorskip("corpus_pipeline")
+common = pytest.importorskip("plumbline.llm.common")
 
 
 def test_stages(spark):
@@ -52,3 +56,39 @@ def test_oracle_sql(spark):
         got = entry.queries()[name](spark, SF).toPandas()[list(want.columns)]
         key = list(want.columns)
         assert got.sort_values(key).astype(str).values.tolist() == want.sort_values(key).astype(str).values.tolist()
+
+
+def test_stages_that_drop_rows_leave_texts_where_they_stand(spark, tmp_path):
+    draw = random.Random(3)
+    texts = [" ".join(draw.randbytes(3).hex() for _ in range(3000)) for _ in range(200)]
+    texts += texts[:10] + [t + " end" for t in texts[10:20]] + ["few words"] * 5
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    size, shared = sum(map(len, texts)), Path(common.shared_dir(spark).removeprefix("file:"))
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    written = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    want = {"quality_rules": 220, "toxicity": 220, "exact_dedup": 210, "near_dedup": 200}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        before = moved(), written()
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == want[name], name
+        assert moved() - before[0] < 0.25 * size and written() - before[1] < 0.25 * size, name
+
+
+def test_rows_are_numbered_and_told_apart_alike_in_each_scan(spark, tmp_path):
+    ids = spark.range(0, 100_000, 1, 5).withColumn("text", F.col("id").cast("string"))
+    ids.write.parquet(str(tmp_path / "a b%20c"))
+    read = spark.read.parquet(str(tmp_path / "a b%20c"))
+    for docs in (read, spark.createDataFrame(read.limit(1000).collect(), read.schema)):
+        at = common.placed(docs, "row")
+        assert at.columns == ["id", "text", "row"]
+        rows = {r["id"]: r["row"] for r in at.collect()}
+        assert len(set(rows.values())) == len(rows) == docs.count() and min(rows.values()) >= 0
+        assert {r["id"]: r["row"] for r in at.select("row", "id").repartition(7).collect()} == rows
+        listed = at.filter("id % 7 = 3 or id between 40 and 90").select("row")
+        of = {i for i in rows if i % 7 == 3 or 40 <= i <= 90}
+        assert {r["id"] for r in common.only_rows(at, "row", listed).collect()} == of
+        assert {r["id"] for r in common.without_rows(at, "row", listed).collect()} == set(rows) - of
+        assert common.without_rows(at, "row", listed.limit(0)).count() == len(rows) and common.only_rows(at, "row", listed.limit(0)).count() == 0
