@@ -49,27 +49,35 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model_ids = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _part(self, part: str, known: dict[str, bytes]) -> bytes:
-        got = known.get(part)
+    def _part(self, part: str, fresh: dict[str, bytes]) -> bytes:
+        got = self.known.get(part) or fresh.get(part)
         if got is None:
             as_bytes = part if part.isascii() else "".join([_BYTE_CHARS[b] for b in part.encode()])
-            got = known[part] = np.array([t.id for t in self.model_ids(as_bytes)], dtype="<u4").tobytes()
+            got = fresh[part] = b"".join([self.id_bytes[t.id] for t in self.model_ids(as_bytes)])
         return got
 
-    def _word(self, word: str, known: dict[str, bytes]) -> bytes:
-        got = known.get(word)
-        if got is None:
-            if not _PLAIN.fullmatch(word) or word != word.lower():
-                got = self._whole(word)
-            elif word.isalpha():
-                return self._part(word, known)
-            else:
-                got = b"".join([self._part(p, known) for p in _PARTS.findall(word)])
-            known[word] = got
+    def _word(self, word: str, fresh: dict[str, bytes]) -> bytes:
+        """Ids of a word that is not known. Lower-case letters of ASCII, also before one other sign, are most words; they are
+        cut as the pattern would."""
+        if word.isascii():
+            if word.isalpha():
+                if word.islower():
+                    return self._part(word, fresh)
+            elif (head := word[:-1]).isalpha() and head.islower() and "!" <= word[-1] <= "~":
+                got = fresh[word] = self._part(head, fresh) + self._part(word[-1], fresh)
+                return got
+        if not _PLAIN.fullmatch(word) or word != word.lower():
+            got = self._whole(word)
+        elif word.isalpha():
+            return self._part(word, fresh)
+        else:
+            got = b"".join([self._part(p, fresh) for p in _PARTS.findall(word)])
+        fresh[word] = got
         return got
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
@@ -77,9 +85,9 @@ class WordEncoder:
         codes = code_points(joined)
         starts, ends = words_between(codes, class_table(r"\s"))
         numbers, firsts = number_spans(codes, starts, ends)
-        known = self.known if len(self.known) < REMEMBERED else Layered(self.known)
+        fresh = self.known if len(self.known) < REMEMBERED else {}
         words = [joined[s:e] for s, e in zip(starts[firsts].tolist(), ends[firsts].tolist(), strict=True)]
-        ids = [self._word(w, known) if x is None else x for w, x in zip(words, map(known.get, words), strict=True)]
+        ids = [self._word(w, fresh) if x is None else x for w, x in zip(words, map(self.known.get, words), strict=True)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         body = gather(np.frombuffer(b"".join(ids), dtype="<u4"), (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]).tobytes()
         before = np.concatenate([[0], np.cumsum(sizes[numbers])])  # ids before each word
@@ -112,17 +120,6 @@ class WordEncoder:
         return [b"".join(ids) for ids in out]
 
 
-class Layered(dict):
-    """What is added stays here; what is not here is looked for below."""
-
-    def __init__(self, below: dict[str, bytes]) -> None:
-        super().__init__()
-        self.below = below
-
-    def get(self, key: str) -> bytes | None:
-        return super().get(key) or self.below.get(key)
-
-
 def lower_case(text: str) -> str:
     """Lower case by characters, as the tokenizer has it; where composing or a final sigma could matter, as it is."""
     if text.isascii():

@@ -302,6 +302,23 @@ def test_packing(spark, real):
     assert packing.pack(table(spark, []), path).count() == 0
 
 
+def test_plain_words_are_encoded_without_patterns(monkeypatch):
+    class Never:
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a1 don't IT'S we'll x, q' '' 's foo9 9foo a-b, é, naïve. ÀB, İ. Σ, word\x7f ok~ !~ A, aB. ab\x1c.", *(f"{chr(c)} a{chr(c)} {chr(c)}a aB{chr(c)}" for c in range(1, 700))]
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    for texts in (["some words, then more. and (others) more; words"] * 3, odd, odd):
+        assert encoder.encode(texts) == [encoder._whole(t) for t in texts]
+    monkeypatch.setattr(packing, "_PLAIN", Never())
+    monkeypatch.setattr(packing, "_PARTS", Never())
+    plain = ["Fresh syllables, zubaro. mirkeda! tolufe; ganipo?"]
+    assert encoder.encode(plain) == [encoder._whole(t) for t in plain]
+    assert "zubaro" not in encoder.known
+
+
 def gaining_steps(bins, lengths, capacity):
     """By brute force: is there a step that increases the squared fill?"""
     fill = [sum(lengths[i] for i in b) for b in bins]
