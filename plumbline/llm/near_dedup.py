@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import durable, numbered, only_rows, parts_for, ship, spare_name, unestimated, without_rows
+from plumbline.llm.common import durable, memory_back, numbered, only_rows, parts_for, ship, small_batches, spare_name, unestimated, without_rows
 from plumbline.llm.components import components, with_facts
 
 SHINGLE, SKETCHES, PICKED = 5, 16, 4
@@ -350,10 +350,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     With row_col, docs must give its rows alike each time, as placed() does."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     own = [F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     texts = docs.select(F.col(row_col).alias("row"), *own) if row_col else numbered(docs.select(*own), "row")
-    rows = durable(texts.mapInPandas(sketch_rows, "row long, doc_id string, digest binary, size long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)))
+    rows = durable(texts.mapInPandas(lambda it: memory_back(sketch_rows(it)), "row long, doc_id string, digest binary, size long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)))
     firsts = durable(rows.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     placed = firsts.select("node", "size", F.posexplode("sketch").alias("at", "key")).select("node", "size", F.least("at", F.lit(SKETCHES)).alias("nth"), "key")
     buckets = placed.groupBy("nth", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
@@ -363,7 +364,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     nodes = durable(labels.join(weights, "node"))
     sizes = durable(nodes.groupBy("group").agg(F.count("*").alias("texts"), ((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")))
     asked = only_rows(texts, "row", nodes.select("node"))  # texts without candidates are not moved
-    members = asked.join(with_facts(nodes, sizes, ["group"], "texts"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(payload_rows, "node long, group long, size long, weight long, is_large boolean, body binary")
+    members = asked.join(with_facts(nodes, sizes, ["group"], "texts"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(lambda it: memory_back(payload_rows(it)), "node long, group long, size long, weight long, is_large boolean, body binary")
     links = members.filter(~F.col("is_large")).groupBy("group").applyInPandas(settle, "a long, b long")
     if not sizes.filter("is_large").isEmpty():
         links = links.unionByName(settle_large(durable(members.filter("is_large"))))

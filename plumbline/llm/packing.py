@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, ship
+from plumbline.llm.common import durable, memory_back, ship, small_batches
 from plumbline.llm.spans import AT_ONCE, class_table, code_points, gather, number_spans, parts_of, words_between
 
 #: Tokens of a sequence; the end mark's id; documents of a group; remembered words of a worker.
@@ -352,10 +352,11 @@ def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     columns = "doc_id string, piece int, start long, length long, ids_crc32 long"
-    pieces = durable(texts.mapInPandas(lambda it: cut_pieces(it, path, sequence), columns).withColumn("place", F.monotonically_increasing_id()))
+    pieces = durable(texts.mapInPandas(lambda it: memory_back(cut_pieces(it, path, sequence)), columns).withColumn("place", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.filter(F.col("length") < sequence).count() // group_rows))
     short = pieces.filter(F.col("length") < sequence).withColumn("pack_group", F.pmod(F.xxhash64("place"), F.lit(groups)))
     packed = short.groupBy("pack_group").applyInPandas(lambda g: pack_group(g, sequence), columns + ", sequence_id long, offset long")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ship
+from plumbline.llm.common import memory_back, ship, small_batches
 
 WINDOW, STEP = 32, 24
 ENTRIES, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 6, 10, 8, 8
@@ -313,13 +313,14 @@ def score(docs: DataFrame, net: Network | None, *, key: Column, text_col: str =
     """Rows (key, score) with key as a string, for every row of docs; net goes to each executor once."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     model = spark.sparkContext.broadcast(net)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "score": scores_of(batch["text"].tolist(), model.value)})
 
-    return docs.select(key.cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(scored, "key string, score double")
+    return docs.select(key.cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(lambda it: memory_back(scored(it)), "key string, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,11 +335,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     """The rows of docs below the threshold, with all their columns; each is decided where it stands."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(scores_of(texts.tolist(), model.value))
+        yield from memory_back(pd.Series(scores_of(texts.tolist(), model.value)) for texts in batches)
 
     score_of = F.pandas_udf(scored, "double")
     return docs.filter(score_of(F.col(text_col).cast("string")) < THRESHOLD)

@@ -92,3 +92,34 @@ def test_rows_are_numbered_and_told_apart_alike_in_each_scan(spark, tmp_path):
         assert {r["id"] for r in common.only_rows(at, "row", listed).collect()} == of
         assert {r["id"] for r in common.without_rows(at, "row", listed).collect()} == set(rows) - of
         assert common.without_rows(at, "row", listed.limit(0)).count() == len(rows) and common.only_rows(at, "row", listed.limit(0)).count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark, tmp_path):
+    text = " ".join(random.Random(4).randbytes(3).hex() for _ in range(15_000))
+    spark.createDataFrame([(i, text) for i in range(200)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = lambda batches: (b["text"].str.len().agg(["sum"]).to_frame("n").astype("int64") for b in batches)
+    for name in ("toxicity", "near_dedup", "packing"):
+        own = spark.newSession()
+        docs = own.read.parquet(str(tmp_path / "documents.parquet"))
+        dict(pipeline.STAGES)[name](own, docs, str(tmp_path))
+        assert max(r["n"] for r in docs.select("text").mapInPandas(sizes, "n long").collect()) <= common.BATCH_BYTES + len(text), name
+    own = spark.newSession()
+    own.conf.set(common.BATCH_SETTING, "1m")
+    common.small_batches(own)
+    assert own.conf.get(common.BATCH_SETTING) == "1m"
+
+
+def test_a_worker_gives_its_free_memory_back():
+    anonymous = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1)) // 1024
+    seen = []
+
+    def rows():
+        between = []  # what is still needed stands between what is not
+        texts = [(bytes(100_000), between.append(bytes(1000))) for _ in range(1000)]
+        yield len(texts)
+        del texts
+        seen.extend([anonymous(), between])
+
+    assert list(common.memory_back(rows())) == [1000]
+    assert anonymous() < seen[0] - 50
