@@ -23,7 +23,8 @@ def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> Da
     """rows (durable) with the facts of their keys. facts: one row for each key, n being how many rows have it. Keys that have
     more than one in HOT of these rows, HOT at most, are broadcast; the rows of all others are shuffled."""
     facts = durable(facts)
-    total = facts.agg(F.sum(n)).first()[0] or 0
+    total, n_facts = facts.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
+    facts = facts.coalesce(parts_for(rows.sparkSession, n_facts))
     is_hot = F.col(n) * HOT > total
     hot = facts.filter(is_hot)
     others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.filter(~is_hot), keys)
@@ -37,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     both = durable(links.filter("a <> b").select(F.inline(ways)).distinct())
     n_links = both.count()
     parts = parts_for(links.sparkSession, n_links)
-    both = unestimated(both)
+    both = unestimated(both.coalesce(parts))  # each round reads it, in no more tasks than its rows need
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), parts)
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))

@@ -256,7 +256,8 @@ def _meetings(texts: DataFrame, others: DataFrame) -> DataFrame:
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") * 4 / LOCAL_SHINGLES)).cast("int").alias(name))
 
-    numbers = durable(parts(texts, "parts").join(parts(others, "blocks"), "group"))
+    # A row for each large group, so few that one machine's tasks are enough.
+    numbers = durable(parts(texts, "parts").join(parts(others, "blocks"), "group"), parts_for(texts.sparkSession, 0))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = texts.join(numbers, "group").select("group", part("parts").alias("part"), every("blocks").alias("block"), "node", "body")
@@ -361,8 +362,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = durable(with_facts(placed, buckets, ["nth", "key"], "n").select("node", "size", "head", "n"))
     labels = components(met.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("label", "group")
     weights = met.groupBy("node").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
-    nodes = durable(labels.join(weights, "node"))
-    sizes = durable(nodes.groupBy("group").agg(F.count("*").alias("texts"), ((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")))
+    few = parts_for(docs.sparkSession, labels.count())
+    nodes = durable(labels.join(weights, "node"), few)
+    sizes = durable(nodes.groupBy("group").agg(F.count("*").alias("texts"), ((F.count("*") > LOCAL) | (F.sum("size") > LOCAL_SHINGLES)).alias("is_large")), few)
     asked = only_rows(texts, "row", nodes.select("node"))  # texts without candidates are not moved
     members = asked.join(with_facts(nodes, sizes, ["group"], "texts"), F.col("row") == F.col("node")).select("node", "group", "size", "weight", "is_large", "text").mapInPandas(lambda it: memory_back(payload_rows(it)), "node long, group long, size long, weight long, is_large boolean, body binary")
     links = members.filter(~F.col("is_large")).groupBy("group").applyInPandas(settle, "a long, b long")

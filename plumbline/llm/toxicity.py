@@ -18,6 +18,7 @@ null ids are never trained on; of several texts with one id the first in order i
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -283,17 +284,29 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """Learns from labelled rows that are not held out; MAX_TOXIC + MAX_OTHER texts at most come to the driver."""
+    """Learns from labelled rows that are not held out. MAX_TOXIC + MAX_OTHER texts at most meet in a task, which trains on them;
+    the driver gets the network alone."""
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     once = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
+    share = counts[1] / (counts[0] + counts[1])
+
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            rows = pd.concat(parts).sort_values("doc_id", ignore_index=True)
+            yield pd.DataFrame({"net": [pickle.dumps(train([words_of(t) for t in rows["text"].tolist()], rows["toxic"].to_numpy(), share))]})
+
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = once.filter("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(once.filter("toxic = 0").orderBy(*order).limit(MAX_OTHER))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
-    rows = rows.sort_values("doc_id", ignore_index=True)
-    return train([words_of(t) for t in rows["text"].tolist()], rows["toxic"].to_numpy(), counts[1] / (counts[0] + counts[1]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    nets = rows.coalesce(1).mapInPandas(lambda it: memory_back(trained(it)), "net binary").collect()
+    return pickle.loads(nets[0]["net"]) if nets else None
 
 
 def scores_of(texts: list[str | None], net: Network | None) -> np.ndarray:

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,30 @@ def test_a_worker_gives_its_free_memory_back():
 
     assert list(common.memory_back(rows())) == [1000]
     assert anonymous() < seen[0] - 50
+
+
+def test_training_texts_do_not_come_to_the_driver(spark, monkeypatch):
+    toxicity = pytest.importorskip("plumbline.llm.toxicity")
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choice(["good", "plain", "word", "bad" if i % 2 else "fine"]) for _ in range(20)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    used = {r["doc_id"] for r in docs.filter(~toxicity.is_held_out(F.col("doc_id"))).collect()}
+    own = [r for r in rows if r[0] in used]
+    want = toxicity.train([toxicity.words_of(r[1]) for r in own], np.array([r[2] for r in own]), sum(r[2] for r in own) / len(own), rounds=6)
+    net, here = toxicity.fit(docs, docs.select("doc_id", "toxic")), []
+    texts = [r[1] for r in rows]
+    assert np.allclose(toxicity.scores_of(texts, net), toxicity.scores_of(texts, want), atol=1e-3)
+    monkeypatch.setattr(toxicity, "train", lambda *a, **b: here.append(a))
+    assert toxicity.fit(docs, docs.select("doc_id", "toxic")) is None and not here
+    assert toxicity.fit(docs.limit(0), docs.select("doc_id", "toxic")) is None
+
+
+def test_small_graphs_are_read_in_few_tasks_where_shuffles_have_many(spark, monkeypatch):
+    module = pytest.importorskip("plumbline.llm.components")
+    own, parts, plain = spark.newSession(), [], module.unestimated
+    own.conf.set("spark.sql.shuffle.partitions", "50")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(module, "unestimated", lambda df: parts.append(df.rdd.getNumPartitions()) or plain(df))
+    links = own.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    assert {tuple(r) for r in module.components(links).collect()} == {(i, 0) for i in range(10)}
+    assert parts and max(parts) <= common.parts_for(own, 18)
