@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -260,6 +261,17 @@ def test_no_pair_of_a_hot_slice_is_shuffled(spark):
     assert told.count() == 300 * 299 // 2 and "FlatMapCoGroupsInPandas" in plan.toString() and "SortMergeJoin [asset_id_a" not in plan.toString()
 
 
+def test_postings_move_to_few_blocks(spark):
+    """However small the tiles, each posting moves once for each block, and blocks follow the postings and the cores, not the pairs."""
+    own = {a: {s for s in range(12) if (a * 5 + s * 7) % 4} for a in range(400)}
+    given = spark.createDataFrame([(a, s) for a in own for s in own[a]], "asset_id long, slice_id long")
+    told = value.shared_slices(given, 7, 8, 2)
+    blocks = int(re.search(r"sequence\(0, (\d+)", told._jdf.queryExecution().analyzed().toString())[1]) + 1
+    got = {(r["asset_id_a"], r["asset_id_b"]): r["shared"] for r in told.collect()}
+    assert 1 < blocks <= 4 * spark.sparkContext.defaultParallelism**0.5 + 1
+    assert got == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and len(own[a] & own[b]) >= 7} and got
+
+
 def test_pair_interaction_names_suspects(spark):
     own = spark.createDataFrame([(a, c, 1.0) for a in (1, 2, 3) for c in range(8)] + [(1, 99, None)], "asset_id long, case_id long, delta double")
     joint = spark.createDataFrame([(1, 2, c, 0.5 + c % 2 / 10) for c in range(8)] + [(1, 3, c, 2.0) for c in range(8)] + [(2, 3, 0, 5.0)], "asset_id_a long, asset_id_b long, case_id long, delta double")
