@@ -62,21 +62,46 @@ def marker(threshold: float, words: int, late: Mapping[int, int]) -> Callable[[I
     return run
 
 
-def verifier(threshold: float, words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """(asset_id, other_id, text, other_text) to the pairs of that similarity, by the shingles themselves."""
+def sketcher(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(id, body) of each text: how many of its shingles fall into each of 64 to 4096 buckets of their codes, a byte each, about two
+    a bucket; empty where a byte does not hold it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, set()
         for batch in batches:
             out = []
-            for a, b, text, other in batch[["asset_id", "other_id", "text", "other_text"]].itertuples(index=False, name=None):
-                if a != last:
-                    last, own = a, shingles_of(text, words)
-                others = shingles_of(other, words)
-                common = len(own & others)
-                similarity = common / (len(own) + len(others) - common)
-                if similarity >= threshold:
-                    out.append((a, b, similarity))
-            yield pd.DataFrame(out, columns=["asset_id", "other_id", "similarity"])
+            for text in batch["text"]:
+                codes = codes_of(text, words)
+                buckets = 1 << min(12, max(6, (len(codes) // 2).bit_length()))
+                counts = np.bincount((codes % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
+            yield pd.DataFrame({"id": batch["id"], "body": out})
 
     return run
+
+
+def may_reach(threshold: float) -> Callable[[bytes, bytes], float | None]:
+    """What the similarity of two sketched sets is at most: of a bucket they have no more in common than the lesser count. None
+    below the threshold."""
+
+    def bound(one: bytes, two: bytes) -> float | None:
+        if not one or not two:
+            return 1.0
+        a, b = np.frombuffer(one, np.uint8).astype(np.int64), np.frombuffer(two, np.uint8).astype(np.int64)
+        width = min(len(a), len(b))
+        a, b = a.reshape(-1, width).sum(0), b.reshape(-1, width).sum(0)
+        common = int(np.minimum(a, b).sum())
+        most = common / max(1, int(a.sum() + b.sum()) - common)
+        return most if most >= threshold - 1e-9 else None
+
+    return bound
+
+
+def reaches(threshold: float) -> Callable[[set, set], float | None]:
+    """The similarity of two sets of shingles, None below the threshold."""
+
+    def similarity(one: set, two: set) -> float | None:
+        common = len(one & two)
+        found = common / (len(one) + len(two) - common)
+        return found if found >= threshold else None
+
+    return similarity

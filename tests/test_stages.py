@@ -1,9 +1,12 @@
 import json
 import random
 import re
+import time
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,9 +16,9 @@ from plumbline.operators import budget, clusters, outcomes, value
 from plumbline.operators import select as choose
 from plumbline.operators.agents import ExactMatch, FakeAgent, FunctionAgent
 from plumbline.operators.budget import Limits
-from plumbline.operators.ranges import Ranges
+from plumbline.operators.ranges import CLEANUP, Ranges, stored
 from plumbline.operators.seal import open_holdout, seal
-from plumbline.operators.shingles import shingles_of
+from plumbline.operators.shingles import may_reach, reaches, shingles_of, sketcher
 from plumbline.plans import value as stages
 from plumbline.plans.baseline import Options, baseline
 from plumbline.plans.store import Store
@@ -240,6 +243,52 @@ def test_redundant_pairs_by_brute_force(spark, monkeypatch, hot, rounds):
     assert len(want) > 20 and got == want and spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
+@pytest.mark.parametrize("together,most", [(128, 60), (4, 60 * 16)])
+def test_a_text_moves_to_groups_not_to_pairs(spark, monkeypatch, together, most):
+    """60 near copies have 1770 pairs; each text is read once for each group, of which a large cluster has several."""
+    monkeypatch.setattr(value, "TOGETHER", together)
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(body):
+        reads.add(1)
+        return set(body)
+
+    given = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    bodies = {i: "".join(chr(97 + (i * 7 + k) % 26) for k in range(12)) for i in range(60)}
+    pairs, rows = spark.createDataFrame(given, "asset_id long, other_id long"), spark.createDataFrame(list(bodies.items()), "id long, body string")
+    got = {tuple(r) for r in value._compared(pairs, rows, read, reaches(0.5)).collect()}
+    alike = lambda a, b: len(set(bodies[a]) & set(bodies[b])) / len(set(bodies[a]) | set(bodies[b]))
+    assert got == {(a, b, alike(a, b)) for a, b in given if alike(a, b) >= 0.5} and got
+    assert 60 <= reads.value <= most
+
+
+def test_sketches_bound_the_similarity():
+    rng = random.Random(3)
+    sketch = lambda texts: next(sketcher(5)(iter([pd.DataFrame({"id": range(len(texts)), "text": texts})])))["body"].tolist()
+    for n in (3, 40, 300, 3000, 20_000):
+        words = [str(rng.randrange(5000)) for _ in range(n)]
+        texts = [" ".join(words)] + [" ".join("x" if rng.random() < p else w for w in words[:rng.randint(n * 4 // 5, n)]) for p in (0, 0.01, 0.03, 0.3)]
+        sets, sketches = [shingles_of(t, 5) for t in texts], sketch(texts)
+        for a in range(5):
+            for b in range(a):
+                real, most = len(sets[a] & sets[b]) / len(sets[a] | sets[b]), may_reach(0.0)(sketches[a], sketches[b])
+                assert real <= most + 1e-12 and (real < 0.8 or may_reach(0.8)(sketches[a], sketches[b]) is not None)
+    assert may_reach(0.8)(*sketch([" ".join(f"{p}{k}" for k in range(300)) for p in "ab"])) is None
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    jvm, before = spark.sparkContext._jvm, spark.conf.get(CLEANUP)
+    own = [Path(str(d)) for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for d in own for f in d.rglob("shuffle_*")}
+    there = files()
+    kept = stored(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):  # they go in the background
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there and spark.conf.get(CLEANUP) == before and kept.count() == 1000
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 @pytest.mark.parametrize("least", [1, 3])
 @pytest.mark.parametrize("meeting,small,dense", [(7, 2, 64), (7, 2, 0), (100, 2, 64), (11, 8, 64)])
