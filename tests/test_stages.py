@@ -204,6 +204,27 @@ def test_greedy_matches_brute_force(spark, size, linked):
     assert all(r["redundant_with"] is not None for r in told if r["reason"] == "REDUNDANT") and (not linked or "REDUNDANT" in got.values())
 
 
+@pytest.mark.parametrize("size", [1000, 12])
+def test_copies_have_the_links_of_their_like(spark, size):
+    """Equal assets, of which links name one alone: each of them is near to what that one is near to, and to the others."""
+    head = {i: i if i % 4 == 0 else i - i % 4 for i in range(90)}
+    rows = [(i % 2, i, float((i * 53) % 17 + 1), (i * 37) % 50 + 1) for i in range(90)]
+    near = {(a, b): (0.8, 0.9, 0.85)[(a + b) % 3] for a in range(0, 90, 4) for b in range(a + 4, 90, 4) if (a * 31 + b * 17) % 5 == 0}
+    near |= {(b, a): s for (a, b), s in near.items()}
+    alike = {(i, j): 1.0 if head[i] == head[j] else near[head[i], head[j]] for i in head for j in head if i != j and (head[i] == head[j] or (head[i], head[j]) in near)}
+    given = spark.createDataFrame(rows, "pool int, asset_id long, delta_per_cost double, cost long")
+    links = spark.createDataFrame([(a, b, s) for (a, b), s in near.items() if a < b], "asset_id long, other_id long, similarity double")
+    copies = spark.createDataFrame([(h, i) for i, h in head.items() if h != i], "asset_id long, other_id long")
+    told = choose.greedy(given, {"cost": 400}, "pool", links=links, copies=copies, size=size).collect()
+    got = {(r["pool"], r["asset_id"]): r["position"] if r["position"] is not None else None for r in told}
+    want = greedy_by_hand(rows, {"cost": 400}, alike)
+    assert len(told) == len(rows) and got == {k: v if isinstance(v, int) else None for k, v in want.items()}
+    chosen = {k[1] for k, v in got.items() if v is not None}
+    for r in told:
+        if r["reason"] == "REDUNDANT":
+            assert alike[r["asset_id"], r["redundant_with"]] == 1.0 and r["redundant_with"] in chosen
+
+
 def test_greedy_of_nothing(spark):
     assert choose.greedy(spark.createDataFrame([], "asset_id long, delta_per_cost double, cost long"), {"cost": 1}).count() == 0
 
